@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import op4_chat, op7_packing
+from auditloom.llm import op3_simhash, op4_chat, op7_packing
 
 #: Folder of the public tokenizers' files; a parameter of the environment the library runs in.
 TOKENIZERS = os.environ.get("AUDITLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_chat.format_chats(op4_chat.with_probe(table(spark, sf_dir, "conversations")), tokenizer_file(BYTE_BPE))
 
@@ -32,6 +36,7 @@ def op7_packing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash_gray": op3_simhash_gray,
         "op4_chat_formatting": op4_chat_formatting,
         "op7_packing_windows": op7_packing_windows,
     }
