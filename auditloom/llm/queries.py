@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import op2_secrets, op3_simhash, op4_chat, op7_packing
+from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op7_packing
 
 #: Folder of the public tokenizers' files; a parameter of the environment the library runs in.
 TOKENIZERS = os.environ.get("AUDITLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pii.pii_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secrets.scan_digests(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op7_packing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_disclosure": op1_pii_disclosure,
         "op2_secret_entropy": op2_secret_entropy,
         "op3_simhash_gray": op3_simhash_gray,
         "op4_chat_formatting": op4_chat_formatting,
