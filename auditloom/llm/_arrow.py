@@ -9,10 +9,11 @@ import pyarrow as pa
 
 
 def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; nulls count as empty. offsets has one entry more than there are rows."""
+    """(bytes, offsets) of a string or binary column; nulls count as empty. offsets has one entry more than there are rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string()).fill_null(b"" if binary else "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op7_packing
+from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op7_packing, op10_suffix
 
 #: Folder of the public tokenizers' files; a parameter of the environment the library runs in.
 TOKENIZERS = os.environ.get("AUDITLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -42,6 +42,10 @@ def op7_packing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_suffix.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_disclosure": op1_pii_disclosure,
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_gray": op3_simhash_gray,
         "op4_chat_formatting": op4_chat_formatting,
         "op7_packing_windows": op7_packing_windows,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
