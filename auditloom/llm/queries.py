@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op7_packing, op10_suffix
+from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op7_packing, op8_ann, op9_embedding_dedup, op10_suffix
 
 #: Folder of the public tokenizers' files; a parameter of the environment the library runs in.
 TOKENIZERS = os.environ.get("AUDITLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -42,6 +42,14 @@ def op7_packing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op8_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_ann.nearest(table(spark, sf_dir, "embeddings"), every=20)
+
+
+def op9_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_suffix.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_gray": op3_simhash_gray,
         "op4_chat_formatting": op4_chat_formatting,
         "op7_packing_windows": op7_packing_windows,
+        "op8_ann_cross_polytope": op8_ann_cross_polytope,
+        "op9_embedding_forest": op9_embedding_forest,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
