@@ -61,16 +61,17 @@ def text_fingerprints(texts: list[str], width: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long. Very long texts are hashed in one piece, others in small batches."""
+    """(id, fp, columns of keep): fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", 1 << 20):
                 fp = text_fingerprints(batch.column(1).fill_null("").to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *keep])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), *keep)
+    kept = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long{kept}")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -207,13 +208,42 @@ def links(fps: DataFrame, most: int = MOST, cap: int = CAP) -> DataFrame:
     return out.union(_dealt(deal.select(*keys, "fp", F.inline(pairs)), [*keys, "i", "j"], most))
 
 
+def _classes(rows: DataFrame, most: int, cap: int) -> DataFrame:
+    """(fp, root): the component of each distinct fingerprint."""
+    distinct = save(rows.select("fp").distinct(), "distinct")
+    of = components(links(distinct, most, cap))
+    return distinct.join(of, distinct.fp == of.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = MOST, cap: int = CAP) -> DataFrame:
     """(doc_id, fingerprint, component_id): a row for each row of ``docs``."""
     rows = save(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = save(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    of = components(links(distinct.select("fp"), most, cap))
-    named = distinct.join(of, distinct.fp == of.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = rows.groupBy("fp").agg(F.min("id").alias("least")).join(_classes(rows, most, cap), "fp")
+    named = save(named, "classes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: int = MOST, cap: int = CAP) -> DataFrame:
+    """``docs`` with one row of each component: the one of least id (nulls last), then least MD5 of its text.
+
+    Of rows equal in id and text one stays, whichever comes first. Rows that go are few, so they are what is joined.
+    """
+    key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = docs.select(F.col(id_col), F.col(text_col), key.alias("dedup_key"))
+    rows = save(fingerprints(keyed, id_col, text_col, width, ("dedup_key",)), "fingerprints")
+    named = save(rows.join(_classes(rows, most, cap), "fp").select("root", F.struct(F.col("id").isNull().alias("none"), "id", F.col("dedup_key").alias("md5")).alias("row")), "members")
+    least = named.groupBy("root").agg(F.min("row").alias("least"))
+    gone = named.join(least, "root").filter(~F.col("row").eqNullSafe(F.col("least"))).select(F.xxhash64("row").alias("h"), F.col("row").alias("gone")).distinct()
+    same = named.groupBy("row").count().filter("count > 1").select(F.xxhash64("row").alias("h"), F.col("row").alias("same"))
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("md5"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), own.alias("own")).withColumn("h", F.xxhash64("own"))
+    held = held.join(gone, (held.h == gone.h) & held.own.eqNullSafe(gone.gone), "left_anti")
+    twice = save(same, "same")
+    if twice.isEmpty():
+        return held.select("held.*")
+    single = held.join(twice, (held.h == twice.h) & held.own.eqNullSafe(twice.same), "left_anti").select("held.*")
+    several = held.join(twice, (held.h == twice.h) & held.own.eqNullSafe(twice.same), "left_semi").dropDuplicates(["own"]).select("held.*")
+    return single.unionByName(several)

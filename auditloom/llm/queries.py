@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op7_packing, op8_ann, op9_embedding_dedup, op10_suffix
+from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op5_langid, op6_sentencepiece, op7_packing, op8_ann, op9_embedding_dedup, op10_suffix
 
 #: Folder of the public tokenizers' files; a parameter of the environment the library runs in.
 TOKENIZERS = os.environ.get("AUDITLOOM_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,6 +39,15 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_chat.format_chats(op4_chat.with_probe(table(spark, sf_dir, "conversations")), tokenizer_file(BYTE_BPE))
 
 
+def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = op5_langid.fit(table(spark, sf_dir, "documents"))
+    return op5_langid.identify_pages(table(spark, sf_dir, "pages"), model)
+
+
+def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_sentencepiece.encode(table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
+
+
 def op7_packing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
@@ -60,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_entropy": op2_secret_entropy,
         "op3_simhash_gray": op3_simhash_gray,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_language_evidence": op5_language_evidence,
+        "op6_sentencepiece_codec": op6_sentencepiece_codec,
         "op7_packing_windows": op7_packing_windows,
         "op8_ann_cross_polytope": op8_ann_cross_polytope,
         "op9_embedding_forest": op9_embedding_forest,
