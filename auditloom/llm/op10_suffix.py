@@ -73,18 +73,19 @@ def _units(rows: DataFrame, k: int, depth: int) -> DataFrame:
 def _level(rows: DataFrame, level: int, depth: int, cap: int) -> tuple[DataFrame, DataFrame]:
     """Of rows (key, base, t): ranges (key, s, e) of repeated windows that hashes settle, and open units (a, key, base, n, hot)."""
     units = _units(rows, ANCHORS[level] if depth == DEPTH else max(1, depth * ANCHORS[level] // DEPTH), depth)
-    often = units.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    # Written, so that the joins read plain exchanges and the adaptive join can split a hot anchor.
+    often = save(units.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a"), "often")
     shared = save(units.join(often, "a", "left_semi"), "shared")
     kinds = save(shared.groupBy("a", "u").agg(F.count("*").alias("c"), F.min(F.struct("key", "base", "n")).alias("one")), "kinds")
     settled = shared.join(kinds.filter("c > 1").select("a", "u"), ["a", "u"], "left_semi").select("key", F.col("base").alias("s"), F.expr(f"base + n - 1 + {depth}").alias("e"))
-    groups = kinds.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1")
+    groups = save(kinds.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1"), "groups")
     open_ = kinds.join(groups, "a").select("a", "one.*", (F.col("m") > cap).alias("hot"))
     return settled, open_
 
 
 def _texts(docs: DataFrame, open_: DataFrame, depth: int) -> DataFrame:
     """Open units with their text: (a, hot, key, base, t)."""
-    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("a", "base", "n", "hot")).alias("units"))
+    wanted = save(open_.groupBy("key").agg(F.collect_list(F.struct("a", "base", "n", "hot")).alias("units")), "wanted")
     held = docs.join(wanted, "key").select("key", "t", "units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, cap: int = CAP) -> Data
     ranges = found[0]
     for other in found[1:]:
         ranges = ranges.union(other)
-    twice = docs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    twice = save(docs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "twice")
     ranges = ranges.join(twice, "key", "left_anti").union(twice.select("key", F.lit(0).alias("s"), F.lit(_END).alias("e")))
     return ranges.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
 
