@@ -4,15 +4,16 @@ For a page with text x, declared markup language d and host h, over the language
 
     log p(l | x, d, h) = tempered log p(x | l) + log p(d | l) + log p(l | h) + constant
 
-* p(x | l): naive Bayes over hashed byte trigrams of the whole text, fitted to a bounded sample (``per_language`` labelled rows of each
-  of the ``most_languages`` commonest labels, those of least hashed text). Trigrams overlap, so the mean log likelihood counts
+* p(x | l): naive Bayes over hashed byte trigrams of the whole text, fitted to a bounded sample: of each of the ``most_languages`` commonest
+  labels the different texts whose hash falls into a range that holds ``per_language`` rows on average. Trigrams overlap, so the mean log likelihood counts
   as ``weight`` independent ones at most.
 * p(d | l): how often pages whose text speaks for l declare d, by grouped aggregation over all pages, with added counts.
 * p(l | h): prior of the host, smoothed towards its registered domain, that towards its address suffix, that towards the whole corpus;
   each level adds ``kappa`` pseudo-counts of the next. A page's own count is taken out of every level.
 
 A page is rejected (language null) if its text has no letters, or its mean log likelihood under the best language is no better than
-``margin`` nats over a uniform choice of trigrams: then no language explains it, whatever is declared.
+``margin`` nats over a uniform choice of trigrams (then no language explains it, whatever is declared), or if the best posterior is under
+``least``.
 
 Counts are combined before the shuffle; a host with a third of all pages is one row of counts, joined back adaptively.
 
@@ -29,14 +30,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm._arrow import flat_bytes, slices
 from auditloom.llm._store import save
 
 BUCKETS = 1 << 14
-PER_LANGUAGE, MOST_LANGUAGES, WEIGHT, KAPPA, MARGIN = 500, 64, 60.0, 20.0, 0.5
+PER_LANGUAGE, MOST_LANGUAGES, WEIGHT, KAPPA, MARGIN, LEAST = 500, 64, 60.0, 20.0, 0.5, 0.5
 _LANG = re.compile(r"""<html\b[^>]{0,2000}?\blang\s*=\s*["']?([A-Za-z]{2,8})""", re.IGNORECASE)
 
 
@@ -102,13 +103,16 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> TextModel | None:
-    """A text model of a bounded sample: at most most_languages * per_language rows are read for it."""
+    """A text model of a bounded sample, about most_languages * per_language texts at most; equal texts count once."""
     rows = labelled.select(F.lower(F.col(label_col)).alias("l"), F.col(text_col).cast("string").alias("t")).filter("l IS NOT NULL AND t IS NOT NULL AND t != ''")
-    top = [r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()]
+    top = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
     if not top:
         return None
-    order = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
-    sample = rows.filter(F.col("l").isin(top)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    share = F.create_map(*(x for r in top for x in (F.lit(r.l), F.lit(per_language / r["count"]))))
+    hashed = rows.filter(F.col("l").isin([r.l for r in top])).withColumn("h", F.xxhash64("t"))
+    low = F.col("h").bitwiseAND(0xFFFFFFFF) / float(1 << 32)
+    sample = hashed.filter(low < F.element_at(share, F.col("l"))).groupBy("l", "h").agg(F.any_value("t").alias("t"))
+    names = [r.l for r in top]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +125,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", pe
 
     counts = np.zeros((len(top), BUCKETS))
     for r in sample.select("l", "t").mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect():  # at most languages * BUCKETS rows
-        counts[top.index(r.l), r.b] = r.n
-    return TextModel(top, counts)
+        counts[names.index(r.l), r.b] = r.n
+    return TextModel(names, counts)
 
 
 def host_levels(url: Column) -> tuple[Column, Column, Column]:
@@ -149,59 +153,94 @@ def _scored(rows: DataFrame, model: TextModel, extract: Extract, kept: str, colu
     return rows.mapInArrow(run, f"{kept}, ll array<double>, said string")
 
 
-def _fused(scored: DataFrame, evidence: DataFrame, model: TextModel, weight: float, kappa: float, margin: float) -> DataFrame:
-    """scored (..., ll, said, host, domain, suffix) with language, confidence and text_language; evidence: the rows that counts are taken from."""
-    names = model.languages
-    k = len(names)
-    known = F.array(*map(F.lit, names))
+def _judged(own: Column) -> Column:
+    return own.isNotNull()
 
-    def best(x: Column) -> Column:
-        return F.array_position(x, F.array_max(x)).cast("int") - 1
 
-    def explained(df: DataFrame) -> DataFrame:
-        said = F.when(F.col("said").isNull(), "none").when(F.array_contains(known, F.col("said")), F.col("said")).otherwise("other")
-        # -inf means no trigrams; such a page has no text language.
-        return df.withColumn("said", said).withColumn("own", F.when(F.array_max("ll") > margin, best(F.col("ll"))))
+class Fusion:
+    """What all pages together say, small enough to be sent along: evidence of declared languages, and the corpus prior."""
 
-    counts = [F.sum((F.col("own") == i).cast("long")).alias(f"n{i}") for i in range(k)]
-    levels = ["host", "domain", "suffix"]
-    grouped = explained(evidence).filter("own IS NOT NULL").groupBy(*levels, "said").agg(*counts)
-    grouped = save(grouped, "hosts")  # a row a host and declared language
+    def __init__(self, languages: list[str], counts: dict[str, np.ndarray], kappa: float):
+        self.languages, self.kappa = languages, kappa
+        whole = sum(counts.values(), np.zeros(len(languages)))
+        kinds = [*languages, "none", "other"]
+        share = np.array([counts.get(s, np.zeros(len(languages))).sum() + 1 for s in kinds])
+        share = share / share.sum()
+        self.row = {s: i for i, s in enumerate(kinds)}
+        self.said = np.log(np.array([(counts.get(s, np.zeros(len(languages))) + kappa * share[i]) / (whole + kappa) for s, i in self.row.items()]))
+        self.prior = (whole + 1) / (whole.sum() + len(languages))
+
+    def kinds(self, said: list[str | None]) -> np.ndarray:
+        return np.array([self.row["none"] if s is None else self.row.get(s, self.row["other"]) for s in said], np.int64)
+
+    def posterior(self, ll: np.ndarray, said: list[str | None], levels: list[np.ndarray], own: np.ndarray, weight: float) -> np.ndarray:
+        """Rows of probabilities by language. levels: counts of suffix, domain and host; a judged page's own count is taken out."""
+        prior = np.broadcast_to(self.prior, ll.shape)
+        mine = np.zeros(ll.shape)
+        judged = np.flatnonzero(own >= 0)
+        mine[judged, own[judged]] = 1
+        for n in levels:
+            n = np.maximum(n - mine, 0)
+            prior = (n + self.kappa * prior) / (n.sum(axis=1, keepdims=True) + self.kappa)
+        joint = np.maximum(ll, -1e6) * weight + self.said[self.kinds(said)] + np.log(prior)
+        joint = np.exp(joint - joint.max(axis=1, keepdims=True))
+        return joint / joint.sum(axis=1, keepdims=True)
+
+
+def _own(ll: np.ndarray, margin: float) -> np.ndarray:
+    """The language that the text alone speaks for, -1 if none explains it."""
+    return np.where(ll.max(axis=1) > margin, ll.argmax(axis=1), -1)
+
+
+LEVELS = ("host", "domain", "suffix")
+
+
+def _corpus(evidence: DataFrame, model: TextModel, kappa: float, margin: float) -> tuple[Fusion, DataFrame]:
+    """Grouped aggregation of what texts speak for: the fusion's tables, and (host, domain, suffix, their counts by language)."""
+    k = len(model.languages)
+    own = F.when(F.array_max("ll") > margin, F.array_position(F.col("ll"), F.array_max("ll")).cast("int") - 1)
+    judged = evidence.select(*LEVELS, "said", own.alias("own")).filter(_judged(F.col("own")))
+    counts = [F.count_if(F.col("own") == i).alias(f"n{i}") for i in range(k)]
+    known = F.when(F.col("said").isNull(), "none").when(F.col("said").isin(*model.languages), F.col("said")).otherwise("other")
+    grouped = save(judged.groupBy(*LEVELS, known.alias("said")).agg(*counts), "hosts")
     again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]
     said = {r.said: np.array(r[1:], float) for r in grouped.groupBy("said").agg(*again).collect()}  # at most languages + 2 rows
-    whole = sum(said.values(), np.zeros(k))
-    marginal = {s: said.get(s, np.zeros(k)).sum() + 1 for s in [*names, "none", "other"]}
-    total = sum(marginal.values())
-    log_said = {s: np.log((said.get(s, np.zeros(k)) + kappa * marginal[s] / total) / (whole + kappa)).tolist() for s in marginal}
-    base = ((whole + 1) / (whole.sum() + k)).tolist()
 
     def packed(by: list[str], name: str) -> DataFrame:
         return grouped.groupBy(*by).agg(F.array(*(F.sum(f"n{i}") for i in range(k))).alias(name))
 
-    priors = packed(levels, "host_n").join(packed(["domain", "suffix"], "domain_n"), ["domain", "suffix"]).join(packed(["suffix"], "suffix_n"), "suffix")
-    out = explained(scored).join(priors, levels, "left")
-    one = F.array(*((F.col("own") == i).cast("double") for i in range(k)))
-    one = F.transform(one, lambda x: F.coalesce(x, F.lit(0.0)))
-
-    def smoothed(n: str, upper: Column) -> Column:
-        counted = F.zip_with(F.coalesce(F.col(n), F.array_repeat(F.lit(0), k).cast("array<bigint>")), one, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        return F.zip_with(counted, upper, lambda a, p: a + kappa * p), F.aggregate(counted, F.lit(0.0), lambda s, x: s + x)
-
-    prior = F.array(*map(F.lit, base))
-    for n in ("suffix_n", "domain_n", "host_n"):
-        raw, size = smoothed(n, prior)
-        out = out.withColumn("raw", raw).withColumn("size", size).withColumn("prior_" + n, F.transform("raw", lambda x: x / (F.col("size") + kappa)))
-        prior = F.col("prior_" + n)
-    table = F.create_map(*(x for s, row in log_said.items() for x in (F.lit(s), F.array(*map(F.lit, row)))))
-    text = F.transform("ll", lambda x: F.greatest(x, F.lit(-1e6)) * weight)
-    joint = F.zip_with(F.zip_with(text, F.element_at(table, F.col("said")), lambda a, b: a + b), prior, lambda a, p: a + F.log(p))
-    out = out.withColumn("joint", joint).withColumn("at", best(F.col("joint")))
-    confidence = 1 / F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("joint")))
-    found = F.col("own").isNotNull()
-    return out.withColumn("language", F.when(found, F.get(known, F.col("at")))).withColumn("confidence", F.when(found, confidence)).withColumn("text_language", F.get(known, F.col("own")))
-
-
-def identify_pages(pages: DataFrame, model: TextModel | None, weight: float = WEIGHT, kappa: float = KAPPA, margin: float = MARGIN) -> DataFrame:
+    priors = packed([*LEVELS], "host_n").join(packed(["domain", "suffix"], "domain_n"), ["domain", "suffix"]).join(packed(["suffix"], "suffix_n"), "suffix")
+    return Fusion(model.languages, said, kappa), save(priors, "priors")
+
+
+def _decide(scored: DataFrame, priors: DataFrame, fusion: Fusion, kept: list[str], weight: float, margin: float, least: float, only_kept: bool) -> DataFrame:
+    """``kept`` columns of scored with language, confidence, text_language and declared; only_kept drops rejected rows and the verdicts."""
+    names = fusion.languages
+    joined = scored.join(priors, list(LEVELS), "left").select(*kept, "ll", "said", "suffix_n", "domain_n", "host_n")
+
+    def counts(column: pa.Array) -> np.ndarray:
+        return np.array([x or [0] * len(names) for x in column.to_pylist()], float).reshape(-1, len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(kept)
+            ll, said = counts(batch.column(n)), batch.column(n + 1).to_pylist()
+            own = _own(ll, margin) if len(ll) else np.zeros(0, np.int64)
+            p = fusion.posterior(ll, said, [counts(batch.column(n + 2 + i)) for i in range(3)], own, weight) if len(ll) else ll
+            best = p.max(axis=1, initial=0)
+            fine = (own >= 0) & (best >= least)
+            if only_kept:
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(fine)).columns[:n], names=kept)
+                continue
+            at = p.argmax(axis=1) if len(p) else own
+            verdict = [pa.array([names[i] if ok else None for i, ok in zip(at.tolist(), fine.tolist(), strict=True)], pa.string()), pa.array([c if o >= 0 else None for c, o in zip(best.tolist(), own.tolist(), strict=True)], pa.float64()), pa.array([names[o] if o >= 0 else None for o in own.tolist()], pa.string()), pa.array(said, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *verdict], names=[*kept, "language", "confidence", "text_language", "declared"])
+
+    schema = ", ".join(f"`{c}` {scored.schema[c].dataType.simpleString()}" for c in kept)
+    return joined.mapInArrow(run, schema if only_kept else schema + ", language string, confidence double, text_language string, declared string")
+
+
+def identify_pages(pages: DataFrame, model: TextModel | None, weight: float = WEIGHT, kappa: float = KAPPA, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
     """(page_id, language, confidence, text_language, declared, host): a row a page."""
     host, domain, suffix = host_levels(F.col("url"))
     kept = ["page_id", "host", "domain", "suffix"]
@@ -212,12 +251,12 @@ def identify_pages(pages: DataFrame, model: TextModel | None, weight: float = WE
         read = [page_text(x or "") for x in batch.column(4).to_pylist()]
         return pa.array([t for t, _ in read], pa.string()), [d for _, d in read]
 
-    scored = save(_scored(rows, model, extract, "page_id long, host string, domain string, suffix string", kept).withColumn("declared", F.col("said")), "evidence")
-    fused = _fused(scored, scored, model, weight, kappa, margin)
-    return fused.select("page_id", "language", "confidence", "text_language", "declared", "host")
+    scored = save(_scored(rows, model, extract, "page_id long, host string, domain string, suffix string", kept), "evidence")
+    fusion, priors = _corpus(scored, model, kappa, margin)
+    return _decide(scored, priors, fusion, ["page_id", "host"], weight, margin, least, False).select("page_id", "language", "confidence", "text_language", "declared", "host")
 
 
-def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", weight: float = WEIGHT, kappa: float = KAPPA, margin: float = MARGIN) -> DataFrame:
+def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", weight: float = WEIGHT, kappa: float = KAPPA, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
     """``docs`` without the rows whose language is rejected; ``declared_col`` stands for the markup language, ``host_col`` for the host."""
     if model is None:
         return docs
@@ -233,5 +272,5 @@ def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "
     evidence = _scored(rows.drop("row"), model, extract, "host string, domain string, suffix string", ["host", "domain", "suffix"])
     kept = f"row {rows.schema['row'].dataType.simpleString()}, host string, domain string, suffix string"
     scored = _scored(rows, model, extract, kept, ["row", "host", "domain", "suffix"])
-    fused = _fused(scored, evidence, model, weight, kappa, margin)
-    return fused.filter("language IS NOT NULL").select("row.*")
+    fusion, priors = _corpus(evidence, model, kappa, margin)
+    return _decide(scored, priors, fusion, ["row"], weight, margin, least, True).select("row.*")
