@@ -149,7 +149,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, id_co
     nodes = save(nodes, "nodes")  # written once, so its numbers stay
     n = nodes.count()
     taken = nodes.select("v", F.xxhash64("least", "node").alias("h")).orderBy("h").limit(sample).select("v").collect()  # at most ``sample`` vectors
-    fit = np.array([r.v for r in taken], np.float64).reshape(len(taken), -1)
+    fit = np.array([r.v for r in taken], np.float64).reshape(len(taken), d)
     fit = fit / np.linalg.norm(fit, axis=1, keepdims=True) if len(fit) else fit
     depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
     wood = vectors.sparkSession.sparkContext.broadcast([Tree(SEED + t, d, depth, fit, spill) for t in range(trees)])
