@@ -210,11 +210,11 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str, support: int,
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
     together = rows.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("both"))
     entities = rows.groupBy("entity", "key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    total = docs.agg(F.count("*").alias("total"))
+    total = docs.count()
     df = term_counts(docs, text_col, pairs.select("term").distinct())
-    scored = together.join(entities, "entity").join(df, "term").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("both") * F.col("total") / (F.col("df_entity") * F.col("df")))
-    ic = F.log2(F.col("total") / F.col("df_entity"))
+    scored = together.join(entities, "entity").join(df, "term")
+    pmi = F.log2(F.col("both") * total / (F.col("df_entity") * F.col("df")))
+    ic = F.log2(total / F.col("df_entity"))
     return scored.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("share")).filter(F.col("share") >= generalise)
 
 
