@@ -25,9 +25,9 @@ def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch that hold about ``most`` bytes of text each, one row at least."""
-    _, at = flat_bytes(batch.column(batch.schema.get_field_index(column)))
+def slices(batch: pa.RecordBatch, column: str | pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold about ``most`` bytes of text each, one row at least. column: its name, or its texts."""
+    _, at = flat_bytes(batch.column(batch.schema.get_field_index(column)) if isinstance(column, str) else column)
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)

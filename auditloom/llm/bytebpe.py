@@ -22,7 +22,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 class WordEncoder:
     """encode(bytes, offsets) gives (ids, offsets). ``most_words`` bounds the words kept between calls."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most_words = most_words

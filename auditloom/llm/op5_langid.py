@@ -38,6 +38,8 @@ from auditloom.llm._store import save
 
 BUCKETS = 1 << 14
 PER_LANGUAGE, MOST_LANGUAGES, WEIGHT, KAPPA, MARGIN, LEAST = 500, 64, 60.0, 20.0, 0.5, 0.5
+#: Bytes of text that are scored together.
+SLICE = 1 << 19
 _LANG = re.compile(r"""<html\b[^>]{0,2000}?\blang\s*=\s*["']?([A-Za-z]{2,8})""", re.IGNORECASE)
 
 
@@ -143,7 +145,7 @@ def _scored(rows: DataFrame, model: TextModel, extract: Extract, kept: str, colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "t", 2 << 20):
+            for batch in slices(whole, "t", SLICE):
                 texts, declared = extract(batch)
                 ll = model.mean_log(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, ll.shape[1], dtype=np.int32)), pa.array(ll.ravel()))
@@ -213,31 +215,29 @@ def _corpus(evidence: DataFrame, model: TextModel, kappa: float, margin: float)
     return Fusion(model.languages, said, kappa), save(priors, "priors")
 
 
-def _decide(scored: DataFrame, priors: DataFrame, fusion: Fusion, kept: list[str], weight: float, margin: float, least: float, only_kept: bool) -> DataFrame:
-    """``kept`` columns of scored with language, confidence, text_language and declared; only_kept drops rejected rows and the verdicts."""
+def _counts(column: pa.Array, k: int) -> np.ndarray:
+    return np.array([x or [0] * k for x in column.to_pylist()], float).reshape(-1, k)
+
+
+def _decide(scored: DataFrame, priors: DataFrame, fusion: Fusion, kept: list[str], weight: float, margin: float, least: float) -> DataFrame:
+    """``kept`` columns of scored with language, confidence, text_language and declared."""
     names = fusion.languages
     joined = scored.join(priors, list(LEVELS), "left").select(*kept, "ll", "said", "suffix_n", "domain_n", "host_n")
 
-    def counts(column: pa.Array) -> np.ndarray:
-        return np.array([x or [0] * len(names) for x in column.to_pylist()], float).reshape(-1, len(names))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(kept)
-            ll, said = counts(batch.column(n)), batch.column(n + 1).to_pylist()
+            ll, said = _counts(batch.column(n), len(names)), batch.column(n + 1).to_pylist()
             own = _own(ll, margin) if len(ll) else np.zeros(0, np.int64)
-            p = fusion.posterior(ll, said, [counts(batch.column(n + 2 + i)) for i in range(3)], own, weight) if len(ll) else ll
+            p = fusion.posterior(ll, said, [_counts(batch.column(n + 2 + i), len(names)) for i in range(3)], own, weight) if len(ll) else ll
             best = p.max(axis=1, initial=0)
             fine = (own >= 0) & (best >= least)
-            if only_kept:
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(fine)).columns[:n], names=kept)
-                continue
             at = p.argmax(axis=1) if len(p) else own
             verdict = [pa.array([names[i] if ok else None for i, ok in zip(at.tolist(), fine.tolist(), strict=True)], pa.string()), pa.array([c if o >= 0 else None for c, o in zip(best.tolist(), own.tolist(), strict=True)], pa.float64()), pa.array([names[o] if o >= 0 else None for o in own.tolist()], pa.string()), pa.array(said, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *verdict], names=[*kept, "language", "confidence", "text_language", "declared"])
 
     schema = ", ".join(f"`{c}` {scored.schema[c].dataType.simpleString()}" for c in kept)
-    return joined.mapInArrow(run, schema if only_kept else schema + ", language string, confidence double, text_language string, declared string")
+    return joined.mapInArrow(run, schema + ", language string, confidence double, text_language string, declared string")
 
 
 def identify_pages(pages: DataFrame, model: TextModel | None, weight: float = WEIGHT, kappa: float = KAPPA, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
@@ -253,7 +253,7 @@ def identify_pages(pages: DataFrame, model: TextModel | None, weight: float = WE
 
     scored = save(_scored(rows, model, extract, "page_id long, host string, domain string, suffix string", kept), "evidence")
     fusion, priors = _corpus(scored, model, kappa, margin)
-    return _decide(scored, priors, fusion, ["page_id", "host"], weight, margin, least, False).select("page_id", "language", "confidence", "text_language", "declared", "host")
+    return _decide(scored, priors, fusion, ["page_id", "host"], weight, margin, least).select("page_id", "language", "confidence", "text_language", "declared", "host")
 
 
 def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", weight: float = WEIGHT, kappa: float = KAPPA, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
@@ -267,10 +267,22 @@ def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "
     def extract(batch: pa.RecordBatch) -> tuple[pa.Array, None]:
         return batch.column(batch.schema.get_field_index("t")).fill_null(""), None
 
-    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
-    rows = docs.select(row, *levels, F.lower(F.col(declared_col).cast("string")).alias("declared"), F.col(text_col).cast("string").alias("t"))
-    evidence = _scored(rows.drop("row"), model, extract, "host string, domain string, suffix string", ["host", "domain", "suffix"])
-    kept = f"row {rows.schema['row'].dataType.simpleString()}, host string, domain string, suffix string"
-    scored = _scored(rows, model, extract, kept, ["row", "host", "domain", "suffix"])
+    said = F.lower(F.col(declared_col).cast("string")).alias("declared")
+    evidence = _scored(docs.select(*levels, said, F.col(text_col).cast("string").alias("t")), model, extract, "host string, domain string, suffix string", list(LEVELS))
     fusion, priors = _corpus(evidence, model, kappa, margin)
-    return _decide(scored, priors, fusion, ["row"], weight, margin, least, True).select("row.*")
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    joined = docs.select(row, *levels, said).join(priors, list(LEVELS), "left").select("row", "declared", "suffix_n", "domain_n", "host_n")
+    at = columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores and judges in one pass, so that a task has one Python worker."""
+        for whole in batches:
+            for batch in slices(whole, whole.column(0).field(at), SLICE):
+                row = batch.column(0)
+                ll = model.mean_log(row.field(at).cast(pa.string()).fill_null(""))
+                own = _own(ll, margin)
+                p = fusion.posterior(ll, batch.column(1).to_pylist(), [_counts(batch.column(2 + i), len(model.languages)) for i in range(3)], own, weight)
+                fine = pa.array((own >= 0) & (p.max(axis=1) >= least))
+                yield pa.RecordBatch.from_arrays([row.field(i).filter(fine) for i in range(len(columns))], names=columns)
+
+    return joined.mapInArrow(run, docs.schema)

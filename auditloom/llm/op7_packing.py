@@ -35,7 +35,7 @@ from auditloom.llm._arrow import flat_bytes, slices
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 0
 #: Most bytes of text that are tokenised at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 _ENCODERS: dict = {}
 
 
@@ -146,7 +146,7 @@ class Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = 2_000_000, sentence_cost: int = 2, forced_cost: int = 6, grid: int = 16) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1_000_000, sentence_cost: int = 2, forced_cost: int = 6, grid: int = 16) -> DataFrame:
     """A row for each piece: ids ``start`` to ``start + length`` of a document's ids stand at ``offset`` of a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
