@@ -234,7 +234,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     keyed = docs.select(F.col(id_col), F.col(text_col), key.alias("dedup_key"))
     rows = save(fingerprints(keyed, id_col, text_col, width, ("dedup_key",)), "fingerprints")
-    named = save(rows.join(_classes(rows, most, cap), "fp").select("root", F.struct(F.col("id").isNull().alias("none"), "id", F.col("dedup_key").alias("md5")).alias("row")), "members")
+    return keep_one(docs, rows.join(_classes(rows, most, cap), "fp"), id_col, key)
+
+
+def keep_one(docs: DataFrame, rooted: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` with one row of each root of ``rooted`` (id, dedup_key, root); ``key`` gives dedup_key of a row of docs."""
+    named = save(rooted.select("root", F.struct(F.col("id").isNull().alias("none"), "id", F.col("dedup_key").alias("md5")).alias("row")), "members")
     least = named.groupBy("root").agg(F.min("row").alias("least"))
     gone = named.join(least, "root").filter(~F.col("row").eqNullSafe(F.col("least"))).select(F.xxhash64("row").alias("h"), F.col("row").alias("gone")).distinct()
     same = named.groupBy("row").count().filter("count > 1").select(F.xxhash64("row").alias("h"), F.col("row").alias("same"))
