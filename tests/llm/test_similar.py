@@ -65,9 +65,9 @@ def test_odd_tables(spark):
 
 
 def test_wide_fingerprints_take_the_majority():
-    sets = [np.array([7, 9, 11], np.uint64), np.zeros(0, np.uint64)]
+    sets = [np.arange(n, dtype=np.uint64) * np.uint64(97) for n in (3, 0, 1, 255, 256, 1000)]
     w = op3_similar.wide_fingerprints(sets, 2)
-    for k in range(2):
-        h = [int(x) for x in op3_similar._mixed(sets[0], k)]
-        assert int(w[0, k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > 3)
-    assert not w[1].any()
+    for i, one in enumerate(sets):
+        for k in range(2):
+            h = [int(x) for x in op3_similar._mixed(one, k)]
+            assert int(w[i, k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
