@@ -11,6 +11,11 @@ copies was made from). All groups together give a text many partners, and each p
 links. Groups over ``cap`` are dealt by pairs of hash-dealt parts of about ``cap / 2``; a family of n different texts that agree on a block thus costs
 work of n squared there, without handing on more than 2 n pairs a part.
 
+These links only spare work: what they leave apart is compared without loss. In one order of all shingles, rare ones first, two sets at ``least`` share
+one of the first n - ceil(least * n) + 1 of each (prefix filter). Texts meet in a group for each such shingle, and every pair there that no
+link has joined yet goes to the exact check, but for those that set sizes, places in the order or parities of 1,024 buckets of shingles (each a
+bound on what two sets share) rule out. A family of n texts below ``least`` that share their rare shingles costs work of n squared.
+
 Equal texts are one node throughout. Nodes are named by 64-bit hashes of MD5.
 
 Defined cases: null counts as empty; texts without words are one class, and resemble no others; a text of fewer than ``width`` words is one shingle;
@@ -26,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import slices
+from auditloom.llm._arrow import ranges, slices
 from auditloom.llm._graph import components
 from auditloom.llm._store import save
-from auditloom.llm.op3_simhash import SEED, close_pairs, gray_rank, keep_one
+from auditloom.llm.op3_simhash import PAIRS, SEED, close_pairs, gray_rank, keep_one
 
 WORDS, KEPT, NEAR, FAR, CAP, LEAST = 12, 4, 16, 52, 4096, 0.8
 #: Rows of groups that are searched together.
 ROWS = 1 << 13
+#: Texts whose shingles are counted for the order, shingles whose counts are kept, and longs of a set's parities.
+SAMPLE, COMMON, PARITIES = 1 << 13, 1 << 17, 16
 #: The bits of a byte as eight bytes, so that one addition counts eight bits of up to 255 hashes.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -162,6 +169,148 @@ def candidates(prints: DataFrame, cap: int = CAP, least: float = LEAST) -> DataF
     return out.union(found(tiled.repartition("g"))).distinct()
 
 
+def _common(texts: DataFrame, width: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes in order, texts of a sample that have them): only the order rests on it, so what a sample misses costs time, not links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "t", 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, width) for t in batch.column(1).to_pylist()]).view(np.int64))], names=["s"])
+
+    step = -(-many // SAMPLE) or 1
+    counts = texts.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).dropDuplicates(["node"]).mapInArrow(run, "s long").groupBy("s").count()
+    rows = counts.filter("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    shingles, times = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], times[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set in the common order, so many that sets of similarity ``least`` share one."""
+    known, times = common
+    rank = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, times[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))][: n - int(np.ceil(least * n - 1e-9)) + 1]
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Whether each bucket of a set's shingles holds an odd number, as bits of PARITIES longs."""
+    bits = 64 * PARITIES
+    bucket = (np.concatenate(sets) % np.uint64(bits)).astype(np.int64) + bits * np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = np.bincount(bucket, minlength=bits * len(sets)).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(sets), bits), axis=1).view(np.int64)
+
+
+def _prefixed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, least: float) -> DataFrame:
+    """(node, n, p: prefix, odd: parities) of (node, t) with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "t", 1 << 20):
+                sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+                some = np.array([len(s) > 0 for s in sets], bool)
+                sets = [s for s in sets if len(s)]
+                if not sets:
+                    continue
+                first = [prefix(s, common, least) for s in sets]
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
+                odd = pa.ListArray.from_arrays(pa.array(np.arange(0, PARITIES * len(sets) + 1, PARITIES, dtype=np.int32)), pa.array(parities(sets).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array([len(s) for s in sets], pa.int64()), lists, odd], names=["node", "n", "p", "odd"])
+
+    return texts.mapInArrow(run, "node long, n long, p array<long>, odd array<long>")
+
+
+def crossing(x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different roots in a group that sizes and places allow; x: rows g, root, node, n, i, sorted by g and root."""
+    g, root, node, n, i = x
+    total = x.shape[1]
+    last = np.searchsorted(np.flatnonzero(np.append(g[1:] != g[:-1], True)), np.arange(total))
+    end = np.flatnonzero(np.append(g[1:] != g[:-1], True))[last] + 1
+    turn = np.flatnonzero(np.append((g[1:] != g[:-1]) | (root[1:] != root[:-1]), True))
+    after = turn[np.searchsorted(turn, np.arange(total))] + 1
+    work = np.cumsum(end - after)
+    start = 0
+    while start < total:
+        stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + PAIRS, "right")))
+        b = ranges(after[start:stop], (end - after)[start:stop])
+        a = np.repeat(np.arange(start, stop), (end - after)[start:stop])
+        fits = np.minimum(n[a] - i[a], n[b] - i[b]) * (1 + least) >= least * (n[a] + n[b]) - 1e-6
+        fits &= np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6
+        a, b = node[a[fits]], node[b[fits]]
+        if len(a):
+            yield tuple(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+        start = stop
+
+
+def _cross(least: float, cap: int | None):
+    """Over rows (g, root, node, n, i) sorted by g and root: pairs as (null, u, v, 0, 0), and the rows of groups over ``cap`` unless of one root."""
+    names = ["g", "root", "node", "n", "i"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            begins = np.flatnonzero(np.append(True, x[0, 1:] != x[0, :-1]))
+            size = np.diff(np.append(begins, x.shape[1]))
+            # Sorted by root, so a group of several differs at its ends.
+            several = x[1, begins] != x[1, begins + size - 1]
+            over = several & (size > cap) if cap else np.zeros(len(size), bool)
+            if over.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x[:, np.repeat(over, size)]], names=names)
+            for u, v in crossing(x[:, np.repeat(several & ~over, size)], least):
+                none = pa.array(np.zeros(len(u), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v), none, none], names=names)
+
+        rows = 0
+        for batch in batches:
+            x = np.stack([batch.column(k).to_numpy() for k in range(5)])
+            new = np.flatnonzero(x[0] != np.append(held[-1][0, -1] if held else x[0, :1], x[0, :-1])) if x.shape[1] else []
+            if rows + x.shape[1] >= ROWS and len(new):
+                yield from pairs(np.concatenate([*held, x[:, : new[-1]]], axis=1))
+                held, rows = [x[:, new[-1] :]], x.shape[1] - new[-1]
+            elif x.shape[1]:
+                held.append(x)
+                rows += x.shape[1]
+        if held:
+            yield from pairs(np.concatenate(held, axis=1))
+
+    return run
+
+
+def remaining(prefixes: DataFrame, roots: DataFrame, cap: int = CAP, least: float = LEAST) -> DataFrame:
+    """(u, v) with u < v: all pairs that may reach ``least`` and are not of one root. roots: (node, root)."""
+    schema, columns = "g long, root long, node long, n long, i long", ["g", "root", "node", "n", "i"]
+    rows = prefixes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("p").alias("i", "g"))
+    rows = rows.select("g", "root", "node", "n", F.col("i").cast("long").alias("i"))
+    found = lambda x, most: x.repartition("g").sortWithinPartitions("g", "root").select(*columns).mapInArrow(_cross(least, most), schema)
+    first = save(found(rows, cap), "crossed")
+    ends = [F.col("root").alias("u"), F.col("node").alias("v")]
+    out, hot = first.filter("g IS NULL").select(*ends), first.filter("g IS NOT NULL")
+    sizes = save(hot.groupBy("g").count(), "hot")
+    if not sizes.isEmpty():
+        parts = F.ceil(F.col("count") * 2 / cap).cast("int")
+        dealt = hot.join(sizes, "g").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("a"), F.greatest("own", other).alias("b")))
+        tiled = dealt.select(*columns, F.inline(tiles)).withColumn("g", F.xxhash64("g", "a", "b")).select(*columns)
+        out = out.union(found(tiled, None).select(*ends))
+    pairs = out.distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.asarray(batch.column(k).flatten()).view(np.uint64).reshape(-1, PARITIES) for k in (3, 5))
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            # Sets at least apart differ in (1 - least) / (1 + least) of their sizes' sum at most, and in each bucket of unequal parity once or more.
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (1 + least) <= (1 - least) * n + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["u", "v"])
+
+    left, right = (prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "ou", "nv", "ov").mapInArrow(run, "u long, v long")
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs whose whole texts are similar enough."""
 
@@ -194,9 +343,17 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = docs.select(F.col(id_col).alias("id"), key.alias("dedup_key"), node.alias("node"))
     some = docs.select(node.alias("node"), text.alias("t")).filter("node != 0")
     prints = save(_fingerprinted(some, width).dropDuplicates(["node"]), "prints")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        texts = save(some.join(ends, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "texts")
+        return save(_checked(pairs, texts, width, least), "linked")
+
     pairs = save(candidates(prints, cap, least), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = save(some.join(ends, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "texts")
-    linked = save(_checked(pairs, texts, width, least), "linked")
+    linked = checked(pairs)
+    common = _common(some, width, prints.count())
+    prefixes = save(_prefixed(some, common, width, least).dropDuplicates(["node"]), "prefixes")
+    rest = save(remaining(prefixes, components(linked), cap, least).join(pairs, ["u", "v"], "left_anti"), "rest")
+    linked = linked.union(checked(rest))
     rooted = nodes.join(components(linked), "node", "left").select("id", "dedup_key", F.coalesce("root", "node").alias("root"))
     return keep_one(docs, rooted, id_col, key)

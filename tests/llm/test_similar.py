@@ -71,3 +71,32 @@ def test_wide_fingerprints_take_the_majority():
         for k in range(2):
             h = [int(x) for x in op3_similar._mixed(one, k)]
             assert int(w[i, k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def family(rng: random.Random, mates: int, pairs: int) -> list[str]:
+    """Texts of 200 shingles with a similarity of 0.74 to each other, of which some have a copy at 0.82."""
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(204)]
+
+    def changed(words: list[str], places: list[int], tag: str) -> list[str]:
+        words = list(words)
+        for p in places:
+            words[p] = f"{tag}n{p}"
+        return words
+
+    out = []
+    for m in range(mates):
+        places = rng.sample(range(8, 196, 6), 7)
+        one = changed(base, places[:3], f"a{m}")
+        out.append(" ".join(one))
+        if m < pairs:
+            out.append(" ".join(changed(one, places[3:], f"b{m}")))
+    return out
+
+
+@pytest.mark.parametrize("cap", [4096, 200])
+def test_pairs_within_a_family_of_lesser_similarity(spark, cap):
+    texts = family(random.Random(7), 360, 40)
+    root = roots([grams(t) for t in texts])
+    assert len(texts) - len(set(root)) >= 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in op3_similar.drop_similar(docs, cap=cap).collect()} == set(root)
