@@ -3,7 +3,7 @@
 Two texts are near-duplicates if their sets of ``width``-word shingles have a Jaccard similarity of ``least`` = 0.8 or more. At 0.8 two 64-bit
 fingerprints differ in 10 bits on average, too many for blocks of one fingerprint. So each different text gets ``WORDS`` fingerprints of 64 bits
 from its set of shingles, and goes to a group for each 16-bit block of each. A pair at 0.8 agrees on a block with probability 0.072, on one of 48
-with 0.97; at 0.9 with 0.9999. In a group the Gray-order index finds pairs that differ in at most ``NEAR`` bits of the first fingerprint,
+with 0.97; at 0.9 with 0.9999 (before the cuts below, and for many shingles: fewer lose more). In a group the Gray-order index finds pairs that differ in at most ``NEAR`` bits of the first fingerprint,
 those over ``FAR`` bits of the first four go, as do pairs whose set sizes rule 0.8 out.
 
 Of a group's pairs each text hands on two: with its nearest partner, and with the partner of most partners (the text that a family of

@@ -100,3 +100,13 @@ def test_pairs_within_a_family_of_lesser_similarity(spark, cap):
     assert len(texts) - len(set(root)) >= 40
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in op3_similar.drop_similar(docs, cap=cap).collect()} == set(root)
+
+
+def test_short_texts_at_the_least_similarity(spark):
+    words = [f"w{i}" for i in range(60 * 9)]
+    texts = []
+    for i in range(60):
+        one = words[9 * i : 9 * i + 9]
+        texts += [" ".join(one), " ".join(one[:8])]  # five shingles and four of them
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in op3_similar.drop_similar(docs).collect()) == list(range(0, 120, 2))
