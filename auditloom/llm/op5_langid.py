@@ -107,10 +107,11 @@ class TextModel:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> TextModel | None:
     """A text model of a bounded sample, about most_languages * per_language texts at most; equal texts count once."""
     rows = labelled.select(F.lower(F.col(label_col)).alias("l"), F.col(text_col).cast("string").alias("t")).filter("l IS NOT NULL AND t IS NOT NULL AND t != ''")
-    top = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    top = rows.groupBy("l").agg(F.count("*").alias("rows"), F.count_distinct(F.xxhash64("t")).alias("texts")).orderBy(F.desc("rows"), "l").limit(most_languages).collect()
     if not top:
         return None
-    share = F.create_map(*(x for r in top for x in (F.lit(r.l), F.lit(per_language / r["count"]))))
+    # Of different texts, not rows: a label of mostly copies would get few texts or none. Up to per_language all are taken.
+    share = F.create_map(*(x for r in top for x in (F.lit(r.l), F.lit(per_language / r["texts"]))))
     hashed = rows.filter(F.col("l").isin([r.l for r in top])).withColumn("h", F.xxhash64("t"))
     low = F.col("h").bitwiseAND(0xFFFFFFFF) / float(1 << 32)
     sample = hashed.filter(low < F.element_at(share, F.col("l"))).groupBy("l", "h").agg(F.any_value("t").alias("t"))

@@ -237,6 +237,16 @@ def test_languages(spark):
     assert op5_langid.filter_documents(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_counts_different_texts(spark):
+    few = [f"the quick brown fox number {w} jumps over the lazy dog" for w in ("one", "two", "three")]
+    rows = [(t, "en", "a.org") for t in few for _ in range(400)] + [(f"der schnelle braune fuchs {i} springt", "de", "b.org") for i in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    model = op5_langid.fit(docs, per_language=4)
+    assert model.languages == ["en", "de"]
+    assert (model.log.max(axis=1) > model.log.min(axis=1)).all()
+    assert op5_langid.filter_documents(docs, model).filter("lang = 'en'").count() == 1200
+
+
 def test_page_text_takes_linear_time():
     for source in ("<script" * 20_000, "<!--" * 20_000, "<" * 50_000):
         op5_langid.page_text(source)
