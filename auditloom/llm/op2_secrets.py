@@ -6,7 +6,9 @@ one out a step,
 
     H = log2(W) - (sum of c * log2(c) over the counts) / W
 
-and a candidate is reported if some window exceeds its class's threshold and no allow-list pattern covers it.
+and a candidate is reported if some window exceeds its class's threshold, unless an allow-list pattern covers the candidate; windows that
+overlap a dummy word don't count. A step replaces two bytes of a string of counts, so its cost depends on neither the
+window nor the candidate. No pattern repeats a group: a text of any length and kind takes bounded stack.
 
 Positions come from splitting a text by the same pattern that extracts the matches: a match ends where the lengths of all
 pieces and matches up to it add up to. The running sum is taken in blocks, so its cost stays close to linear in
@@ -36,14 +38,17 @@ CLASSES = (
     ("hex", "[0-9A-Fa-f]{24,}", 24, 2.9501),
     ("alnum", "[A-Za-z0-9+/_-]{24,}", 24, 3.8501),
 )
-#: Candidates that are no secrets however varied their characters: words, words joined by marks, digits, UUIDs, dummies.
+#: Candidates that are no secrets however varied their characters: one word, digits, UUIDs. No pattern repeats a group, as Java's
+#: engine takes a stack frame for each repeat; words joined by marks are told by what they lack (``allowed``).
 ALLOW = (
     r"[A-Za-z]?[a-z]+|[A-Z]+",
-    r"[A-Za-z]+([-_/+][A-Za-z]+)+",
     r"[0-9+/_-]+",
-    r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    r".*(?i:example|placeholder|dummy|xxxx|0123456789|abcdefgh).*",
+    r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
 )
+#: Dummies: no window may overlap one, but what stands beside it in the same candidate is judged on its own.
+DUMMY = "(?i:example|placeholder|dummy|xxxx|0123456789|abcdefgh)"
+#: Least code of a candidate's characters, and how many codes there are from it on.
+FIRST, CODES = 43, 80
 BLOCK = 64
 
 
@@ -89,36 +94,50 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def peak_entropy(candidate: Column, window: int) -> Column:
-    """Greatest entropy, in bits, of a window of ``window`` characters; 0 for shorter strings."""
-    part = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
+    """Greatest entropy, in bits, of a window of ``window`` characters; 0 for shorter strings.
+
+    The counts of a window are the bytes of a string with a place for each code, so that a step replaces two of them.
+    """
+    part = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
 
     def slid(chars: Column) -> Column:
-        def code(i: Column) -> Column:
-            return F.least(F.ascii(F.element_at(chars, i)), F.lit(127))
+        def place(i: Column) -> Column:
+            return F.ascii(F.element_at(chars, i)) - (FIRST - 1)
+
+        def count(counts: Column, at: Column) -> Column:
+            return F.ascii(F.substring(counts, at, F.lit(1))) - FIRST
+
+        def put(counts: Column, at: Column, n: Column) -> Column:
+            return F.overlay(counts, F.char(n + FIRST), at, F.lit(1))
+
+        def gone(s: Column, i: Column) -> Column:
+            """Counts and total without the character that leaves."""
+
+            def less(at: Column) -> Column:
+                return let(count(s["counts"], at), lambda n: F.struct(put(s["counts"], at, n - 1).alias("counts"), (s["total"] - F.get(part, n) + F.get(part, n - 1)).alias("total"), s["peak"].alias("peak")))
+
+            return F.when(i > window, let(place(i - window), less)).otherwise(s)
+
+        def come(s: Column, i: Column) -> Column:
+            def more(at: Column) -> Column:
+                return let(count(s["counts"], at), lambda n: let(s["total"] - F.get(part, n) + F.get(part, n + 1), lambda total: F.struct(put(s["counts"], at, n + 1).alias("counts"), total.alias("total"), F.greatest(s["peak"], F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))).alias("peak"))))
 
-        def step(s: Column, i: Column) -> Column:
-            come, go = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(-1))
+            return let(place(i), more)
 
-            def moved(x: Column) -> Column:
-                come, go = x["come"], x["go"]
-                of_go = F.when(go >= 0, F.element_at(s["counts"], go + 1)).otherwise(F.lit(1))
-                of_come = F.element_at(s["counts"], come + 1) - F.when(come == go, 1).otherwise(0)
-                total = s["total"] - F.element_at(part, of_go + 1) + F.element_at(part, of_go) - F.element_at(part, of_come + 1) + F.element_at(part, of_come + 2)
-                counts = F.transform(s["counts"], lambda c, k: c + F.when(k == come, 1).otherwise(0) - F.when(k == go, 1).otherwise(0))
-                full = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-                return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(s["peak"], full).alias("peak"))
+        start = F.struct(F.lit(chr(FIRST) * CODES).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("peak"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, lambda s, i: let(gone(s, i), lambda t: come(t, i)), lambda s: s["peak"])
 
-            return let(F.struct(come.alias("come"), go.alias("go")), moved)
+    return F.when(F.length(candidate) >= window, let(F.split(candidate, ""), slid)).otherwise(F.lit(0.0))
 
-        start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("peak"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda s: s["peak"])
 
-    return let(F.split(candidate, ""), lambda chars: F.when(F.length(candidate) >= window, slid(chars)).otherwise(F.lit(0.0)))
+def varied(candidate: Column, window: int, bits: float) -> Column:
+    """Whether a window that overlaps no dummy has more than ``bits`` bits."""
+    return F.exists(F.split(candidate, DUMMY, -1), lambda piece: peak_entropy(piece, window) > bits)
 
 
 def allowed(candidate: Column) -> Column:
-    """Whether an allow-list pattern covers a candidate."""
-    out = F.lit(False)
+    """Whether the allow-list covers a candidate. Words joined by marks: letters at both ends, no digit, no two marks in a row."""
+    out = candidate.rlike(r"^[A-Za-z]") & candidate.rlike(r"[A-Za-z]\z") & ~candidate.rlike(r"[0-9]|[-_/+][-_/+]")
     for pattern in ALLOW:
         out = out | candidate.rlike(rf"^(?:{pattern})\z")
     return out
@@ -135,12 +154,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def long_enough(pattern: str, group: int, least: int) -> Column:
         return F.filter(matches(F.col("text"), pattern, group), lambda m: F.length(m["value"]) >= least)
 
-    def varied(pattern: str, window: int, bits: float) -> Column:
+    def suspects(pattern: str, window: int, bits: float) -> Column:
         candidates = F.filter(matches(F.col("text"), pattern), lambda m: ~allowed(m["value"]))
-        return F.filter(candidates, lambda m: peak_entropy(m["value"], window) > bits)
+        return F.filter(candidates, lambda m: varied(m["value"], window, bits))
 
     base = [long_enough(pattern, group, least) for _, pattern, group, least in BASE]
-    added = [varied(pattern, window, bits) for _, pattern, window, bits in CLASSES]
+    added = [suspects(pattern, window, bits) for _, pattern, window, bits in CLASSES]
     df = df.select("doc_id", *(_ranked(x, kind, i).alias(f"b{i}") for i, (x, (kind, *_)) in enumerate(zip(base, BASE, strict=True))), _ranked(F.array_distinct(F.concat(*added)), "entropy", len(BASE)).alias("added"))
     return df.select("doc_id", *(F.size(f"b{i}").cast("long").alias(f"n_{kind}") for i, (kind, *_) in enumerate(BASE)), F.sort_array(F.concat(*(F.col(f"b{i}") for i in range(len(BASE))))).alias("base"), F.sort_array("added").alias("added"))
 
@@ -167,11 +186,12 @@ def _sql() -> str:
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         found = f"list_filter({_sql_matches(pattern, group)}, lambda m: length(m.value) >= {least})"
         spans.append((kind, rank, found))
-    allow = " OR ".join("regexp_full_match(m.value, '{}')".format(p.replace("'", "''")) for p in ALLOW)
+    allow = " OR ".join("regexp_full_match(m.value, '{}')".format(p.replace("'", "''")) for p in (*ALLOW, "[A-Za-z]+([-_/+][A-Za-z]+)+"))
     added = []
     for _, pattern, window, bits in CLASSES:
-        windows = f"list_transform(range(1, length(m.value) - {window} + 2), lambda i: list_entropy(string_split(m.value[i:i + {window} - 1], '')))"
-        added.append(f"list_filter({_sql_matches(pattern)}, lambda m: NOT ({allow}) AND list_max({windows}) > {bits})")
+        windows = f"list_transform(range(1, length(p) - {window} + 2), lambda i: list_entropy(string_split(p[i:i + {window} - 1], '')))"
+        peak = f"list_max(flatten(list_transform(string_split_regex(m.value, '{DUMMY}'), lambda p: {windows})))"
+        added.append(f"list_filter({_sql_matches(pattern)}, lambda m: NOT ({allow}) AND {peak} > {bits})")
     text = "(SELECT doc_id, coalesce(text, '') AS txt FROM documents)"
     struct = lambda kind, rank, x: f"list_transform({x}, lambda m: {{'start': m.start, 'rank': {rank}, 'end': m.start + m.len, 'kind': '{kind}'}})"
     join = lambda x: f"array_to_string(list_transform({x}, lambda s: s.kind || ':' || s.start || ':' || s.\"end\"), ',')"
