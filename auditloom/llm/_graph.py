@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._store import Saved
+from auditloom.llm._store import drop, save
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -29,17 +29,17 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v: long); root is the smallest node reachable."""
-    now = Saved(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = save(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
-        large = _star(_both(now.df), True).filter("u != v").distinct()
-        new = Saved(_star(_both(large), False).filter("u != v").distinct(), "edges")
-        row = new.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now.drop()
+        large = _star(_both(now), True).filter("u != v").distinct()
+        new = save(_star(_both(large), False).filter("u != v").distinct(), "edges")
+        row = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        drop(now)
         now, before, state = new, state, tuple(row)
         if state == before or not state[0]:
             break
-    roots = now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 

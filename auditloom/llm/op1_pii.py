@@ -6,16 +6,21 @@ them together more than chance allows. Over documents, with D documents in all,
     information of entity c        IC(c)     = log2(D / df(c))
     disclosure by term t           PMI(c; t) = log2(df(c, t) * D / (df(c) * df(t)))
 
-where df(c, t) counts the documents with t among the ``reach`` words next to c. PMI equals IC when t never comes without c. A
-term whose share PMI / IC is ``generalise`` or more is replaced by a general label, one at ``remove`` or more is
-removed, provided that ``support`` or more different contexts show the pair (copies of one passage count once, so a passage
-that was merely copied doesn't make its words revealing). Other words than letters and digits are no terms.
+where df counts rows throughout, and df(c, t) those with t among the ``reach`` words next to c. PMI equals IC when t never comes without c. How sure
+a corpus makes that is part of the measure: for the observed df(c, t) / df(t) its lower confidence bound (Wilson's, at ``z`` deviations) is
+taken, so
 
-Counting: (1) entities and their neighbouring terms are found map-side and only these small rows are shuffled; pairs with
-too little support go. (2) df(t) is counted over all documents, but only for the terms of pairs that are left: a
-bitmap of fixed size (2**20 bits, 128 KiB) over hashes of these terms is sent to the tasks, which drop other terms before any
-shuffle, and a join removes what the bitmap let through. Every group is combined before its shuffle; joins on entity and
-term leave skew to the adaptive join.
+    share(c; t) = log2(bound(df(c, t), df(t)) * D / df(c)) / IC(c)
+
+A term seen once beside an entity seen once loses one bit by it, one seen ten times a seventh of a bit. A term whose share is ``remove`` or more is
+removed, one at ``generalise`` or more is replaced by the most specific of its general forms - its first four characters, its first two,
+its class (word or number) - whose own share, counted alike over all words of that form, is under ``generalise``; the class says nothing and always will do.
+A term beside several entities takes the most general of their verdicts.
+
+Counting: (1) entities and the words next to them are found map-side and only these small rows are shuffled. (2) df(t) is counted over
+all rows, but only for the terms and forms of (1): a bitmap over their hashes, 16 bits for each up to ``MOST_BITS``
+in all (4 MiB), is sent to the tasks, which drop others before any shuffle, and a join removes what the bitmap let through. Every group is
+combined before its shuffle; joins on entity and term leave skew to the adaptive join.
 
 Offsets are code points, ends exclusive. Base kinds: leftmost matches that don't overlap, one kind at a time; matches that
 fail their test are dropped without another try.
@@ -26,8 +31,8 @@ give equal results); an empty table gives no rows; extra columns are carried by
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._store import save
+from auditloom.llm._store import drop, save
 
 #: Kinds in order, and their patterns (fixed values).
 KINDS = ("email", "ip", "card", "phone")
@@ -47,8 +52,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM, REMOVED = "term", "removed"
-REACH, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.6, 0.95
-BITS = 20
+REACH, Z, GENERALISE, REMOVE = 5, 1.0, 0.6, 0.9
+#: Characters that the general forms of a term keep, the most specific form first.
+PREFIXES = (4, 2)
+LEAST_BITS, MOST_BITS = 16, 25
 # The same matches as the patterns' in linear time: a run of digits is tried once, from its start, and an address from its @.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _PHONE = re.compile(PATTERNS["phone"])
@@ -96,7 +103,7 @@ def _cards(text: str) -> list[tuple[int, int]]:
 def find_base(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = [("email", *span) for span in _emails(text)] if "@" in text else []
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m.group().split("."))]
     out += [("card", *span) for span in _cards(text)]
     if "+" in text:
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
@@ -107,34 +114,41 @@ def spans_digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, context) of the words next to each span; words inside other spans are passed over."""
+def _neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of the words next to each span: ``reach`` on each side, words that touch a span passed over."""
     taken = sorted((a, b) for _, a, b in spans)
+    words, at, upto = [], 0, -1
+    for m in _WORD.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            upto = max(upto, taken[at][1])
+            at += 1
+        if upto <= m.start():
+            words.append(m.span())
+    starts = [s for s, _ in words]
     for kind, a, b in spans:
-        entity = f"{kind}:{text[a:b].lower() if kind == 'email' else ''.join(filter(str.isdigit, text[a:b])) if kind != 'ip' else text[a:b]}"
-        before, far = [], 64 * reach
-        for m in _WORD.finditer(text, max(0, a - far), a):
-            before.append(m.span())
-        if before and before[0][0] == max(0, a - far) > 0:
-            before = before[1:]  # may be the end of a longer word
-        after = []
-        for m in _WORD.finditer(text, b, min(len(text), b + far)):
-            after.append(m.span())
-            if len(after) > reach:
-                break
-        if after and after[-1][1] == b + far < len(text):
-            after = after[:-1]
-        near = before[-reach:] + after[:reach]
-        words = [(s, e) for s, e in near if not any(s < y and x < e for x, y in taken if x - far <= s <= y + far)]
-        context = int.from_bytes(hashlib.blake2b(" ".join(text[s:e] for s, e in words).encode(), digest_size=8).digest(), "little", signed=True)
-        for s, e in words:
-            yield entity, text[s:e].lower(), s, e, context
-
-
-def _hash(terms: list[str]) -> np.ndarray:
+        value = text[a:b]
+        entity = f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else ''.join(filter(str.isdigit, value))}"
+        before, after = bisect_left(starts, a), bisect_left(starts, b)
+        for s, e in (*words[max(0, before - reach) : before], *words[after : after + reach]):
+            yield entity, text[s:e].lower(), s, e
+
+
+def forms(term: str) -> list[str]:
+    """The term and its general forms, the most specific first; a mark that no word holds ends a general form."""
+    return [term, *(term[:n] + "*" for n in PREFIXES if len(term) > n)]
+
+
+def general_form(term: str, level: int) -> str:
+    """What a term becomes: at levels 1 and 2 a general form, beyond them its class."""
+    if level <= len(PREFIXES):
+        return term[: PREFIXES[level - 1]] + "*"
+    return "[NUMBER]" if term.isdigit() else "[WORD]"
+
+
+def _hash(terms: list[str], bits: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh64_intdigest(t.encode()) >> (64 - BITS) for t in terms), np.int64, len(terms))
+    return np.fromiter((xxh64_intdigest(t.encode()) >> (64 - bits) for t in terms), np.int64, len(terms))
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -142,15 +156,15 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
-FOUND = "key string, n array<int>, base string, terms array<struct<entity:string,term:string,start:int,end:int,context:long>>"
+FOUND = "key string, n array<int>, base string, terms array<struct<entity:string,term:string,start:int,end:int>>"
 
 
 def find_entities(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     """A row a document that has base spans: its key, counts by kind, spans and the terms next to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("entity", "term", "start", "end", "context")
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
+        names = ("entity", "term", "start", "end")
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
         for batch in batches:
             keys, ns, bases, terms = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -166,65 +180,97 @@ def find_entities(docs: DataFrame, id_col: str, text_col: str, reach: int) -> Da
     return docs.select(with_key(docs, id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, FOUND)
 
 
-def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """(term, df) over all documents, for the given terms only."""
+def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(form, df): rows that hold a word of the form, for the forms of ``wanted`` only."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * wanted.count()).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_hash(batch.column(0).to_pylist()))
+            at = np.unique(_hash(batch.column(0).to_pylist(), bits))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(1 << (at & 31))], names=["word", "bit"])
 
-    words = terms.select("term").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect()
-    bitmap = np.zeros(1 << (BITS - 5), np.uint32)  # at most 2**15 rows were collected
-    for row in words:
-        bitmap[row.word] = row.bits
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
+    words = wanted.select("form").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 5), np.uint32)  # as many rows at most, 2**20
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, counts, known = wanted.value, Counter(), {}
+        bitmap, counts, known = sent.value, Counter(), {}
+
+        def learn(new: list[str]) -> None:
+            """The wanted forms of words not met before."""
+            of = [forms(w.lower()) for w in new]
+            at = _hash([f for x in of for f in x], bits)
+            hit = iter(((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1).tolist())
+            known.update((w, tuple([f for f in x if next(hit)])) for w, x in zip(new, of, strict=True))
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["form", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                here = set(_WORD.findall(text.lower())) if text else ()
-                new = [w for w in here if w not in known]
-                if new:
-                    at = _hash(new)
-                    known.update(zip(new, ((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1).tolist(), strict=True))
-                counts.update(w for w in here if known[w])
-                if len(known) > 500_000:
+                here = set(_WORD.findall(text)) if text else ()
+                if new := [w for w in here if w not in known]:
+                    learn(new)
+                counts.update({f for w in here for f in known[w]})
+                if len(known) > 300_000:
                     known.clear()
             if len(counts) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-                counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
-    counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    return counted.join(terms, "term", "left_semi")
-
-
-def disclosures(docs: DataFrame, found: DataFrame, text_col: str, support: int, generalise: float) -> DataFrame:
-    """(entity, term, share): pairs that exceed the threshold. share is PMI / IC."""
-    rows = found.select("key", F.inline("terms"))
-    pairs = rows.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
-    pairs = save(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    together = rows.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    entities = rows.groupBy("entity", "key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+                yield counted()
+                counts.clear()
+        yield counted()
+
+    all_ = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("df"))
+    return all_.join(wanted, "form", "left_semi")
+
+
+def _bound(k: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a share of which k in n were seen."""
+    return (k + z * z / 2 - z * F.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z)
+
+
+def disclosures(docs: DataFrame, found: DataFrame, text_col: str, z: float) -> DataFrame:
+    """(entity, form, share) of all terms next to an entity and their general forms. found has one row a key, and ``rows`` it stands for."""
+    rows = found.select("key", "rows", F.inline("terms"))
+    general = [F.when(F.length("term") > n, F.concat(F.substring("term", 1, n), F.lit("*"))) for n in PREFIXES]
+    formed = rows.select("entity", F.explode(F.array_compact(F.array("term", *general))).alias("form"), "key", "rows")
+    together = save(formed.groupBy("entity", "form", "key").agg(F.max("rows").alias("rows")).groupBy("entity", "form").agg(F.sum("rows").alias("both")), "together")
+    if together.isEmpty():
+        return together.select("entity", "form", F.lit(0.0).alias("share"))
+    entities = rows.groupBy("entity", "key").agg(F.max("rows").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("df_entity"))
     total = docs.count()
-    df = term_counts(docs, text_col, pairs.select("term").distinct())
-    scored = together.join(entities, "entity").join(df, "term")
-    pmi = F.log2(F.col("both") * total / (F.col("df_entity") * F.col("df")))
-    ic = F.log2(total / F.col("df_entity"))
-    return scored.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("share")).filter(F.col("share") >= generalise)
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(key, n, base, added) for rows that have findings; added: array<struct<kind, start, end>> sorted by kind as listed, then start."""
-    found = save(find_entities(docs, id_col, text_col, reach), "entities").dropDuplicates(["key"])
-    over = save(disclosures(docs, found, text_col, support, generalise), "disclosures")
-    kind = F.when(F.col("share") >= remove, REMOVED).otherwise(TERM)
-    hits = found.select("key", F.inline("terms")).join(over, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
-    added = hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.col("share") >= remove).cast("int").alias("rank"), "start", "end", kind.alias("kind")))).alias("added"))
+    wanted = save(together.select("form").distinct(), "forms")
+    df = term_counts(docs, text_col, wanted)
+    scored = together.join(entities, "entity").join(df, "form")
+    bits = F.log2(total / F.col("df_entity"))
+    told = F.log2(_bound(F.col("both"), F.col("df"), z) * total / F.col("df_entity"))
+    shares = save(scored.select("entity", "form", F.when(bits > 0, told / bits).otherwise(F.lit(0.0)).alias("share")), "shares")
+    drop(together, wanted)
+    return shares
+
+
+def verdicts(shares: DataFrame, generalise: float, remove: float) -> DataFrame:
+    """(entity, term, level) of terms that disclose too much: the general form to use, or one beyond the last level to remove."""
+    terms = shares.filter((F.col("share") >= generalise) & ~F.col("form").endswith("*")).select("entity", F.col("form").alias("term"), F.col("share").alias("s0"))
+    last = len(PREFIXES) + 1
+    level = F.lit(last)
+    for i, n in reversed(list(enumerate(PREFIXES, 1))):
+        form = F.when(F.length("term") > n, F.concat(F.substring("term", 1, n), F.lit("*")))
+        terms = terms.withColumn(f"f{i}", form)
+        held = shares.select(F.col("entity").alias("e"), F.col("form").alias("f"), F.col("share").alias(f"s{i}"))
+        terms = terms.join(held, (F.col("entity") == F.col("e")) & (F.col(f"f{i}") == F.col("f")), "left").drop("e", "f")
+        level = F.when(F.col(f"s{i}") < generalise, i).otherwise(level)
+    return terms.select("entity", "term", F.when(F.col("s0") >= remove, last + 1).otherwise(level).alias("level"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, z: float = Z, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(key, n, base, added) for rows that have findings; added: array<struct<removed, start, end, level>>, generalised terms first, each kind by start."""
+    found = find_entities(docs, id_col, text_col, reach).groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "base", "terms")), F.count("*").alias("rows"))
+    found = save(found, "entities")
+    over = verdicts(disclosures(docs, found, text_col, z), generalise, remove)
+    hits = found.select("key", F.inline("terms")).join(over, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("level").alias("level"))
+    last = len(PREFIXES) + 1
+    added = hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.col("level") > last).alias("removed"), "start", "end", "level"))).alias("added"))
     return found.select("key", "n", "base").join(added, "key", "left")
 
 
@@ -233,18 +279,23 @@ def pii_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = find(docs, id_col, text_col, **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), with_key(docs, id_col, text_col).alias("key")).join(found, "key", "left")
     base = F.coalesce("base", F.lit(""))
-    added = F.array_join(F.transform("added", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    added = F.array_join(F.transform("added", lambda s: F.concat_ws(":", F.when(s["removed"], REMOVED).otherwise(TERM), s["start"], s["end"])), ",")
     spans = F.concat_ws(",", "base", F.when(F.size("added") > 0, added))
     return rows.select("doc_id", *(F.coalesce(F.get("n", F.lit(i)), F.lit(0)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
-def mask(text: str, base: list[tuple[str, int, int]], added: list[tuple[str, int, int]]) -> str:
-    """The text with base spans as [KIND], general terms as [TERM] and removed terms gone. Spans that touch one another merge."""
+def mask(text: str, base: list[tuple[str, int, int]], added: list[tuple[int, int, int]]) -> str:
+    """The text with base spans as [KIND], generalised terms in their general form and removed terms gone; added: (start, end, level).
+
+    Base spans that touch one another merge; terms touch no base span.
+    """
     out, at = [], 0
-    for kind, a, b in sorted([*base, *added], key=lambda s: (s[1], -s[2])):
+    spans = [(a, -b, f"[{kind.upper()}]") for kind, a, b in base]
+    spans += [(a, -b, "" if level > len(PREFIXES) + 1 else general_form(text[a:b], level)) for a, b, level in added]
+    for a, b, label in sorted(spans):
         if a >= at:
-            out += [text[at:a], "" if kind == REMOVED else f"[{kind.upper()}]"]
-        at = max(at, b)
+            out += [text[at:a], label]
+        at = max(at, -b)
     return "".join([*out, text[at:]])
 
 
@@ -261,7 +312,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             masked = []
             for text, added in zip(texts, batch.column(1).to_pylist(), strict=True):
                 base = find_base(text) if text else []
-                masked.append(mask(text, base, [(s["kind"], s["start"], s["end"]) for s in added or ()]) if base or added else text)
+                masked.append(mask(text, base, [(s["start"], s["end"], s["level"]) for s in added or ()]) if base or added else text)
             arrays = [row.field(i) for i in range(len(columns))]
             arrays[columns.index(text_col)] = pa.array(masked, pa.string())
             if length_col:

@@ -63,46 +63,84 @@ def test_pii_base_spans_equal_the_patterns():
         for text in (card, " ".join(card), "1" + card, card + "-9", "9" * 30 + card):
             assert op1_pii.find_base(text) == pii_base(text), text
     assert op1_pii.find_base("1" * 50_000 + "@" * 50_000) == []
+    assert op1_pii.find_base("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and op1_pii.find_base("0" * 5000 + "256.1.1.1") == []
+    for unit in ("ab/", "a-b_", "09af", "0", "0.", "1 ", "+1", "+", "a@", "a@b.", "(+1 "):
+        op1_pii.find_base(unit * (1_000_000 // len(unit)))
 
 
 def pii_texts():
+    """Fernsby and the words that start with "zyg" or "quok" come with one number each; "now" and "ok" come everywhere."""
     near = [f"{x} ring Quentin Fernsby at +44 20 7946 0958 now {y}" for x, y in (("please", "ok"), ("do", "then"), ("so", "or"), ("and", "but"))]
-    return [*near, *(f"the word now and ok {i} at noon" for i in range(30)), None, "", "a@b.co " * 3000, near[0], near[0], "Mail a.b@c.de from 10.0.0.1"]
+    forms = [f"ok zygo{i}tes at 10.9.8.7 now quok{'abcdefgh'[i]}{i} and 4111 1111 1111 1111 ok" for i in range(8)]
+    crowd = [f"the word now and ok {i} at noon prefix prefer zy" for i in range(40)]
+    return [*near, *forms, *crowd, None, "", "a@b.co " * 3000, near[0], near[0], near[0], "Mail a.b@c.de from 10.0.0.1, \u0130zmir 12345", "x@y.zz", "prefab x@y.zz prelude!"]
+
+
+def pii_added(texts, remove=0.9):
+    """All added spans by counting: per text a list of (removed, start, end), in order."""
+    rows = [t or "" for t in texts]
+    spans, near = [pii_base(t) for t in rows], []
+    for text, found in zip(rows, spans, strict=True):
+        words = [m.span() for m in re.finditer(r"\w+", text) if not any(m.start() < b and a < m.end() for _, a, b in found)]
+        out = []
+        for kind, a, b in found:
+            value = text[a:b].lower() if kind == "email" else text[a:b] if kind == "ip" else re.sub("[^0-9]", "", text[a:b])
+            out += [(kind + value, s, e) for s, e in [w for w in words if w[1] <= a][-5:] + [w for w in words if w[0] >= b][:5]]
+        near.append(out)
+    shapes = [(lambda w: w), (lambda w: w[:4] + "*" if len(w) > 4 else None), (lambda w: w[:2] + "*" if len(w) > 2 else None)]
+    held = [{g for w in re.findall(r"\w+", t) for f in shapes if (g := f(w.lower()))} for t in rows]
+    beside = [{(c, g) for c, s, e in n for f in shapes if (g := f(t[s:e].lower()))} for t, n in zip(rows, near, strict=True)]
+    entities = [{c for c, _, _ in n} for n in near]
+
+    def share(c, form):
+        if form is None:
+            return math.inf
+        both, df, df_c = sum((c, form) in x for x in beside), sum(form in x for x in held), sum(c in x for x in entities)
+        bound = (both + 0.5 - math.sqrt(both * (df - both) / df + 0.25)) / (df + 1)
+        return math.log2(bound * len(rows) / df_c) / math.log2(len(rows) / df_c) if df_c < len(rows) else 0.0
 
-
-def test_pii(spark):
-    texts = pii_texts()
-    rows = op1_pii.pii_digests(table(spark, texts)).collect()
-    assert len(rows) == len(texts)
-    base = [pii_base(t or "") for t in texts]
-    join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-    same([(r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows], [(*(sum(k == s[0] for s in b) for k in op1_pii.KINDS), digest(join(b))) for b in base])
-    # The name is next to one number only, in several contexts; "now" and "ok" are common words.
-    spans = {r.spans for r in rows if r.doc_id == 0}
-    added = [{t[int(a) : int(b)] for k, a, b in (s.split(":") for s in x.split(",")) if k in ("term", "removed")} for t in texts[:2] for x in spans]
-    assert sum({"Quentin", "Fernsby"} <= x and not x & {"now", "ok", "then"} for x in added) >= 2
+    out = []
+    for text, n in zip(rows, near, strict=True):
+        level = {}
+        for c, s, e in n:
+            of = [share(c, f(text[s:e].lower())) for f in shapes]
+            if of[0] >= 0.6:
+                level[s, e] = max(level.get((s, e), 0), 4 if of[0] >= remove else 1 if of[1] < 0.6 else 2 if of[2] < 0.6 else 3)
+        out.append(sorted((x > 3, s, e, x) for (s, e), x in level.items()))
+    return out
 
 
-def test_pii_shares_are_pmi_over_information(spark):
-    texts = [t for t in pii_texts() if t]
-    docs = table(spark, texts)
-    found = op1_pii.find_entities(docs, "doc_id", "text", op1_pii.REACH)
-    over = {(r.entity, r.term): r.share for r in op1_pii.disclosures(docs, found.dropDuplicates(["key"]), "text", 3, 0.0).collect()}
-    keyed = {(None if i % 9 == 8 else i // 2 * 2, t) for i, t in enumerate(t for t in texts)}
-    phone = "phone:442079460958"
-    n, both = len(texts), sum("Quentin" in t for _, t in keyed)
-    df = sum("Quentin" in t for t in texts)
-    wanted = math.log2(both * n / (both * df)) / math.log2(n / both)
-    assert abs(over[phone, "quentin"] - wanted) < 1e-9
+@pytest.mark.parametrize("times", [1, 2])
+def test_pii(spark, times):
+    texts = pii_texts() * times
+    rows = op1_pii.pii_digests(table(spark, texts), remove=0.85).collect()
+    join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    wanted, levels = [], set()
+    for text, added in zip(texts, pii_added(texts, 0.85), strict=True):
+        base = pii_base(text or "")
+        all_ = base + [("removed" if gone else "term", a, b) for gone, a, b, _ in added]
+        wanted.append((*(sum(k == s[0] for s in base) for k in op1_pii.KINDS), digest(join(base)), join(all_)))
+        levels |= {x for *_, x in added}
+    same([tuple(r)[1:] for r in rows], wanted)
+    assert levels == {1, 2, 3, 4} if times == 1 else levels
 
 
 def test_pii_sanitise(spark):
-    docs = table(spark, pii_texts())
+    texts = pii_texts()
+    docs = table(spark, texts)
     out = op1_pii.sanitise(docs, length_col="n_chars")
     assert out.schema == docs.schema
     rows = out.collect()
     assert len(rows) == docs.count() and not any(pii_base(r.text or "") for r in rows)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+    wanted = []
+    for text, added in zip(texts, pii_added(texts), strict=True):
+        spans = [(a, b, f"[{k.upper()}]") for k, a, b in pii_base(text or "")]
+        spans += [(a, b, {1: text[a : a + 4] + "*", 2: text[a : a + 2] + "*", 3: "[NUMBER]" if text[a:b].isdigit() else "[WORD]", 4: ""}[x]) for _, a, b, x in added]
+        for a, b, label in sorted(spans, reverse=True):
+            text = text[:a] + label + text[b:]
+        wanted.append(text)
+    same([r.text for r in rows], wanted)
     assert op1_pii.sanitise(docs.limit(0)).count() == 0 and op1_pii.pii_digests(docs.limit(0)).count() == 0
 
 
