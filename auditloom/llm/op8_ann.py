@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table rotates unit vectors pseudo-randomly - three rounds of random signs and a fast Hadamard transform - and hashes a
-vector to the signed axis nearest to it, one of 2d cells. A query looks into the ``probes`` cells whose axes are nearest to it in each
-of ``tables`` tables (multiprobe); all vectors found are reranked by exact inner products in double precision. ``hashes`` = 2
-joins two such hashes to (2d)**2 cells, for tables of many millions of rows.
+vector to the signed axis nearest to it, one of 2d cells. A second such hash, taken modulo ``fine``, divides each cell. A query looks into the
+``probes`` cells whose axes are nearest to it in each of ``tables`` tables (multiprobe); all vectors found are reranked by exact inner
+products in double precision.
+
+``settings`` chooses ``fine`` and ``probes`` from the table's size, so that a cell holds about ``CELL`` entries at every size up to (2d)**2
+cells, and what a query meets grows with the number of cells it looks into, not with the table.
 
 The nearness asked for is the inner product. Where norms differ, vectors get one more coordinate that makes them equally long,
 which turns the largest inner product into the smallest angle; with equal norms nothing is added.
 
 Every vector is indexed; nothing is fitted. Equal vectors are one entry with its ``k + 1`` smallest ids (no query can return
 more of them), found by a window limit that applies before the shuffle. Cells over ``block`` entries are dealt to several tasks, to
-each of which their queries go; queries that found fewer than k vectors although there are more are answered against all
-rows, in blocks. So no cap drops a candidate.
+each of which their queries go. A search keeps every entry that may be among the k nearest, however many are equally near. Queries that found
+fewer than k vectors although there are more look into the other cells too, which comes to a search of all rows, in blocks. So no cap drops
+a candidate.
 
 Measured recall of the 20 nearest, against brute force: see the README.
 
@@ -29,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm._store import save
+from auditloom.llm._arrow import ranges
+from auditloom.llm._store import drop, save
 from auditloom.llm._vectors import dimension, matrix, usable
 
-TABLES, PROBES, BLOCK, SEED = 12, 10, 2048, 8_128
+TABLES, BLOCK, CELL, SEED = 12, 2048, 512, 8_128
+#: Pairs of vectors whose products are worked out again at a time.
+PAIRS = 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -64,19 +71,36 @@ def _nearest_axes(x: np.ndarray, seed: int, n: int) -> tuple[np.ndarray, np.ndar
     return cells, np.take_along_axis(near, cells, axis=1)
 
 
-def cells_of(x: np.ndarray, table: int, probes: int, hashes: int) -> np.ndarray:
-    """The cells to look into, nearest first; with probes = 1 the cell that a vector is stored in."""
-    first, near = _nearest_axes(x, SEED + 1000 * table, probes)
-    if hashes == 1:
-        return first
-    second, near2 = _nearest_axes(x, SEED + 1000 * table + 1, probes)
-    total = (near[:, :, None] + near2[:, None, :]).reshape(len(x), -1)
+def cells_of(x: np.ndarray, table: int, probes: int, fine: int) -> np.ndarray:
+    """The cells to look into, nearest first; with probes = 1 the cell that a vector is stored in. Cell: first axis * fine + second axis modulo fine."""
     width = 2 << max(1, (x.shape[1] - 1).bit_length())
-    cell = (first[:, :, None] * width + second[:, None, :]).reshape(len(x), -1)
-    return np.take_along_axis(cell, np.argsort(-total, axis=1, kind="stable")[:, :probes], axis=1)
-
-
-def _hashed(rows: DataFrame, tables: int, probes: int, hashes: int, longest: float | None, query: bool) -> DataFrame:
+    if fine == 1:
+        return _nearest_axes(x, SEED + 1000 * table, probes)[0]
+    n = 1 if probes == 1 else width
+    (first, near), (second, near2) = (_nearest_axes(x, SEED + 1000 * table + i, n) for i in (0, 1))
+    if probes == 1:
+        return first * fine + second % fine
+    # Of the second axes that fall together only the nearest counts.
+    best = np.full((len(x), fine), -np.inf)
+    np.maximum.at(best, (np.arange(len(x))[:, None], second % fine), near2)
+    total = (near[:, :, None] + best[:, None, :]).reshape(len(x), -1)
+    cell = (first[:, :, None] * fine + np.arange(fine)).reshape(len(x), -1)
+    most = min(probes, total.shape[1])
+    nearest_ = np.argpartition(-total, most - 1, axis=1)[:, :most]
+    order = np.argsort(-np.take_along_axis(total, nearest_, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(cell, np.take_along_axis(nearest_, order, axis=1), axis=1)
+
+
+def settings(n: int, d: int) -> tuple[int, int]:
+    """(fine, probes) for n entries of d coordinates. The nearest of many are nearer, so fewer cells need a look; divided cells need more."""
+    axes = 2 << max(1, (d - 1).bit_length())
+    fine = min(axes, max(1, n // (axes * CELL)))
+    if fine == 1:
+        return 1, 10 if n <= 1 << 12 else 8 if n <= 1 << 15 else 6
+    return fine, int(np.ceil(6 * fine**0.8))
+
+
+def _hashed(rows: DataFrame, tables: int, probes: int, fine: int, longest: float | None, query: bool) -> DataFrame:
     """Rows (id, ids, v), each for all its cells: (t, c, id, ids, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +113,8 @@ def _hashed(rows: DataFrame, tables: int, probes: int, hashes: int, longest: flo
                 x = np.hstack([x / norm, np.zeros_like(norm)])
             else:
                 x = np.hstack([x / longest, np.sqrt(np.maximum(0.0, 1 - (norm / longest) ** 2))])
-            codes = np.concatenate([t << 40 | cells_of(x, t, probes, hashes).astype(np.int64) for t in range(tables)], axis=1)
+            parts = [x[i : i + 1024] for i in range(0, max(1, len(x)), 1024)]
+            codes = np.concatenate([np.concatenate([t << 40 | cells_of(part, t, probes, fine).astype(np.int64) for t in range(tables)], axis=1) for part in parts])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "ids", "v", "cells"])
 
@@ -99,14 +124,26 @@ def _hashed(rows: DataFrame, tables: int, probes: int, hashes: int, longest: flo
 
 
 def best(queries: np.ndarray, ids: list[int], entries: np.ndarray, members: list[list[int]], k: int) -> Iterator[tuple[int, list[int], list[float]]]:
-    """Of each query its k nearest among the entries' members, without itself: (query, ids, scores)."""
-    n = min(len(entries), k + 9)  # a few more than needed, as scores are worked out again in a fixed order of summation
+    """Of each query its k nearest among the entries' members, without itself, ties by id: (query, ids, scores)."""
     near = queries @ entries.T
-    top = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(entries) else np.broadcast_to(np.arange(n), near.shape)
-    exact = (entries[top] * queries[:, None, :]).sum(axis=2)
-    for query, places, scores in zip(ids, top.tolist(), exact.tolist(), strict=True):
-        found = sorted((-s, m) for p, s in zip(places, scores, strict=True) for m in members[p] if m != query)[:k]
-        yield query, [m for _, m in found], [-s for s, _ in found]
+    n = min(len(entries), k + 1)
+    # Scores are worked out again in a fixed order of summation; all that may be among the k + 1 best by then are kept.
+    last = -np.partition(-near, n - 1, axis=1)[:, n - 1]
+    error = 4e-16 * queries.shape[1] * np.linalg.norm(queries, axis=1) * np.linalg.norm(entries, axis=1).max(initial=0.0)
+    row, place = np.nonzero(near >= (last - 2 * error)[:, None])
+    exact = np.concatenate([(entries[place[i : i + PAIRS]] * queries[row[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(row), PAIRS)])
+    size = np.array([len(m) for m in members], np.int64)
+    flat, start = np.concatenate([np.asarray(m, np.int64) for m in members]), np.cumsum(size) - size
+    times = size[place]
+    row, score, other = np.repeat(row, times), np.repeat(exact, times), flat[ranges(start[place], times)]
+    own = other != np.asarray(ids, np.int64)[row]
+    row, score, other = row[own], score[own], other[own]
+    order = np.lexsort((other, -score, row))
+    row, score, other = row[order], score[order], other[order]
+    begin = np.searchsorted(row, np.arange(len(queries) + 1))
+    for i, query in enumerate(ids):
+        part = slice(begin[i], min(begin[i + 1], begin[i] + k))
+        yield query, other[part].tolist(), score[part].tolist()
 
 
 def _searched(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -132,8 +169,8 @@ def _searched(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 elif stored:
                     if kept is None:
                         kept = np.concatenate(stored)
-                    for q in range(s, e, 512):
-                        out += best(x[q : min(e, q + 512)], ids[q : min(e, q + 512)], kept, members, k)
+                    for q in range(s, e, 256):
+                        out += best(x[q : min(e, q + 256)], ids[q : min(e, q + 256)], kept, members, k)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], names=["query", "ids", "scores"])
 
@@ -157,7 +194,7 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, hashes: int = 1, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int | None = None, fine: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``, among all other rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     d = dimension(rows, "v")
@@ -168,12 +205,16 @@ def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id",
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     size = entries.agg(F.min(norm).alias("low"), F.max(norm).alias("high"), F.count("*").alias("n"), F.sum(F.size("ids")).alias("members")).first()
     longest = size.high if size.n and size.low < 0.999 * size.high else None
-    stored, asked = _dealt(_hashed(entries, tables, 1, hashes, longest, False), _hashed(queries, tables, probes, hashes, longest, True), block)
+    chosen = settings(size.n, d + (longest is not None))
+    fine, probes = fine or chosen[0], probes or chosen[1]
+    stored, asked = _dealt(_hashed(entries, tables, 1, fine, longest, False), _hashed(queries, tables, probes, fine, longest, True), block)
     found = save(_merged(_searched(stored, asked, k), k), "found")
     enough = min(k, (size.members or 1) - 1)
     short = queries.join(found.groupBy("query").count().filter(F.col("count") >= enough).select(F.col("query").alias("id")), "id", "left_anti")
     short = save(short, "short")
-    if not short.isEmpty():
+    if short.isEmpty():
+        drop(entries, queries, short)
+    else:
         n = -(-size.n // block)
         stored = entries.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("b", F.lit(0))
         asked = short.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("b", F.lit(0))

@@ -38,7 +38,7 @@ class Tree:
     """depth levels of random splits; node i has children 2i + 1 and 2i + 2."""
 
     def __init__(self, seed: int, d: int, depth: int, sample: np.ndarray, spill: float):
-        self.depth, self.spill = depth, spill / np.sqrt(d)
+        self.depth, self.spill = depth, spill / np.sqrt(max(1, d))
         self.seed, self.d = seed, d
         self.cuts: dict[int, float] = {}
         level = {0: np.arange(len(sample))}

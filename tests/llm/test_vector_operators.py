@@ -40,6 +40,45 @@ def test_nearest(spark, n, block):
     assert hits >= 0.9 * total and set(got) <= {q for q, *_ in data}
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(9)
+    for d in (4, 64):
+        entries = np.zeros((300, d))
+        entries[:, 1] = rng.permutation(np.arange(300) + 1.0)
+        entries[200:, 0] = -1.0
+        members = [[i, i + 1000] if i % 2 else [i] for i in rng.permutation(300).tolist()]
+        query = np.eye(d)[:1]
+        ((_, ids, scores),) = op8_ann.best(query, [17], entries, members, 20)
+        level = sorted((x for m in members[:200] for x in m if x != 17))[:20]
+        assert ids == level and scores == [0.0] * 20
+    # 240 vectors on two axes, so that all of an axis share their cells and all but equals tie.
+    data = [(i, [1.0, 1e-3 * (i + 1)] + [0.0] * 6 if i % 2 else [1e-3 * (i + 1), 1.0] + [0.0] * 6, 1) for i in range(240)] + [(400, [1.0] + [0.0] * 7, 1)]
+    got = sorted((r.rank, r.vec_id) for r in op8_ann.nearest(frame(spark, data), 400).collect() if r.query_id == 400)
+    assert [i for _, i in got] == list(range(1, 41, 2))
+
+
+def test_settings_bound_cells():
+    for n in (1, 2000, 50_000, 200_000, 10**6, 16 * 10**6):
+        fine, probes = op8_ann.settings(n, 64)
+        assert n / (128 * fine) <= 4 * op8_ann.CELL and probes <= 128 * fine
+    assert op8_ann.settings(10**6, 64)[0] > op8_ann.settings(200_000, 64)[0] > 1
+
+
+@pytest.mark.parametrize("fine", [1, 4])
+def test_recall_of_random_vectors(spark, fine):
+    """The hardest case: no structure at all, so the 20 nearest are hardly nearer than the rest."""
+    x = np.random.default_rng(3).standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in op8_ann.nearest(df, 100, fine=fine, probes=None if fine == 1 else 40).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    near = x[::100] @ x.T
+    near[np.arange(60), np.arange(0, 6000, 100)] = -9
+    top = np.argsort(-near, axis=1)[:, :20]
+    assert sum(len(got[100 * i] & set(t)) for i, t in enumerate(top.tolist())) >= 0.9 * top.size
+
+
 def test_cells():
     x = np.random.default_rng(2).standard_normal((50, 64))
     r = op8_ann.rotate(x, 3)
@@ -68,6 +107,22 @@ def test_embedding_dedup(spark, options):
     assert {by[1000 + i].component_id for i in range(5)} == {0, 1, 2, 3, 4}
 
 
+def test_pairs_near_the_threshold_meet_in_deep_trees(spark):
+    """Pairs at a cosine of 0.93 to 0.95 among trees of depth 7, where leaves alone decide."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal((500, 64))
+    noise -= (noise * x[:500]).sum(axis=1, keepdims=True) * x[:500]
+    cosine = rng.uniform(0.931, 0.95, (500, 1))
+    near = cosine * x[:500] + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    data = [(i, v) for i, v in enumerate(np.concatenate([x, near]).tolist())]
+    df = spark.createDataFrame([(i, v, 0) for i, v in data], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in op9_embedding_dedup.embedding_components(df, leaf=40).collect()}
+    linked = [i for i in range(500) if got[4000 + i].component_id == i]
+    assert len(linked) >= 0.97 * 500 and all(got[i].n_links == 0 for i in range(500, 4000))
+
+
 def test_empty_tables(spark):
     empty = frame(spark, ODD).limit(0)
     assert op8_ann.nearest(empty, 20).count() == 0
