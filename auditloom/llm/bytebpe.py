@@ -3,7 +3,8 @@
 The library splits a text into words by a fixed pattern before it merges bytes, and a word's ids don't depend on
 its neighbours. So a batch is split into words in numpy, the different words are found by Arrow's dictionary
 encoding, and only words not met before go to the tokenizers library. The ids are those of
-``encode(text, add_special_tokens=False)`` with special strings taken as ordinary text.
+``encode(text, add_special_tokens=False)``: strings of the vocabulary's added tokens, such as its end mark, become those tokens, unless
+``special_as_text`` takes the special ones as ordinary text. Texts that hold such a string go to the library whole.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 class WordEncoder:
     """encode(bytes, offsets) gives (ids, offsets). ``most_words`` bounds the words kept between calls."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 400_000, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.marks = [t.content.encode() for t in added if t.content and not (special_as_text and t.special)]
         self.most_words = most_words
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self._learn(np.arange(128, dtype=np.uint32))
@@ -117,8 +120,21 @@ class WordEncoder:
             index[new] = np.arange(base, base + len(fresh))
         return index
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's ids start."""
+    def _marked(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts that hold the string of an added token."""
+        raw, found = data.tobytes(), set()
+        for mark in self.marks:
+            at = raw.find(mark)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(mark) <= offsets[text + 1]:
+                    found.add(text)
+                    at = raw.find(mark, int(offsets[text + 1]))
+                else:
+                    at = raw.find(mark, at + 1)
+        return sorted(found)
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         start = self.words(data, offsets)
@@ -130,3 +146,21 @@ class WordEncoder:
         ids = self.ids[ranges(self.starts[index], sizes)]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         return ids, upto[np.searchsorted(start, offsets)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids start."""
+        marked = self._marked(data, offsets)
+        if not marked:
+            return self._plain(data, offsets)
+        ids, at, first = [], [np.zeros(1, np.int64)], 0
+        for text in [*marked, len(offsets) - 1]:
+            if text > first:
+                got, ends = self._plain(data[offsets[first] : offsets[text]], offsets[first : text + 1] - offsets[first])
+                ids.append(got)
+                at.append(at[-1][-1] + ends[1:])
+            if text < len(offsets) - 1:
+                got = np.array(self.tokenizer.encode(data[offsets[text] : offsets[text + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+                ids.append(got)
+                at.append(at[-1][-1:] + len(got))
+            first = text + 1
+        return np.concatenate(ids), np.concatenate(at)

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op5_langid, op6_sentencepiece, op7_packing, op8_ann, op9_embedding_dedup, op10_suffix
 
-#: Folder of the public tokenizers' files; a parameter of the environment the library runs in.
-TOKENIZERS = os.environ.get("AUDITLOOM_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_file(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Path of a public tokenizer's file: in the folder AUDITLOOM_TOKENIZERS if that is set, else where the vocabularies are installed."""
+    if folder := os.environ.get("AUDITLOOM_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -329,11 +329,10 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
-    texts = [None, "", "don't I'll 'something '' it's\n\n  x  y", "日本語 ½ ² <|endoftext|>", "a" * 5000, *(" ".join(rng.choice(["ab.", "cd", "ef!", "\n"]) for _ in range(rng.randint(1, 900))) for _ in range(40))]
+    texts = [None, "", "don't I'll 'something '' it's\n\n  x  y", "日本語 ½ ² <|endoftext|>", "<|endoftext|>", "x <|endoftext|><|endoftext|> y<|endoftext", "|>", "a" * 5000, *(" ".join(rng.choice(["ab.", "cd", "ef!", "\n"]) for _ in range(rng.randint(1, 900))) for _ in range(40))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = op7_packing.pack_documents(docs, BPE, chunk=4000).collect()
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -357,6 +356,24 @@ def test_packing(spark):
     assert op7_packing.pack_documents(docs.limit(0), BPE).count() == 0
 
 
+@needs_files
+def test_ids_are_the_librarys():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from auditloom.llm._arrow import flat_bytes
+    from auditloom.llm.bytebpe import WordEncoder
+
+    rng = random.Random(15)
+    texts = [None, *("".join(rng.choice(["<|endoftext|>", "<|endof", "text|>", " ", "a", "'s", "é", "\n", "7", "🙂", "　"]) for _ in range(rng.randint(0, 12))) for _ in range(3000))]
+    for as_text in (False, True):
+        tokenizer, words = Tokenizer.from_file(BPE), WordEncoder(BPE, special_as_text=as_text)
+        tokenizer.encode_special_tokens = as_text
+        for part in (texts[:1], texts[:700], texts[700:], ["<|endoftext|>"], ["", ""], ["a", "<|endoftext|>", "b"]):
+            ids, at = words.encode(*flat_bytes(pa.array(part, pa.string())))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+
+
 def test_cuts_are_the_best():
     rng = np.random.default_rng(6)
     for _ in range(60):
