@@ -6,18 +6,21 @@ strings are judged on the input.
 1. Dealing. Each window (200 bytes) has an anchor: its k-byte string of least hash. Equal windows have equal anchors, at
    the same place, so windows can only repeat where an anchor does, and a run of windows with one anchor (a unit) is compared within
    that anchor's group alone. Anchors are counted by combined sums; units whose anchor comes once are dropped at once.
-2. Units that are equal as a whole (in one text or many) repeat in all their windows; this needs their hash only.
-3. What is left - units that share an anchor but differ - gets its text back and is dealt to shards by anchor. A shard builds its suffix
-   array (Larsson-Sadakane refinement), its common prefixes (Kasai) and so the classes of equal windows. Where a group's units
-   run on over several shards of a task, the shards are merged by binary search of one's windows among the sorted windows of the others.
-4. A group with over ``cap`` different units is not sent to one task: its units are dealt anew by longer anchors (120, 180 and
+2. Equal units of a group are combined to a kind before any text is shuffled; two of its members stand for it.
+3. The members' texts are dealt to shards by anchor. A shard builds its suffix array (Larsson-Sadakane refinement), its common prefixes
+   (Kasai) and so the classes of equal windows. A group that runs on over several shards of a task has them merged by binary search of one's
+   windows among the sorted windows of the others. What repeats is decided here only, on the bytes.
+4. A group with over ``cap`` kinds is not sent to one task: its members' texts are dealt anew by longer anchors (120, 180 and
    200 bytes, the last being whole windows), which every window again contains, so the groups fall apart and nothing is lost.
+5. A kind's repeated windows are those of all its units, which a join of hashes finds.
 
-Texts are told apart by their MD5, rows by themselves: a text of 200 bytes or more that stands in two rows goes as a whole.
+Hot keys: a third of all units may have one anchor or be of one kind, and a third of all rows one text. So units are counted
+together with the set of 64 salts that they have, and joins are on the salt too: each side stays linear in the units. Texts are told apart by
+their MD5 and a salt of the row's id.
 
 Defined cases: a null text counts as empty; texts under 200 bytes keep all; null and repeated doc_ids are carried, each row being a text
 of its own (so equal rows repeat each other); an empty table gives no rows; extra columns are carried by ``remove_repeats`` and
-ignored by ``repeat_digests``.
+ignored by ``repeat_digests``; ``remove_repeats`` needs no id column, which serves for a salt there.
 """
 
 from __future__ import annotations
@@ -31,17 +34,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm._arrow import flat_bytes, slices
-from auditloom.llm._store import save
+from auditloom.llm._store import drop, save
 
 DEPTH, ANCHORS, CAP = 200, (40, 120, 180, 200), 2000
 #: Bytes of text that are looked at together, and most bytes of a shard.
 SLICE, SHARD = 1 << 20, 2 << 20
-_UNITS = "a long, u long, key binary, base int, n int"
-_END = 2**31 - 1
+SALTS = 64
+_UNITS = "a long, u long, s int, key binary, base int, n int"
+_RANGES = "array<struct<s:int,e:int>>"
 
 
-def _key(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+def _key(text: Column, salt: Column) -> Column:
+    """Names a text; rows of one text and different salts have names of their own."""
+    return F.concat(F.unhex(F.md5(text)), F.unhex(F.lpad(F.hex(salt), 2, "0")))
+
+
+def _salts(salt: str) -> Column:
+    """The set of a group's salts, as bits."""
+    return F.expr(f"bit_or(shiftleft(1L, {salt}))")
+
+
+def _each(salts: str) -> Column:
+    return F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), x -> (shiftrightunsigned({salts}, x) & 1L) = 1L)"))
 
 
 def _pieces(data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -52,58 +66,72 @@ def _pieces(data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _units(rows: DataFrame, k: int, depth: int) -> DataFrame:
-    """Units of rows (key, base, t: text that stands at ``base`` of its whole)."""
+    """Units of rows (key, t). Their salt is even over a hot anchor's units, and the same on a rerun."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from auditloom.llm._suffix import anchor_units
 
         for whole in batches:
             for batch in slices(whole, "t", SLICE):
-                data, offsets = flat_bytes(batch.column(2))
+                names, begin = flat_bytes(batch.column(0))
+                row_salt = names[begin[:-1]].astype(np.int64) * 7 + names[begin[1:] - 1]
+                data, offsets = flat_bytes(batch.column(1))
                 parts = [(0, data, offsets)] if batch.num_rows > 1 else [(at, x, np.array([0, len(x)])) for at, x in _pieces(data, depth)]
                 for at, x, off in parts:
                     text, start, count, _, anchor, unit = anchor_units(x, off, k, depth)
-                    key = batch.column(0).take(pa.array(text))
-                    base = batch.column(1).to_numpy()[text] + start + at
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(unit.view(np.int64)), key, pa.array(base.astype(np.int32)), pa.array(count.astype(np.int32))], names=["a", "u", "key", "base", "n"])
+                    base = start + at
+                    salt = (row_salt[text] + base) % SALTS
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(unit.view(np.int64)), pa.array(salt.astype(np.int32)), batch.column(0).take(pa.array(text)), pa.array(base.astype(np.int32)), pa.array(count.astype(np.int32))], names=["a", "u", "s", "key", "base", "n"])
 
     return rows.mapInArrow(run, _UNITS)
 
 
-def _level(rows: DataFrame, level: int, depth: int, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, base, t): ranges (key, s, e) of repeated windows that hashes settle, and open units (a, key, base, n, hot)."""
+def _kinds(rows: DataFrame, level: int, depth: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, t): the units whose anchor comes again, and their kinds (a, u, salts, members, hot)."""
     units = _units(rows, ANCHORS[level] if depth == DEPTH else max(1, depth * ANCHORS[level] // DEPTH), depth)
-    # Written, so that the joins read plain exchanges and the adaptive join can split a hot anchor.
-    often = save(units.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a"), "often")
-    shared = save(units.join(often, "a", "left_semi"), "shared")
-    kinds = save(shared.groupBy("a", "u").agg(F.count("*").alias("c"), F.min(F.struct("key", "base", "n")).alias("one")), "kinds")
-    settled = shared.join(kinds.filter("c > 1").select("a", "u"), ["a", "u"], "left_semi").select("key", F.col("base").alias("s"), F.expr(f"base + n - 1 + {depth}").alias("e"))
-    groups = save(kinds.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1"), "groups")
-    open_ = kinds.join(groups, "a").select("a", "one.*", (F.col("m") > cap).alias("hot"))
-    return settled, open_
-
-
-def _texts(docs: DataFrame, open_: DataFrame, depth: int) -> DataFrame:
-    """Open units with their text: (a, hot, key, base, t)."""
-    wanted = save(open_.groupBy("key").agg(F.collect_list(F.struct("a", "base", "n", "hot")).alias("units")), "wanted")
-    held = docs.join(wanted, "key").select("key", "t", "units")
+    # Written, so that the joins read plain exchanges and the adaptive join can split what salts leave.
+    often = save(units.groupBy("a").agg(F.count("*").alias("c"), _salts("s").alias("salts")).filter("c > 1").select("a", _each("salts").alias("s")), "often")
+    shared = save(units.join(often, ["a", "s"], "left_semi"), "shared")
+    member = F.struct("key", "base", "n")
+    kinds = save(shared.groupBy("a", "u").agg(F.count("*").alias("c"), _salts("s").alias("salts"), F.min(member).alias("one"), F.max(member).alias("other")).withColumn("d", F.pmod("u", F.lit(SALTS)).cast("int")), "kinds")
+    hot = kinds.groupBy("a").agg(F.count("*").alias("m"), _salts("d").alias("ds")).filter(F.col("m") > cap).select("a", _each("ds").alias("d"), F.lit(True).alias("hot"))
+    members = F.array_compact(F.array("one", F.when(F.col("c") > 1, F.col("other"))))
+    out = save(kinds.join(hot, ["a", "d"], "left").select("a", "u", "salts", members.alias("members"), F.coalesce("hot", F.lit(False)).alias("hot")), "sized")
+    drop(often, kinds)
+    return shared, out
+
+
+def _texts(rows: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
+    """The members of kinds (a, u, members, hot), each with its text: (a, u, hot, t)."""
+    of = kinds.select("a", "u", "hot", F.explode("members").alias("x")).select("a", "u", "hot", "x.*")
+    wanted = save(of.groupBy("key").agg(F.collect_list(F.struct("a", "u", "hot", "base", "n")).alias("units")), "wanted")
+    names = ["a", "u", "hot", "t"]
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             out: list = []
+            size = 0
             for key, text, units in zip(*(batch.column(i) for i in range(3)), strict=True):
                 if (k := key.as_py()) in seen:
-                    continue  # a copy; its units are the same, and settled as a whole anyway
+                    continue  # a copy, and its units are the same
                 seen.add(k)
                 if len(seen) > 100_000:
                     seen.clear()
-                data = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py().encode()
-                out += [(x["a"], x["hot"], k, x["base"], data[x["base"] : x["base"] + x["n"] - 1 + depth]) for x in units.as_py()]
+                data = text.as_buffer().to_pybytes()
+                for x in units.as_py():
+                    out.append((x["a"], x["u"], x["hot"], data[x["base"] : x["base"] + x["n"] - 1 + depth]))
+                    size += len(out[-1][3])
+                if size > SLICE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["a", "hot", "key", "base", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return held.mapInArrow(run, "a long, hot boolean, key binary, base int, t binary")
+    texts = save(rows.join(wanted, "key").select("key", "t", "units").mapInArrow(run, "a long, u long, hot boolean, t binary"), "texts")
+    drop(wanted)
+    return texts
 
 
 def _sorted_windows(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -150,20 +178,26 @@ def shard_repeats(texts: list[bytes], groups: np.ndarray, depth: int, shard: int
     return found
 
 
-def _shards(units: DataFrame, depth: int) -> DataFrame:
-    """Ranges (key, s, e) of windows that repeat within the groups by ``a``."""
+def _shards(texts: DataFrame, depth: int) -> DataFrame:
+    """(a, u, ranges): of each kind the bytes that repeated windows cover, counted from the unit's start. texts: (a, u, t), groups by ``a``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
 
         def done(rows: list) -> pa.RecordBatch:
-            found = shard_repeats([r[3] for r in rows], np.array([r[0] for r in rows], np.int64), depth)
+            found = shard_repeats([r[2] for r in rows], np.array([r[0] for r in rows], np.int64), depth)
             out: list = []
-            for (_, key, base, _), flags in zip(rows, found, strict=True):
+            before = None
+            for (a, u, _), flags in zip(rows, found, strict=True):
+                if (a, u) == before or not flags.any():
+                    continue
+                before = (a, u)
                 edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-                out += [(key, base + s, base + e - 1 + depth) for s, e in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 3, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["key", "s", "e"])
+                starts, ends = np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()
+                out.append((a, u, [{"s": s, "e": e - 1 + depth} for s, e in zip(starts, ends, strict=True)]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 3, kinds, strict=True)], names=["a", "u", "ranges"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -171,39 +205,36 @@ def _shards(units: DataFrame, depth: int) -> DataFrame:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[2])
         if held:
             yield done(held)
 
-    return units.repartition("a").sortWithinPartitions("a").select("a", "key", "base", "t").mapInArrow(run, "key binary, s int, e int")
+    return texts.select("a", "u", "t").repartition("a").sortWithinPartitions("a", "u").mapInArrow(run, f"a long, u long, ranges {_RANGES}")
+
+
+def _decided(rows: DataFrame, depth: int, cap: int, level: int = 0) -> DataFrame:
+    """(key, ranges): for rows (key, t) with repeated windows the bytes they cover, in any order."""
+    shared, kinds = _kinds(rows, level, depth, cap)
+    texts = _texts(rows, kinds, depth)
+    found = _shards(texts.filter("NOT hot"), depth)
+    hot = texts.filter("hot")
+    # The last anchors are whole windows, of which a group has one kind.
+    if level + 1 < len(ANCHORS) and not hot.isEmpty():
+        named = F.unhex(F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("u"), 16, "0")))
+        finer = _decided(hot.select(named.alias("key"), "t"), depth, cap, level + 1)
+        found = found.union(kinds.filter("hot").select("a", "u", named.alias("key")).join(finer, "key").select("a", "u", "ranges"))
+    found = save(found, "found")
+    verdicts = found.join(kinds, ["a", "u"]).select("a", "u", "ranges", _each("salts").alias("s"))
+    moved = F.transform("ranges", lambda x: F.struct((F.col("base") + x["s"]).alias("s"), (F.col("base") + x["e"]).alias("e")))
+    spread = shared.join(verdicts, ["a", "u", "s"]).select("key", F.explode(moved).alias("x"))
+    out = save(spread.groupBy("key").agg(F.collect_set("x").alias("ranges")), "ranges")
+    drop(shared, kinds, texts, found)
+    return out
 
 
 def repeated_ranges(docs: DataFrame, depth: int = DEPTH, cap: int = CAP) -> DataFrame:
     """(key, ranges): for texts (key, t) with repeated windows, array<struct<s, e>> of the bytes they cover, in any order."""
-    settled, open_ = _level(docs.select("key", F.lit(0).alias("base"), "t"), 0, depth, cap)
-    found = [settled]
-    open_ = save(open_, "open")
-    if not open_.isEmpty():
-        texts = save(_texts(docs, open_, depth), "texts")
-        for level in range(1, len(ANCHORS) + 1):
-            found.append(_shards(texts.filter("NOT hot"), depth))
-            if level == len(ANCHORS) or texts.filter("hot").isEmpty():
-                break
-            # The last anchors are whole windows: what is equal is settled by hash, and no group has different units.
-            rows = texts.filter("hot").select("key", "base", "t")
-            settled, open_ = _level(rows.withColumn("t", F.col("t").cast("binary")), level, depth, cap)
-            found.append(settled)
-            open_ = save(open_, "open")
-            if open_.isEmpty():
-                break
-            cut = rows.withColumnRenamed("base", "from").join(open_, "key").filter(f"base >= from AND base + n - 1 + {depth} <= from + octet_length(t)")
-            texts = save(cut.select("a", "hot", "key", "base", F.expr(f"substring(t, base - from + 1, n - 1 + {depth})").alias("t")), "texts")
-    ranges = found[0]
-    for other in found[1:]:
-        ranges = ranges.union(other)
-    twice = save(docs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "twice")
-    ranges = ranges.join(twice, "key", "left_anti").union(twice.select("key", F.lit(0).alias("s"), F.lit(_END).alias("e")))
-    return ranges.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    return _decided(docs.select("key", F.col("t").cast("binary").alias("t")), depth, cap)
 
 
 def merge_ranges(ranges: list[tuple[int, int]], size: int, depth: int) -> list[tuple[int, int]]:
@@ -228,16 +259,17 @@ def _runs(text: str | None, ranges: list | None, depth: int) -> tuple[bytes, lis
     return data, merge_ranges([(x["s"], x["e"]) for x in ranges], len(data), depth) if ranges else []
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+def _text_and_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(_key(text).alias("key"), text.alias("t"))
+    salt = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(SALTS)) if id_col in docs.columns else F.lit(0)
+    return text, _key(text, salt.cast("int"))
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, cap: int = CAP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): a row for each row of ``docs``."""
-    ranges = save(repeated_ranges(_keyed(docs, text_col), depth, cap), "ranges")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    held = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), _key(text).alias("key")).join(ranges, "key", "left").select("doc_id", "t", "ranges")
+    text, key = _text_and_key(docs, id_col, text_col)
+    ranges = repeated_ranges(docs.select(key.alias("key"), text.alias("t")), depth, cap)
+    held = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), key.alias("key")).join(ranges, "key", "left").select("doc_id", "t", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,12 +296,12 @@ def _whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = None, depth: int = DEPTH, cap: int = CAP) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, depth: int = DEPTH, cap: int = CAP) -> DataFrame:
     """``docs`` without the repeated bytes; no character is split, and all rows stay. ``length_col`` is set to the new length."""
-    ranges = save(repeated_ranges(_keyed(docs, text_col), depth, cap), "ranges")
+    text, key = _text_and_key(docs, id_col, text_col)
+    ranges = repeated_ranges(docs.select(key.alias("key"), text.alias("t")), depth, cap)
     columns = docs.columns
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _key(text).alias("key")).join(ranges, "key", "left").select("row", "ranges")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), key.alias("key")).join(ranges, "key", "left").select("row", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
