@@ -91,28 +91,25 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     first = _words(data).byteswap()
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first).astype(np.int32)
     value = first[order]
-    begin = np.concatenate([[True], value[1:] != value[:-1]])
-    rank = np.empty(n, np.int64)
+    begin = np.append(True, value[1:] != value[:-1])
     h = 8  # a suffix shorter than that is told from others by its end, in the first round
     heads = np.flatnonzero(begin)
-    rank[order] = heads[np.cumsum(begin) - 1]
-    tied = np.ones(n, bool)
-    tied[heads] = np.diff(np.append(heads, n)) > 1
-    places = np.flatnonzero(tied)
+    sizes = np.diff(np.append(heads, n))
+    rank = np.zeros(n + 1, np.int32)  # from 1; the end of the data ranks 0
+    rank[order] = np.repeat(heads + 1, sizes)
+    places = np.flatnonzero(np.repeat(sizes > 1, sizes))
     while len(places):
         members = order[places]
-        ahead = members + h
-        key = rank[members] << 32 | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        by = np.argsort(key, kind="stable")
+        key = rank[members].astype(np.int64) << 32 | rank[np.minimum(members + h, n)]
+        by = np.argsort(key)
         members, key = members[by], key[by]
         order[places] = members
-        begin = np.concatenate([[True], key[1:] != key[:-1]])
-        heads = np.flatnonzero(begin)
-        rank[members] = places[heads][np.cumsum(begin) - 1]
-        keep = np.repeat(np.diff(np.append(heads, len(key))) > 1, np.diff(np.append(heads, len(key))))
-        places = places[keep]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(heads, len(key)))
+        rank[members] = np.repeat(places[heads] + 1, sizes)
+        places = places[np.repeat(sizes > 1, sizes)]
         h *= 2
     return order
 
@@ -125,9 +122,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, stride: int
     """
     n = len(data)
     word = _words(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     most = depth + stride
 
     def extend(i: np.ndarray, length: np.ndarray) -> None:
@@ -140,16 +137,16 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, stride: int
             live, a, b = live[inside], a[inside], b[inside]
             differ = word[a] ^ word[b]
             low = differ & (~differ + np.uint64(1))
-            same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
+            same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8).astype(np.int32)
             out[live] += np.minimum(same, n - np.maximum(a, b))
             live = live[(same == 8) & (out[live] < most)]
         shared[i] = np.minimum(out, most)
 
-    places = np.arange(0, n, stride)
-    extend(places, np.zeros(len(places), np.int64))
+    places = np.arange(0, n, stride, dtype=np.int32)
+    extend(places, np.zeros(len(places), np.int32))
     while stride > 1:
         stride //= 2
-        places = np.arange(stride, n, 2 * stride)
+        places = np.arange(stride, n, 2 * stride, dtype=np.int32)
         extend(places, np.maximum(0, shared[places - stride] - stride))
     return shared[order]
 
@@ -158,6 +155,6 @@ def window_classes(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarr
     """A number for each window (``depth`` bytes from each of ``starts``), the same for equal windows only."""
     order = suffix_array(data)
     shared = common_prefixes(data, order, depth)
-    number = np.empty(len(data), np.int64)
-    number[order] = np.cumsum(shared < depth)
+    number = np.empty(len(data), np.int32)
+    number[order] = np.cumsum(shared < depth, dtype=np.int32)
     return number[starts]

@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import flat_bytes, slices
+from auditloom.llm._arrow import flat_bytes, ranges, slices
 from auditloom.llm._store import drop, save
 
 DEPTH, ANCHORS, CAP = 200, (40, 120, 180, 200), 2000
-#: Bytes of text that are looked at together, and most bytes of a shard.
-SLICE, SHARD = 1 << 20, 2 << 20
+#: Bytes of text that are looked at together, bytes of a shard (which the processor's caches hold), and bytes of texts held for shards.
+SLICE, SHARD, HELD = 1 << 20, 1 << 18, 1 << 21
 SALTS = 64
 _UNITS = "a long, u long, s int, key binary, base int, n int"
 _RANGES = "array<struct<s:int,e:int>>"
@@ -139,11 +139,11 @@ def _sorted_windows(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndar
     return np.sort(data[starts[:, None] + np.arange(depth)].view(f"S{depth}").ravel())
 
 
-def shard_repeats(texts: list[bytes], groups: np.ndarray, depth: int, shard: int = SHARD) -> list[np.ndarray]:
-    """For units in order of group: which windows of each unit also start elsewhere in its group."""
-    from auditloom.llm._arrow import ranges
+def shard_repeats(texts: list[bytes], groups: np.ndarray, depth: int, shard: int = SHARD, times: np.ndarray | None = None) -> list[np.ndarray]:
+    """For units in order of group: which windows of each unit also start elsewhere in its group. A unit may stand for ``times`` equal ones."""
     from auditloom.llm._suffix import window_classes
 
+    times = np.ones(len(texts), np.int64) if times is None else times
     sizes = np.array([len(t) for t in texts], np.int64)
     part = np.cumsum(sizes) // shard
     found: list = [None] * len(texts)
@@ -155,8 +155,8 @@ def shard_repeats(texts: list[bytes], groups: np.ndarray, depth: int, shard: int
         begin = np.cumsum(sizes[mine]) - sizes[mine]
         counts = sizes[mine] - depth + 1
         starts = ranges(begin, counts)
-        _, inverse, times = np.unique(window_classes(data, starts, depth), return_inverse=True, return_counts=True)
-        again = times[inverse] > 1
+        same = window_classes(data, starts, depth)
+        again = np.bincount(same, np.repeat(times[mine], counts))[same] > 1
         for i, flags in zip(mine.tolist(), np.split(again, np.cumsum(counts)[:-1]), strict=True):
             found[i] = flags.copy()
         first, last = groups[mine[0]], groups[mine[-1]]
@@ -186,22 +186,26 @@ def _shards(texts: DataFrame, depth: int) -> DataFrame:
         size = 0
 
         def done(rows: list) -> pa.RecordBatch:
-            found = shard_repeats([r[2] for r in rows], np.array([r[0] for r in rows], np.int64), depth)
-            out: list = []
-            before = None
-            for (a, u, _), flags in zip(rows, found, strict=True):
-                if (a, u) == before or not flags.any():
-                    continue
-                before = (a, u)
-                edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-                starts, ends = np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()
-                out.append((a, u, [{"s": s, "e": e - 1 + depth} for s, e in zip(starts, ends, strict=True)]))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 3, kinds, strict=True)], names=["a", "u", "ranges"])
+            # A kind's members stand together; equal bytes enter the suffix array once, with their number.
+            new = np.flatnonzero([i == 0 or row != rows[i - 1] for i, row in enumerate(rows)])
+            times = np.diff(np.append(new, len(rows)))
+            rows = [rows[i] for i in new.tolist()]
+            flags = shard_repeats([t for _, _, t in rows], np.array([a for a, _, _ in rows], np.int64), depth, times=times)
+            sizes = np.array([len(f) + 1 for f in flags], np.int64)
+            flat = np.zeros(int(sizes.sum()) + 1, np.int8)  # a zero before each unit's windows and one behind all
+            begin = np.cumsum(sizes) - sizes
+            flat[ranges(begin + 1, sizes - 1)] = np.concatenate(flags)
+            edge = np.diff(flat)
+            s, e = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+            unit = np.searchsorted(begin, s, "right") - 1
+            s, e = s - begin[unit], e - begin[unit] - 1 + depth
+            some, first = np.unique(unit, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(s)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["s", "e"]))
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some.tolist()], pa.int64()), pa.array([rows[i][1] for i in some.tolist()], pa.int64()), lists], names=["a", "u", "ranges"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SHARD and row[0] != held[-1][0]:
+                if size > HELD and row[0] != held[-1][0]:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
