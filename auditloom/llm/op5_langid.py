@@ -4,22 +4,24 @@ For a page with text x, declared markup language d and host h, over the language
 
     log p(l | x, d, h) = tempered log p(x | l) + log p(d | l) + log p(l | h) + constant
 
-* p(x | l): naive Bayes over hashed byte trigrams of the whole text, fitted to a bounded sample: of each of the ``most_languages`` commonest
-  labels the different texts whose hash falls into a range that holds ``per_language`` rows on average. Trigrams overlap, so the mean log likelihood counts
+* p(x | l): naive Bayes over hashed byte trigrams of the whole text, fitted to a bounded sample: of each label
+  the different texts whose hash falls into a range that holds ``per_language`` of them on average, and at least that of least hash. Trigrams overlap, so the mean log likelihood counts
   as ``weight`` independent ones at most.
 * p(d | l): how often pages whose text speaks for l declare d, by grouped aggregation over all pages, with added counts.
 * p(l | h): prior of the host, smoothed towards its registered domain, that towards its address suffix, that towards the whole corpus;
-  each level adds ``kappa`` pseudo-counts of the next. A page's own count is taken out of every level.
+  registered domains have two labels, three below a country's general suffix such as co.uk; each level adds ``kappa`` pseudo-counts of the next. A page's own count is taken out of every level.
 
 A page is rejected (language null) if its text has no letters, or its mean log likelihood under the best language is no better than
 ``margin`` nats over a uniform choice of trigrams (then no language explains it, whatever is declared), or if the best posterior is under
 ``least``.
 
+There is one language for each label, however many; a page's row of likelihoods and the model (64 KiB a language) grow with their number.
 Counts are combined before the shuffle; a host with a third of all pages is one row of counts, joined back adaptively.
 
 Defined cases: null or empty text is rejected; null URL or no declared language are values of their own; with no labelled rows nothing can be
 judged, so all languages are null and nothing is rejected; repeated rows are judged alike; an empty table gives no rows; extra columns are
-carried by ``filter_documents`` and ignored by ``identify_pages``.
+carried by ``filter_documents`` and ignored by ``identify_pages``. Markup that is never closed counts as text: of a ``<`` all that follows it, of
+a script, style or comment all but the mark that opens it.
 """
 
 from __future__ import annotations
@@ -34,40 +36,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm._arrow import flat_bytes, slices
-from auditloom.llm._store import save
+from auditloom.llm._store import drop, save
 
 BUCKETS = 1 << 14
-PER_LANGUAGE, MOST_LANGUAGES, WEIGHT, KAPPA, MARGIN, LEAST = 500, 64, 60.0, 20.0, 0.5, 0.5
-#: Bytes of text that are scored together.
-SLICE = 1 << 19
-_LANG = re.compile(r"""<html\b[^>]{0,2000}?\blang\s*=\s*["']?([A-Za-z]{2,8})""", re.IGNORECASE)
+PER_LANGUAGE, WEIGHT, KAPPA, MARGIN, LEAST = 500, 60.0, 20.0, 0.5, 0.5
+#: Bytes of text, and likelihoods, that are worked out together.
+SLICE, CELLS = 1 << 19, 1 << 20
+#: Second-level labels that registries below two-letter suffixes give names under.
+GENERAL = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
+_HTML = re.compile(r"<html\b([^>]*)", re.IGNORECASE)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,8})""", re.IGNORECASE)
+_TAG = re.compile(r"<[A-Za-z/!?]")
 
 
 def page_text(source: str) -> tuple[str, str | None]:
-    """(visible text, declared primary language) of a page, in one pass; what an unclosed tag opens is dropped."""
-    declared = _LANG.search(source)
+    """(visible text, declared primary language) of a page, in one pass."""
+    root = _HTML.search(source)
+    declared = _LANG.search(root.group(1)) if root else None
     out, at, low = [], 0, source.lower()
     if len(low) != len(source):
         low = source  # some character changes its length in lower case: tag names then count as written
-    while (begin := source.find("<", at)) >= 0:
+    absent: set[str] = set()
+
+    def past(mark: str, start: int) -> int:
+        """The place behind the next ``mark``, 0 if there is none."""
+        found = -1 if mark in absent else low.find(mark, start)
+        if found < 0:
+            absent.add(mark)
+        return found + len(mark) if found >= 0 else 0
+
+    while tag := _TAG.search(source, at):
+        begin = tag.start()
         out.append(source[at:begin])
-        close = ">"
+        end = 0
         if low.startswith("<!--", begin):
-            close = "-->"
-        for name in ("script", "style"):
-            if low.startswith("<" + name, begin):
-                close = "</" + name
-        end = low.find(close, begin + 1)
-        if end < 0:
+            end = past("-->", begin + 4) or begin + 4
+        else:
+            for name in ("script", "style"):
+                if low.startswith("<" + name, begin) and (inner := past("</" + name, begin + 1)):
+                    end = past(">", inner) or inner
+        end = end or past(">", begin + 1)
+        if not end:
+            out.append(source[begin:])
+            at = len(source)
             break
-        at = end + len(close) if close[0] == ">" or close[0] == "-" else end
-        if close[0] == "<":
-            end = low.find(">", at)
-            if end < 0:
-                break
-            at = end + 1
-    else:
-        out.append(source[at:])
+        at = end
+    out.append(source[at:])
     return html.unescape(" ".join(out)), declared.group(1).lower() if declared else None
 
 
@@ -104,18 +118,19 @@ class TextModel:
             return np.where(n[:, None] > 0, sums / n[:, None] + np.log(BUCKETS), -np.inf)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> TextModel | None:
-    """A text model of a bounded sample, about most_languages * per_language texts at most; equal texts count once."""
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> TextModel | None:
+    """A text model of a bounded sample, about ``per_language`` texts of each label; equal texts count once."""
     rows = labelled.select(F.lower(F.col(label_col)).alias("l"), F.col(text_col).cast("string").alias("t")).filter("l IS NOT NULL AND t IS NOT NULL AND t != ''")
-    top = rows.groupBy("l").agg(F.count("*").alias("rows"), F.count_distinct(F.xxhash64("t")).alias("texts")).orderBy(F.desc("rows"), "l").limit(most_languages).collect()
-    if not top:
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    low = F.col("h").bitwiseAND(0xFFFFFFFF)
+    sizes = rows.groupBy("l").agg(F.count_distinct("h").alias("texts"), F.min(low).alias("least"))
+    names = sorted(r.l for r in sizes.select("l").collect())  # one row a label
+    if not names:
         return None
-    # Of different texts, not rows: a label of mostly copies would get few texts or none. Up to per_language all are taken.
-    share = F.create_map(*(x for r in top for x in (F.lit(r.l), F.lit(per_language / r["texts"]))))
-    hashed = rows.filter(F.col("l").isin([r.l for r in top])).withColumn("h", F.xxhash64("t"))
-    low = F.col("h").bitwiseAND(0xFFFFFFFF) / float(1 << 32)
-    sample = hashed.filter(low < F.element_at(share, F.col("l"))).groupBy("l", "h").agg(F.any_value("t").alias("t"))
-    names = [r.l for r in top]
+    # Of different texts, not rows: a label of mostly copies would get few texts or none.
+    limit = sizes.select("l", F.greatest(F.col("least"), (float(1 << 32) * per_language / F.col("texts")).cast("long")).alias("limit"))
+    # One row a label, next to 64 KiB a label of the model, which every task gets.
+    sample = rows.join(F.broadcast(limit), "l").filter(low <= F.col("limit")).groupBy("l", "h").agg(F.any_value("t").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,27 +141,41 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", pe
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.string()), pa.array(some), pa.array(n[some])], names=["l", "b", "n"])
 
-    counts = np.zeros((len(top), BUCKETS))
-    for r in sample.select("l", "t").mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect():  # at most languages * BUCKETS rows
-        counts[names.index(r.l), r.b] = r.n
+    counts = np.zeros((len(names), BUCKETS))
+    found = sample.select("l", "t").mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()  # at most labels * BUCKETS rows
+    place = {l: i for i, l in enumerate(names)}
+    counts[[place[l] for l in found.column("l").to_pylist()], found.column("b").to_numpy()] = found.column("n").to_numpy()
     return TextModel(names, counts)
 
 
 def host_levels(url: Column) -> tuple[Column, Column, Column]:
-    """(host, registered domain, address suffix) of a URL; empty strings where there are none. Domain: the last two labels."""
+    """(host, registered domain, address suffix) of a URL; empty strings where there are none."""
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    return host, F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    return levels_of(host)
+
+
+def levels_of(host: Column) -> tuple[Column, Column, Column]:
+    general = host.rlike(rf"\.({'|'.join(GENERAL)})\.[a-z][a-z]$")
+    return host, F.when(general, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)), F.substring_index(host, ".", -1)
 
 
 Extract = Callable[[pa.RecordBatch], tuple[pa.Array, list[str | None] | None]]
 
 
+def _parts(batch: pa.RecordBatch, text: str | pa.Array, languages: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of bounded text and likelihoods."""
+    most = max(1, CELLS // languages)
+    for part in slices(batch, text, SLICE):
+        for start in range(0, part.num_rows, most):
+            yield part.slice(start, most)
+
+
 def _scored(rows: DataFrame, model: TextModel, extract: Extract, kept: str, columns: list[str]) -> DataFrame:
     """``columns`` of rows plus ll (mean log likelihood by language) and declared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "t", SLICE):
+            for batch in _parts(whole, "t", len(model.languages)):
                 texts, declared = extract(batch)
                 ll = model.mean_log(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, ll.shape[1], dtype=np.int32)), pa.array(ll.ravel()))
@@ -156,10 +185,6 @@ def _scored(rows: DataFrame, model: TextModel, extract: Extract, kept: str, colu
     return rows.mapInArrow(run, f"{kept}, ll array<double>, said string")
 
 
-def _judged(own: Column) -> Column:
-    return own.isNotNull()
-
-
 class Fusion:
     """What all pages together say, small enough to be sent along: evidence of declared languages, and the corpus prior."""
 
@@ -199,25 +224,31 @@ LEVELS = ("host", "domain", "suffix")
 
 
 def _corpus(evidence: DataFrame, model: TextModel, kappa: float, margin: float) -> tuple[Fusion, DataFrame]:
-    """Grouped aggregation of what texts speak for: the fusion's tables, and (host, domain, suffix, their counts by language)."""
-    k = len(model.languages)
+    """Grouped aggregation of what texts speak for: the fusion's tables, and (host, domain, suffix, counts of each by language)."""
     own = F.when(F.array_max("ll") > margin, F.array_position(F.col("ll"), F.array_max("ll")).cast("int") - 1)
-    judged = evidence.select(*LEVELS, "said", own.alias("own")).filter(_judged(F.col("own")))
-    counts = [F.count_if(F.col("own") == i).alias(f"n{i}") for i in range(k)]
     known = F.when(F.col("said").isNull(), "none").when(F.col("said").isin(*model.languages), F.col("said")).otherwise("other")
-    grouped = save(judged.groupBy(*LEVELS, known.alias("said")).agg(*counts), "hosts")
-    again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]
-    said = {r.said: np.array(r[1:], float) for r in grouped.groupBy("said").agg(*again).collect()}  # at most languages + 2 rows
+    judged = evidence.select(*LEVELS, known.alias("said"), own.alias("own")).filter(F.col("own").isNotNull())
+    grouped = save(judged.groupBy(*LEVELS, "said", "own").agg(F.count("*").alias("n")), "hosts")
+    said: dict[str, np.ndarray] = {}
+    for r in grouped.groupBy("said", "own").agg(F.sum("n").alias("n")).collect():  # at most (languages + 2) * languages rows
+        said.setdefault(r.said, np.zeros(len(model.languages)))[r.own] = r.n
 
     def packed(by: list[str], name: str) -> DataFrame:
-        return grouped.groupBy(*by).agg(F.array(*(F.sum(f"n{i}") for i in range(k))).alias(name))
+        """The counts of a group, at most one for each language."""
+        return grouped.groupBy(*by, "own").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.collect_list(F.struct("own", "n")).alias(name))
 
     priors = packed([*LEVELS], "host_n").join(packed(["domain", "suffix"], "domain_n"), ["domain", "suffix"]).join(packed(["suffix"], "suffix_n"), "suffix")
-    return Fusion(model.languages, said, kappa), save(priors, "priors")
+    priors = save(priors, "priors")
+    drop(grouped)
+    return Fusion(model.languages, said, kappa), priors
 
 
-def _counts(column: pa.Array, k: int) -> np.ndarray:
-    return np.array([x or [0] * k for x in column.to_pylist()], float).reshape(-1, k)
+def _dense(column: pa.Array, k: int) -> np.ndarray:
+    """Rows of counts by language from lists of (own, n); null lists are zeros."""
+    out = np.zeros((len(column), k))
+    flat = column.flatten()
+    out[np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0))), flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+    return out
 
 
 def _decide(scored: DataFrame, priors: DataFrame, fusion: Fusion, kept: list[str], weight: float, margin: float, least: float) -> DataFrame:
@@ -226,14 +257,13 @@ def _decide(scored: DataFrame, priors: DataFrame, fusion: Fusion, kept: list[str
     joined = scored.join(priors, list(LEVELS), "left").select(*kept, "ll", "said", "suffix_n", "domain_n", "host_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(kept)
-            ll, said = _counts(batch.column(n), len(names)), batch.column(n + 1).to_pylist()
-            own = _own(ll, margin) if len(ll) else np.zeros(0, np.int64)
-            p = fusion.posterior(ll, said, [_counts(batch.column(n + 2 + i), len(names)) for i in range(3)], own, weight) if len(ll) else ll
-            best = p.max(axis=1, initial=0)
+        n, most = len(kept), max(1, CELLS // len(names))
+        for batch in (whole.slice(start, most) for whole in batches for start in range(0, whole.num_rows, most)):
+            ll, said = batch.column(n).flatten().to_numpy().reshape(-1, len(names)), batch.column(n + 1).to_pylist()
+            own = _own(ll, margin)
+            p = fusion.posterior(ll, said, [_dense(batch.column(n + 2 + i), len(names)) for i in range(3)], own, weight)
+            best, at = p.max(axis=1), p.argmax(axis=1)
             fine = (own >= 0) & (best >= least)
-            at = p.argmax(axis=1) if len(p) else own
             verdict = [pa.array([names[i] if ok else None for i, ok in zip(at.tolist(), fine.tolist(), strict=True)], pa.string()), pa.array([c if o >= 0 else None for c, o in zip(best.tolist(), own.tolist(), strict=True)], pa.float64()), pa.array([names[o] if o >= 0 else None for o in own.tolist()], pa.string()), pa.array(said, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *verdict], names=[*kept, "language", "confidence", "text_language", "declared"])
 
@@ -257,18 +287,21 @@ def identify_pages(pages: DataFrame, model: TextModel | None, weight: float = WE
     return _decide(scored, priors, fusion, ["page_id", "host"], weight, margin, least).select("page_id", "language", "confidence", "text_language", "declared", "host")
 
 
-def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", weight: float = WEIGHT, kappa: float = KAPPA, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
-    """``docs`` without the rows whose language is rejected; ``declared_col`` stands for the markup language, ``host_col`` for the host."""
+def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "text", declared_col: str | None = "lang", host_col: str = "source", weight: float = WEIGHT, kappa: float = KAPPA, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
+    """``docs`` without the rows whose language is rejected; ``host_col`` stands for the host.
+
+    ``declared_col`` stands for the markup language. It must be no label that the model was fitted to; None says that nothing is declared.
+    """
     if model is None:
         return docs
     host = F.lower(F.coalesce(F.col(host_col).cast("string"), F.lit("")))
-    levels = [host.alias("host"), F.substring_index(host, ".", -2).alias("domain"), F.substring_index(host, ".", -1).alias("suffix")]
+    levels = [c.alias(name) for c, name in zip(levels_of(host), LEVELS, strict=True)]
     columns = docs.columns
 
     def extract(batch: pa.RecordBatch) -> tuple[pa.Array, None]:
         return batch.column(batch.schema.get_field_index("t")).fill_null(""), None
 
-    said = F.lower(F.col(declared_col).cast("string")).alias("declared")
+    said = (F.lower(F.col(declared_col).cast("string")) if declared_col else F.lit(None).cast("string")).alias("declared")
     evidence = _scored(docs.select(*levels, said, F.col(text_col).cast("string").alias("t")), model, extract, "host string, domain string, suffix string", list(LEVELS))
     fusion, priors = _corpus(evidence, model, kappa, margin)
     row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
@@ -278,11 +311,11 @@ def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scores and judges in one pass, so that a task has one Python worker."""
         for whole in batches:
-            for batch in slices(whole, whole.column(0).field(at), SLICE):
+            for batch in _parts(whole, whole.column(0).field(at), len(model.languages)):
                 row = batch.column(0)
                 ll = model.mean_log(row.field(at).cast(pa.string()).fill_null(""))
                 own = _own(ll, margin)
-                p = fusion.posterior(ll, batch.column(1).to_pylist(), [_counts(batch.column(2 + i), len(model.languages)) for i in range(3)], own, weight)
+                p = fusion.posterior(ll, batch.column(1).to_pylist(), [_dense(batch.column(2 + i), len(model.languages)) for i in range(3)], own, weight)
                 fine = pa.array((own >= 0) & (p.max(axis=1) >= least))
                 yield pa.RecordBatch.from_arrays([row.field(i).filter(fine) for i in range(len(columns))], names=columns)
 
