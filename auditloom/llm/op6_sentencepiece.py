@@ -8,7 +8,9 @@ No piece of a usual model holds the marker after another character, so pieces ne
 therefore cut there into units; only units not met before go to the library, in multithreaded batches, and ids are put together in
 numpy. If a model has such a piece, whole texts are encoded instead. Decoding works unit by unit too.
 
-``verify`` encodes each whole text with the sentencepiece library as well and reports whether the ids are the same.
+``verify`` encodes each whole text with the sentencepiece library as well and reports whether the ids are the same. Two cuts of one unit into the
+same pieces in another order ("c cc", "cc c") have equal scores; that library adds them in single precision, this one in double, so where
+rounding tells such cuts apart they may choose differently, which ``parity`` then shows.
 
 Defined cases: a null text counts as empty and has no ids; null or repeated ids are carried, each row for itself; an empty table gives
 no rows; extra columns are ignored.

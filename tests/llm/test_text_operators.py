@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -402,6 +403,49 @@ def test_sentencepiece(spark):
     assert op6_sentencepiece.encode(table(spark, texts).limit(0), SPM).count() == 0
 
 
+def unigram_model(byte_fallback, dummy_prefix, remove_extra):
+    """A unigram model's file, written by hand: every string of up to two of a few characters and some words, with random scores."""
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def field(number, value):
+        if isinstance(value, int):
+            return varint(number << 3) + varint(value)
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + struct.pack("<f", value)
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    rng = random.Random(31)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if byte_fallback:
+        pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    letters = "▁abcdé語"
+    words = {*letters, *(a + b for a in letters for b in letters[1:]), "▁abc", "abcd", "▁a", "▁▁", "bad", "▁dada", "cab"}
+    # Sums of such scores are exact in single precision, so that "c cc" and "cc c" tie in both libraries.
+    pieces += [(w, -rng.randint(256, 1152) / 128, 1) for w in sorted(words)]
+    out = b"".join(field(1, field(1, p.encode()) + field(2, float(score)) + field(3, kind)) for p, score, kind in pieces)
+    out += field(2, field(3, 1) + field(4, len(pieces)) + field(35, int(byte_fallback)))
+    return out + field(3, field(1, b"identity") + field(3, int(dummy_prefix)) + field(4, int(remove_extra)) + field(5, 1))
+
+
+@pytest.mark.parametrize(("byte_fallback", "dummy_prefix", "remove_extra"), [(True, True, False), (True, False, True), (False, True, True)])
+def test_sentencepiece_unigram(spark, tmp_path, byte_fallback, dummy_prefix, remove_extra):
+    import sentencepiece
+
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model(byte_fallback, dummy_prefix, remove_extra))
+    rng = random.Random(32)
+    texts = [None, "", " ", "  a  b ", "abcd bad dada cab", *("".join(rng.choice("aabbccdd  é語🙂x") for _ in range(rng.randint(0, 40))) for _ in range(300)), "abc dab " * 3000]
+    rows = op6_sentencepiece.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(path), ids=True, verify=False).collect()
+    reference = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    for r in rows:
+        wanted = reference.encode(texts[r.doc_id] or "")
+        assert r.ids == wanted, texts[r.doc_id]
+        assert r.n_tokens == len(wanted) and r.ids_crc32 == zlib.crc32(np.array(wanted, "<u4").tobytes())
+    assert len(rows) == len(texts) and len({i for r in rows for i in r.ids}) > 40
+
+
 # Packing
 
 
