@@ -224,31 +224,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = named.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: int = MOST, cap: int = CAP) -> DataFrame:
-    """``docs`` with one row of each component: the one of least id (nulls last), then least MD5 of its text.
-
-    Of rows equal in id and text one stays, whichever comes first. Rows that go are few, so they are what is joined.
-    """
-    key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.select(F.col(id_col), F.col(text_col), key.alias("dedup_key"))
-    rows = save(fingerprints(keyed, id_col, text_col, width, ("dedup_key",)), "fingerprints")
-    return keep_one(docs, rows.join(_classes(rows, most, cap), "fp"), id_col, key)
-
-
-def keep_one(docs: DataFrame, rooted: DataFrame, id_col: str, key: Column) -> DataFrame:
-    """``docs`` with one row of each root of ``rooted`` (id, dedup_key, root); ``key`` gives dedup_key of a row of docs."""
-    named = save(rooted.select("root", F.struct(F.col("id").isNull().alias("none"), "id", F.col("dedup_key").alias("md5")).alias("row")), "members")
-    least = named.groupBy("root").agg(F.min("row").alias("least"))
-    gone = named.join(least, "root").filter(~F.col("row").eqNullSafe(F.col("least"))).select(F.xxhash64("row").alias("h"), F.col("row").alias("gone")).distinct()
-    same = named.groupBy("row").count().filter("count > 1").select(F.xxhash64("row").alias("h"), F.col("row").alias("same"))
-    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("md5"))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), own.alias("own")).withColumn("h", F.xxhash64("own"))
-    held = held.join(gone, (held.h == gone.h) & held.own.eqNullSafe(gone.gone), "left_anti")
-    twice = save(same, "same")
-    if twice.isEmpty():
-        return held.select("held.*")
-    single = held.join(twice, (held.h == twice.h) & held.own.eqNullSafe(twice.same), "left_anti").select("held.*")
-    several = held.join(twice, (held.h == twice.h) & held.own.eqNullSafe(twice.same), "left_semi").dropDuplicates(["own"]).select("held.*")
-    return single.unionByName(several)

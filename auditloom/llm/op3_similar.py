@@ -8,10 +8,10 @@ those over ``FAR`` bits of the first four go, as do pairs whose set sizes rule 0
 
 Of a group's pairs each text hands on two: with its nearest partner, and with the partner of most partners (the text that a family of
 copies was made from). All groups together give a text many partners, and each pair is then checked on whole texts, so no pair below ``least``
-links. Groups over ``cap`` are dealt by pairs of hash-dealt parts of about ``cap / 2``; a family of n different texts that agree on a block thus costs
-work of n squared there, without handing on more than 2 n pairs a part.
+links. Groups over ``cap`` are dealt finer, by one more block of the fingerprint, and what is still larger in hash-dealt parts of ``cap``, so the work
+is linear in the texts of a group.
 
-These links only spare work: what they leave apart is compared without loss. In one order of all shingles, rare ones first, two sets at ``least`` share
+These links only spare work (so they may be cut short where that is cheaper): what they leave apart is compared without loss. In one order of all shingles, rare ones first, two sets at ``least`` share
 one of the first n - ceil(least * n) + 1 of each (prefix filter). Texts meet in a group for each such shingle, and every pair there that no
 link has joined yet goes to the exact check, but for those that set sizes, places in the order or parities of 1,024 buckets of shingles (each a
 bound on what two sets share) rule out. A family of n texts below ``least`` that share their rare shingles costs work of n squared.
@@ -28,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm._arrow import ranges, slices
 from auditloom.llm._graph import components
-from auditloom.llm._store import save
-from auditloom.llm.op3_simhash import PAIRS, SEED, close_pairs, gray_rank, keep_one
+from auditloom.llm._store import drop, save
+from auditloom.llm.op3_simhash import PAIRS, SEED, close_pairs, gray_rank
 
 WORDS, KEPT, NEAR, FAR, CAP, LEAST = 12, 4, 16, 52, 4096, 0.8
 #: Rows of groups that are searched together.
@@ -161,12 +161,17 @@ def candidates(prints: DataFrame, cap: int = CAP, least: float = LEAST) -> DataF
     hot = save(rows.groupBy("g").count().filter(F.col("count") > cap), "hot")
     if hot.isEmpty():
         return found(rows.repartition("g")).distinct()
-    out = found(rows.join(F.broadcast(hot.select("g")), "g", "left_anti").repartition("g"))  # at most 48 * 65,536 groups exist
-    parts = F.ceil(F.col("count") * 2 / cap).cast("int")
-    dealt = rows.join(F.broadcast(hot), "g").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
-    tiled = dealt.select("g", "node", "n", *names, F.inline(tiles)).withColumn("g", F.xxhash64("g", "i", "j")).drop("i", "j")
-    return out.union(found(tiled.repartition("g"))).distinct()
+    out = found(rows.join(hot, "g", "left_anti").repartition("g"))
+    # Which word and block a group is of: the other blocks of that word divide it. Texts that agree on none of them are left to the second step.
+    word, own = F.expr("w[cast(g div 262144 as int)]"), F.expr("cast(g div 65536 % 4 as int)")
+    others = F.filter(F.array(*(F.lit(i) for i in range(4))), lambda i: i != own)
+    value = lambda i: F.expr("shiftrightunsigned(word, 16 * i)").bitwiseAND(0xFFFF)
+    held = prints.select(F.explode(groups).alias("g"), "node", "n", "w", *words).join(hot, "g").withColumn("word", word)
+    finer = held.select("g", "node", "n", "word", *names, F.explode(others).alias("i")).withColumn("g", F.xxhash64("g", "i", value(F.col("i")))).drop("word", "i")
+    over = finer.groupBy("g").count().filter(F.col("count") > cap)
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / cap))
+    dealt = finer.join(over, "g", "left").withColumn("g", F.when(F.col("count").isNotNull(), F.xxhash64("g", part)).otherwise(F.col("g")))
+    return out.union(found(dealt.repartition("g"))).distinct()
 
 
 def _common(texts: DataFrame, width: int, many: int) -> tuple[np.ndarray, np.ndarray]:
@@ -347,13 +352,36 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def checked(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         texts = save(some.join(ends, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "texts")
-        return save(_checked(pairs, texts, width, least), "linked")
+        linked = save(_checked(pairs, texts, width, least), "linked")
+        drop(texts)
+        return linked
 
     pairs = save(candidates(prints, cap, least), "pairs")
     linked = checked(pairs)
     common = _common(some, width, prints.count())
     prefixes = save(_prefixed(some, common, width, least).dropDuplicates(["node"]), "prefixes")
     rest = save(remaining(prefixes, components(linked), cap, least).join(pairs, ["u", "v"], "left_anti"), "rest")
-    linked = linked.union(checked(rest))
-    rooted = nodes.join(components(linked), "node", "left").select("id", "dedup_key", F.coalesce("root", "node").alias("root"))
+    drop(prints, pairs, prefixes)
+    roots = components(linked.union(checked(rest)))
+    rooted = nodes.join(roots, "node", "left").select("id", "dedup_key", F.coalesce("root", "node").alias("root"))
     return keep_one(docs, rooted, id_col, key)
+
+
+def keep_one(docs: DataFrame, rooted: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` with one row of each root of ``rooted`` (id, dedup_key, root); ``key`` gives dedup_key of a row of docs."""
+    named = save(rooted.select("root", F.struct(F.col("id").isNull().alias("none"), "id", F.col("dedup_key").alias("md5")).alias("row")), "members")
+    # A root may have a third of all rows: rows are dealt by a salt too, and a root goes to the salts that it has.
+    salted = named.withColumn("s", F.pmod(F.xxhash64("row"), F.lit(64)).cast("int"))
+    least = salted.groupBy("root").agg(F.count("*").alias("c"), F.min("row").alias("least"), F.expr("bit_or(shiftleft(1L, s))").alias("salts")).filter("c > 1")
+    least = least.select("root", "least", F.explode(F.expr("filter(sequence(0, 63), x -> (shiftrightunsigned(salts, x) & 1L) = 1L)")).alias("s"))
+    gone = salted.join(least, ["root", "s"]).filter(~F.col("row").eqNullSafe(F.col("least"))).select(F.xxhash64("row").alias("h"), F.col("row").alias("gone")).distinct()
+    same = named.groupBy("row").count().filter("count > 1").select(F.xxhash64("row").alias("h"), F.col("row").alias("same"))
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("md5"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), own.alias("own")).withColumn("h", F.xxhash64("own"))
+    held = held.join(gone, (held.h == gone.h) & held.own.eqNullSafe(gone.gone), "left_anti")
+    twice = save(same, "same")
+    if twice.isEmpty():
+        return held.select("held.*")
+    single = held.join(twice, (held.h == twice.h) & held.own.eqNullSafe(twice.same), "left_anti").select("held.*")
+    several = held.join(twice, (held.h == twice.h) & held.own.eqNullSafe(twice.same), "left_semi").dropDuplicates(["own"]).select("held.*")
+    return single.unionByName(several)
