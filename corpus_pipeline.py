@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import op1_pii, op3_similar, op5_langid, op7_packing, op10_suffix
-from auditloom.llm._store import save
+from auditloom.llm._store import drop, save
 from auditloom.llm.queries import BYTE_BPE, table, tokenizer_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that some language of the corpus explains; the others go."""
-    return op5_langid.filter_documents(docs, op5_langid.fit(docs))
+    """Documents that some language of the corpus explains; the others go. Their labels fit the text model, so they are no evidence as well."""
+    return op5_langid.filter_documents(docs, op5_langid.fit(docs), declared_col=None)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, one after the other, each reread from the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        kept = save(stage(spark, docs, sf_dir), name)
+        drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
