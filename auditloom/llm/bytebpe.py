@@ -23,7 +23,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 class WordEncoder:
     """encode(bytes, offsets) gives (ids, offsets). ``most_words`` bounds the words kept between calls."""
 
-    def __init__(self, path: str, most_words: int = 400_000, special_as_text: bool = False):
+    def __init__(self, path: str, most_words: int = 150_000, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         added = self.tokenizer.get_added_tokens_decoder().values()

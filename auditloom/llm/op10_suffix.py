@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import flat_bytes, ranges, slices
+from auditloom.llm._arrow import flat_bytes, lean, ranges, slices
 from auditloom.llm._store import drop, save
 
 DEPTH, ANCHORS, CAP = 200, (40, 120, 180, 200), 2000
@@ -68,6 +68,7 @@ def _pieces(data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
 def _units(rows: DataFrame, k: int, depth: int) -> DataFrame:
     """Units of rows (key, t). Their salt is even over a hot anchor's units, and the same on a rerun."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from auditloom.llm._suffix import anchor_units
 
@@ -108,6 +109,7 @@ def _texts(rows: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
     names = ["a", "u", "hot", "t"]
     types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
@@ -181,6 +183,7 @@ def shard_repeats(texts: list[bytes], groups: np.ndarray, depth: int, shard: int
 def _shards(texts: DataFrame, depth: int) -> DataFrame:
     """(a, u, ranges): of each kind the bytes that repeated windows cover, counted from the unit's start. texts: (a, u, t), groups by ``a``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
@@ -275,6 +278,7 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = repeated_ranges(docs.select(key.alias("key"), text.alias("t")), depth, cap)
     held = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), key.alias("key")).join(ranges, "key", "left").select("doc_id", "t", "ranges")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -307,6 +311,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = docs.columns
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), key.alias("key")).join(ranges, "key", "left").select("row", "ranges")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)

@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm._arrow import lean
 from auditloom.llm._store import drop, save
 
 #: Kinds in order, and their patterns (fixed values).
@@ -162,6 +163,7 @@ FOUND = "key string, n array<int>, base string, terms array<struct<entity:string
 def find_entities(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     """A row a document that has base spans: its key, counts by kind, spans and the terms next to them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("entity", "term", "start", "end")
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
@@ -184,6 +186,7 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """(form, df): rows that hold a word of the form, for the forms of ``wanted`` only."""
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * wanted.count()).bit_length()))
 
+    @lean
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.unique(_hash(batch.column(0).to_pylist(), bits))
@@ -194,6 +197,7 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, counts, known = sent.value, Counter(), {}
 
@@ -213,9 +217,9 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 if new := [w for w in here if w not in known]:
                     learn(new)
                 counts.update({f for w in here for f in known[w]})
-                if len(known) > 300_000:
+                if len(known) > 60_000:
                     known.clear()
-            if len(counts) > 200_000:
+            if len(counts) > 100_000:
                 yield counted()
                 counts.clear()
         yield counted()
@@ -305,6 +309,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     columns = docs.columns
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), with_key(docs, id_col, text_col).alias("key")).join(found.select("key", "added"), "key", "left").select("row", "added")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import ranges, slices
+from auditloom.llm._arrow import lean, ranges, slices
 from auditloom.llm._graph import components, forest
 from auditloom.llm._store import save
 
@@ -63,6 +63,7 @@ def text_fingerprints(texts: list[str], width: int = 3) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, fp, columns of keep): fp holds the 64 bits as a signed long."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", 1 << 20):
@@ -161,6 +162,7 @@ def _link(most: int):
         if held:
             yield np.concatenate(keys, axis=1), np.concatenate(fps)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, fp in chunks(batches):
             group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])

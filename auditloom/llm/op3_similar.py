@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import ranges, slices
+from auditloom.llm._arrow import lean, ranges, slices
 from auditloom.llm._graph import components
 from auditloom.llm._store import drop, save
 from auditloom.llm.op3_simhash import PAIRS, SEED, close_pairs, gray_rank
@@ -41,6 +41,8 @@ WORDS, KEPT, NEAR, FAR, CAP, LEAST = 12, 4, 16, 52, 4096, 0.8
 ROWS = 1 << 13
 #: Texts whose shingles are counted for the order, shingles whose counts are kept, and longs of a set's parities.
 SAMPLE, COMMON, PARITIES = 1 << 13, 1 << 17, 16
+#: Rows of the second step: a shingle, and a text of a root, with its set's size and the shingle's place in the set's order.
+COLUMNS = ["g", "root", "node", "n", "i"]
 #: The bits of a byte as eight bytes, so that one addition counts eight bits of up to 255 hashes.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -84,6 +86,7 @@ def wide_fingerprints(sets: list[np.ndarray], words: int = WORDS) -> np.ndarray:
 def _fingerprinted(texts: DataFrame, width: int) -> DataFrame:
     """(node, n, w: WORDS fingerprints) of (node, t); texts without words are left out."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", 1 << 20):
@@ -119,6 +122,7 @@ def chosen(node: np.ndarray, n: np.ndarray, w: np.ndarray, group: np.ndarray, le
 def _search(least: float):
     """Over rows (g, node, n, w0..) sorted by g and Gray rank: the pairs to check."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((KEPT + 3, 0), np.int64)
 
@@ -177,6 +181,7 @@ def candidates(prints: DataFrame, cap: int = CAP, least: float = LEAST) -> DataF
 def _common(texts: DataFrame, width: int, many: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes in order, texts of a sample that have them): only the order rests on it, so what a sample misses costs time, not links."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", 1 << 20):
@@ -212,6 +217,7 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
 def _prefixed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, least: float) -> DataFrame:
     """(node, n, p: prefix, odd: parities) of (node, t) with words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", 1 << 20):
@@ -229,8 +235,32 @@ def _prefixed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], width: in
     return texts.mapInArrow(run, "node long, n long, p array<long>, odd array<long>")
 
 
-def crossing(x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different roots in a group that sizes and places allow; x: rows g, root, node, n, i, sorted by g and root."""
+def _several():
+    """Of rows (g, root, node, n, i) sorted by g and root: those of groups with several roots, and of some large ones with one."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_group = np.zeros((5, 0), np.int64), None
+        for batch in batches:
+            x = np.concatenate([held, np.stack([batch.column(k).to_numpy() for k in range(5)])], axis=1)
+            if not x.shape[1]:
+                continue
+            begins = np.flatnonzero(np.append(True, x[0, 1:] != x[0, :-1]))
+            size = np.diff(np.append(begins, x.shape[1]))
+            several = x[1, begins] != x[1, begins + size - 1]
+            several[0] |= x[0, 0] == open_group
+            # The last group may go on; what isn't told yet waits, but no more of it than a few batches.
+            several[-1] |= size[-1] > 8 * ROWS
+            open_group = x[0, -1] if several[-1] else None
+            keep = np.repeat(several, size)
+            held = x[:, begins[-1] :] if not several[-1] else x[:, :0]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x[:, keep]], names=COLUMNS)
+
+    return run
+
+
+def crossing(x: np.ndarray, odd: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different roots in a group that sizes, places and parities allow; x: rows g, root, node, n, i, sorted by g and root."""
     g, root, node, n, i = x
     total = x.shape[1]
     last = np.searchsorted(np.flatnonzero(np.append(g[1:] != g[:-1], True)), np.arange(total))
@@ -245,80 +275,68 @@ def crossing(x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarr
         a = np.repeat(np.arange(start, stop), (end - after)[start:stop])
         fits = np.minimum(n[a] - i[a], n[b] - i[b]) * (1 + least) >= least * (n[a] + n[b]) - 1e-6
         fits &= np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6
-        a, b = node[a[fits]], node[b[fits]]
-        if len(a):
-            yield tuple(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+        a, b = a[fits], b[fits]
+        for k in range(0, len(a), ROWS):
+            c, d = a[k : k + ROWS], b[k : k + ROWS]
+            # Sets at least apart differ in (1 - least) / (1 + least) of their sizes' sum at most, and in each bucket of unequal parity once or more.
+            near = np.bitwise_count(odd[c] ^ odd[d]).sum(axis=1, dtype=np.int64) * (1 + least) <= (1 - least) * (n[c] + n[d]) + 1e-6
+            u, v = node[c[near]], node[d[near]]
+            if len(u):
+                yield tuple(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1))
         start = stop
 
 
-def _cross(least: float, cap: int | None):
-    """Over rows (g, root, node, n, i) sorted by g and root: pairs as (null, u, v, 0, 0), and the rows of groups over ``cap`` unless of one root."""
-    names = ["g", "root", "node", "n", "i"]
+def _cross(least: float):
+    """Over rows (g, root, node, n, i, odd) sorted by g and root: the pairs that may reach ``least``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
 
-        def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            begins = np.flatnonzero(np.append(True, x[0, 1:] != x[0, :-1]))
-            size = np.diff(np.append(begins, x.shape[1]))
-            # Sorted by root, so a group of several differs at its ends.
-            several = x[1, begins] != x[1, begins + size - 1]
-            over = several & (size > cap) if cap else np.zeros(len(size), bool)
-            if over.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x[:, np.repeat(over, size)]], names=names)
-            for u, v in crossing(x[:, np.repeat(several & ~over, size)], least):
-                none = pa.array(np.zeros(len(u), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v), none, none], names=names)
+        def pairs() -> Iterator[pa.RecordBatch]:
+            for u, v in crossing(np.concatenate([x for x, _ in held], axis=1), np.concatenate([o for _, o in held]), least):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        rows = 0
-        for batch in batches:
-            x = np.stack([batch.column(k).to_numpy() for k in range(5)])
-            new = np.flatnonzero(x[0] != np.append(held[-1][0, -1] if held else x[0, :1], x[0, :-1])) if x.shape[1] else []
-            if rows + x.shape[1] >= ROWS and len(new):
-                yield from pairs(np.concatenate([*held, x[:, : new[-1]]], axis=1))
-                held, rows = [x[:, new[-1] :]], x.shape[1] - new[-1]
-            elif x.shape[1]:
-                held.append(x)
-                rows += x.shape[1]
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                x = np.stack([batch.column(k).to_numpy() for k in range(5)])
+                odd = np.asarray(batch.column(5).flatten()).view(np.uint64).reshape(-1, PARITIES)
+                new = np.flatnonzero(x[0] != np.append(held[-1][0][0, -1] if held else x[0, :1], x[0, :-1]))
+                if rows + x.shape[1] >= ROWS and len(new):
+                    held.append((x[:, : new[-1]], odd[: new[-1]]))
+                    yield from pairs()
+                    held, rows = [(x[:, new[-1] :], odd[new[-1] :])], x.shape[1] - int(new[-1])
+                else:
+                    held.append((x, odd))
+                    rows += x.shape[1]
         if held:
-            yield from pairs(np.concatenate(held, axis=1))
+            yield from pairs()
 
     return run
 
 
 def remaining(prefixes: DataFrame, roots: DataFrame, cap: int = CAP, least: float = LEAST) -> DataFrame:
     """(u, v) with u < v: all pairs that may reach ``least`` and are not of one root. roots: (node, root)."""
-    schema, columns = "g long, root long, node long, n long, i long", ["g", "root", "node", "n", "i"]
+    schema = "g long, root long, node long, n long, i long"
     rows = prefixes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("p").alias("i", "g"))
     rows = rows.select("g", "root", "node", "n", F.col("i").cast("long").alias("i"))
-    found = lambda x, most: x.repartition("g").sortWithinPartitions("g", "root").select(*columns).mapInArrow(_cross(least, most), schema)
-    first = save(found(rows, cap), "crossed")
-    ends = [F.col("root").alias("u"), F.col("node").alias("v")]
-    out, hot = first.filter("g IS NULL").select(*ends), first.filter("g IS NOT NULL")
-    sizes = save(hot.groupBy("g").count(), "hot")
-    if not sizes.isEmpty():
-        parts = F.ceil(F.col("count") * 2 / cap).cast("int")
-        dealt = hot.join(sizes, "g").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("a"), F.greatest("own", other).alias("b")))
-        tiled = dealt.select(*columns, F.inline(tiles)).withColumn("g", F.xxhash64("g", "a", "b")).select(*columns)
-        out = out.union(found(tiled, None).select(*ends))
-    pairs = out.distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.asarray(batch.column(k).flatten()).view(np.uint64).reshape(-1, PARITIES) for k in (3, 5))
-            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            # Sets at least apart differ in (1 - least) / (1 + least) of their sizes' sum at most, and in each bucket of unequal parity once or more.
-            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (1 + least) <= (1 - least) * n + 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["u", "v"])
-
-    left, right = (prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "ou", "nv", "ov").mapInArrow(run, "u long, v long")
+    shared = save(rows.repartition("g").sortWithinPartitions("g", "root").select(*COLUMNS).mapInArrow(_several(), schema), "shared")
+    # Groups over the cap are dealt by pairs of hash-dealt parts of about half of it.
+    sizes = shared.groupBy("g").count().filter(F.col("count") > cap)
+    parts = F.coalesce(F.ceil(F.col("count") * 2 / cap), F.lit(1)).cast("int")
+    dealt = shared.join(sizes, "g", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("a"), F.greatest("own", other).alias("b")))
+    tiled = dealt.select(*COLUMNS, "parts", F.inline(tiles)).withColumn("g", F.when(F.col("parts") > 1, F.xxhash64("g", "a", "b")).otherwise(F.col("g")))
+    known = tiled.select(*COLUMNS).join(prefixes.select("node", "odd"), "node")
+    return known.repartition("g").sortWithinPartitions("g", "root").select(*COLUMNS, "odd").mapInArrow(_cross(least), "u long, v long").distinct()
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs whose whole texts are similar enough."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []

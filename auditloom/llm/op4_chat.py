@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm._arrow import lean
+
 TURN, SAYS, END = "<|turn|>", "<|says|>", "</turn>"
 SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
 _TURNS = re.compile(re.escape(TURN) + "(.*?)" + re.escape(SAYS) + "(.*?)" + re.escape(END), re.DOTALL)
@@ -133,6 +135,7 @@ def _parts(batches: Iterator[pa.RecordBatch], most_chars: int) -> Iterator[tuple
 def format_chats(conversations: DataFrame, tokenizer_path: str, trained: tuple[str, ...] = ("assistant",), most_chars: int = 1 << 20, texts: bool = False) -> DataFrame:
     """A row for each conversation; with ``texts`` its formatted text, ids and mask too (one row a part)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = chat_tokenizer(tokenizer_path)
         digest, rows, group = _Digest(), [], []

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import flat_bytes, slices
+from auditloom.llm._arrow import flat_bytes, lean, slices
 from auditloom.llm._store import drop, save
 
 BUCKETS = 1 << 14
@@ -132,6 +132,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", pe
     # One row a label, next to 64 KiB a label of the model, which every task gets.
     sample = rows.join(F.broadcast(limit), "l").filter(low <= F.col("limit")).groupBy("l", "h").agg(F.any_value("t").alias("t"))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = np.array(batch.column(0).to_pylist())
@@ -173,6 +174,7 @@ def _parts(batch: pa.RecordBatch, text: str | pa.Array, languages: int) -> Itera
 def _scored(rows: DataFrame, model: TextModel, extract: Extract, kept: str, columns: list[str]) -> DataFrame:
     """``columns`` of rows plus ll (mean log likelihood by language) and declared."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _parts(whole, "t", len(model.languages)):
@@ -256,6 +258,7 @@ def _decide(scored: DataFrame, priors: DataFrame, fusion: Fusion, kept: list[str
     names = fusion.languages
     joined = scored.join(priors, list(LEVELS), "left").select(*kept, "ll", "said", "suffix_n", "domain_n", "host_n")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, most = len(kept), max(1, CELLS // len(names))
         for batch in (whole.slice(start, most) for whole in batches for start in range(0, whole.num_rows, most)):
@@ -308,6 +311,7 @@ def filter_documents(docs: DataFrame, model: TextModel | None, text_col: str = "
     joined = docs.select(row, *levels, said).join(priors, list(LEVELS), "left").select("row", "declared", "suffix_n", "domain_n", "host_n")
     at = columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scores and judges in one pass, so that a task has one Python worker."""
         for whole in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import flat_bytes, ranges, slices
+from auditloom.llm._arrow import flat_bytes, lean, ranges, slices
 
 MARK = "▁"
 #: Piece types and model types of the format (fixed values).
@@ -210,6 +210,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = True, ids: bool = False, threads: int = 2) -> DataFrame:
     """A row a document: how many ids, their CRC-32 (little-endian 32-bit), whether decoding gives the text, whether sentencepiece agrees."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -242,6 +243,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of ids."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = codec(model_path)
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import flat_bytes, slices
+from auditloom.llm._arrow import flat_bytes, lean, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 0
@@ -149,6 +149,7 @@ class Packer:
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1_000_000, sentence_cost: int = 2, forced_cost: int = 6, grid: int = 16) -> DataFrame:
     """A row for each piece: ids ``start`` to ``start + length`` of a document's ids stand at ``offset`` of a sequence."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import ranges
+from auditloom.llm._arrow import lean, ranges
 from auditloom.llm._store import drop, save
 from auditloom.llm._vectors import dimension, matrix, usable
 
@@ -103,6 +103,7 @@ def settings(n: int, d: int) -> tuple[int, int]:
 def _hashed(rows: DataFrame, tables: int, probes: int, fine: int, longest: float | None, query: bool) -> DataFrame:
     """Rows (id, ids, v), each for all its cells: (t, c, id, ids, v)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(2))
@@ -150,6 +151,7 @@ def _searched(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Entries and queries that share (cell, b): (query, ids, scores), a row for each query and cell."""
     both = entries.select("cell", "b", F.lit(False).alias("query"), "id", "ids", "v").union(queries.select("cell", "b", F.lit(True).alias("query"), "id", "ids", "v"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stored, members, kept = None, [], [], np.zeros((0, 1))
         for batch in batches:

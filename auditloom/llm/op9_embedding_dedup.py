@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm._arrow import lean
 from auditloom.llm._graph import components, forest
 from auditloom.llm._store import save
 from auditloom.llm._vectors import dimension, matrix, usable
@@ -109,6 +110,7 @@ def _compare(rows: DataFrame, threshold: float, trees: int) -> DataFrame:
         some = np.flatnonzero(links)
         return node[some], links[some], node[a], node[b]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
@@ -155,6 +157,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, id_co
     wood = vectors.sparkSession.sparkContext.broadcast([Tree(SEED + t, d, depth, fit, spill) for t in range(trees)])
     kind = nodes.schema["v"].dataType.simpleString()
 
+    @lean
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(3))
