@@ -206,16 +206,25 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
     return shingles[np.lexsort((shingles, rank))][: n - int(np.ceil(least * n - 1e-9)) + 1]
 
 
-def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """Whether each bucket of a set's shingles holds an odd number, as bits of PARITIES longs."""
-    bits = 64 * PARITIES
-    bucket = (np.concatenate(sets) % np.uint64(bits)).astype(np.int64) + bits * np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    odd = np.bincount(bucket, minlength=bits * len(sets)).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(len(sets), bits), axis=1).view(np.int64)
+def parities(one: np.ndarray, longs: int) -> np.ndarray:
+    """Whether each bucket of a set's shingles holds an odd number, as bits of so many longs."""
+    bits = 64 * longs
+    bucket = (one % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(bucket, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def wide(one: np.ndarray) -> np.ndarray:
+    """Parities of four buckets or more a shingle, a power of two times PARITIES longs."""
+    return parities(one, PARITIES << max(0, int(np.ceil(np.log2(len(one) / (16 * PARITIES))))))
+
+
+def folded(odd: np.ndarray, longs: int) -> np.ndarray:
+    """The parities of fewer buckets: with a power of two fewer, buckets that are the same modulo their number fall together."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, longs), axis=0)
 
 
 def _prefixed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, least: float) -> DataFrame:
-    """(node, n, p: prefix, odd: parities) of (node, t) with words."""
+    """(node, n, p: prefix, odd: parities, wide: wide parities) of (node, t) with words."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +235,32 @@ def _prefixed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], width: in
                 sets = [s for s in sets if len(s)]
                 if not sets:
                     continue
-                first = [prefix(s, common, least) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
-                odd = pa.ListArray.from_arrays(pa.array(np.arange(0, PARITIES * len(sets) + 1, PARITIES, dtype=np.int32)), pa.array(parities(sets).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array([len(s) for s in sets], pa.int64()), lists, odd], names=["node", "n", "p", "odd"])
+                odd = [wide(s) for s in sets]
+                lists = []
+                for parts in ([prefix(s, common, least) for s in sets], [folded(o, PARITIES) for o in odd], odd):
+                    ends = np.concatenate([[0], np.cumsum([len(f) for f in parts])]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.array([len(s) for s in sets], pa.int64()), *lists], names=["node", "n", "p", "odd", "wide"])
 
-    return texts.mapInArrow(run, "node long, n long, p array<long>, odd array<long>")
+    return texts.mapInArrow(run, "node long, n long, p array<long>, odd array<long>, wide array<long>")
+
+
+def plausible(pairs: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
+    """The pairs that wide parities allow. At four buckets a shingle few pairs much under ``least`` are left, and none at it is lost."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            near = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
+                x, y = np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)
+                longs = min(len(x), len(y))
+                near[i] = np.bitwise_count(folded(x, longs) ^ folded(y, longs)).sum(dtype=np.int64) * (1 + least) <= (1 - least) * n[i] + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["u", "v"])
+
+    left, right = (prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"o{c}")) for c in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "ou", "nv", "ov").mapInArrow(run, "u long, v long")
 
 
 def _several():
@@ -374,12 +402,14 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         drop(texts)
         return linked
 
-    pairs = save(candidates(prints, cap, least), "pairs")
-    linked = checked(pairs)
     common = _common(some, width, prints.count())
     prefixes = save(_prefixed(some, common, width, least).dropDuplicates(["node"]), "prefixes")
-    rest = save(remaining(prefixes, components(linked), cap, least).join(pairs, ["u", "v"], "left_anti"), "rest")
-    drop(prints, pairs, prefixes)
+    pairs = save(candidates(prints, cap, least), "pairs")
+    near = save(plausible(pairs, prefixes, least), "near")
+    linked = checked(near)
+    rest = remaining(prefixes, components(linked), cap, least).join(pairs, ["u", "v"], "left_anti")
+    rest = save(plausible(rest, prefixes, least), "rest")
+    drop(prints, pairs, near, prefixes)
     roots = components(linked.union(checked(rest)))
     rooted = nodes.join(roots, "node", "left").select("id", "dedup_key", F.coalesce("root", "node").alias("root"))
     return keep_one(docs, rooted, id_col, key)
