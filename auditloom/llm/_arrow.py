@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 Batches = Iterator[pa.RecordBatch]
+#: What workers keep between tasks, by module: it goes when a task of another module begins.
+CACHES: dict[str, dict] = {}
 
 
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
@@ -17,6 +19,9 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
 
     @functools.wraps(run)
     def wrapped(batches: Batches) -> Batches:
+        for module, cache in CACHES.items():
+            if module != run.__module__:
+                cache.clear()
         try:
             yield from run(batches)
         finally:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import flat_bytes, lean, ranges, slices
+from auditloom.llm._arrow import CACHES, flat_bytes, lean, ranges, slices
 
 MARK = "▁"
 #: Piece types and model types of the format (fixed values).
@@ -197,7 +197,7 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = CACHES.setdefault(__name__, {})
 
 
 def codec(path: str) -> Codec:

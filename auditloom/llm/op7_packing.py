@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import flat_bytes, lean, slices
+from auditloom.llm._arrow import CACHES, flat_bytes, lean, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 0
 #: Most bytes of text that are tokenised at once.
 SLICE = 4 << 20
-_ENCODERS: dict = {}
+_ENCODERS: dict = CACHES.setdefault(__name__, {})
 
 
 def encoder(path: str):
