@@ -17,8 +17,14 @@ def format_bytes(size: Column) -> Column:
     return out
 
 
+def _tenths(seconds: Column) -> Column:
+    """One decimal of a double from 1 to 60, rounded on its exact binary value, ties up: such a double times 2**52 is a whole number."""
+    n = F.shiftright((seconds * float(1 << 52)).cast("long") * 10 + (1 << 51), 52)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def format_duration(ms: Column) -> Column:
     """Nms, N.Ns or Mm Ss. A rest of 59.5 s or more shows as 60s, and a rest of 0 s isn't shown."""
     minutes, rest = F.floor(ms / 60_000).cast("long"), F.floor((ms % 60_000) / 1000 + 0.5).cast("long")
     long = F.concat(minutes.cast("string"), F.lit("m"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit("s"))).otherwise(F.lit("")))
-    return F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit("ms"))).when(ms < 60_000, F.concat(F.format_string("%.1f", ms / 1000.0), F.lit("s"))).otherwise(long)
+    return F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit("ms"))).when(ms < 60_000, F.concat(_tenths(ms.cast("double") / 1000), F.lit("s"))).otherwise(long)

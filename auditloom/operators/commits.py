@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +25,14 @@ def parse_log(df: DataFrame, line: str = "line") -> DataFrame:
 
 
 def valid(pattern: str) -> bool:
+    """Whether the engine that will run a pattern takes it; without a session, whether Python does, for which named groups are rewritten."""
+    context = SparkContext._active_spark_context
     try:
-        re.compile(pattern)
-    except re.error:
+        if context is None:
+            re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
+        else:
+            context._jvm.java.util.regex.Pattern.compile(java_pattern(pattern, True))
+    except (re.error, Py4JJavaError, IllegalArgumentException):
         return False
     return True
 

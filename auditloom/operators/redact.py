@@ -61,9 +61,12 @@ def redaction_totals(redacted: DataFrame) -> DataFrame:
     return redacted.agg(F.coalesce(F.sum("redacted_count"), F.lit(0)).cast("long").alias("total_redacted"), F.count_if(F.col("redacted_count") > 0).alias("files_affected"))
 
 
-def security_results(files: DataFrame, redactions: DataFrame) -> DataFrame:
-    """Verdicts without a model: (path, status, message, issues). ``redactions``: (path, redacted_count, matched_patterns), last one of a path wins."""
-    found = redactions.groupBy("path").agg(F.max_by(F.struct("redacted_count", "matched_patterns"), "redacted_count").alias("r"))
+def security_results(files: DataFrame, redactions: DataFrame, order: str | None = None) -> DataFrame:
+    """Verdicts without a model: (path, status, message, issues). ``redactions``: (path, redacted_count, matched_patterns).
+
+    Of several reports of a path the last by the column ``order`` wins; without one, that of most redactions.
+    """
+    found = redactions.groupBy("path").agg(F.max_by(F.struct("redacted_count", "matched_patterns"), order or "redacted_count").alias("r"))
     hit = F.coalesce(F.col("r.redacted_count") > 0, F.lit(False))
     issue = F.struct(F.lit(1.0).alias("line"), F.lit("CRITICAL").alias("severity"), F.concat(F.lit("Potential secret detected ("), F.col("r.redacted_count").cast("string"), F.lit(" redaction(s))")).alias("message"), F.lit(None).cast("string").alias("suggestion"))
     none = F.array().cast("array<struct<line:double,severity:string,message:string,suggestion:string>>")

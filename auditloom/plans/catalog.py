@@ -191,7 +191,7 @@ def patch_stats(spark: SparkSession, d: str) -> DataFrame:
     return _diffs(spark, d).select("doc_id", plus.alias("additions"), minus.alias("deletions"))
 
 
-_PATCH = "CASE doc_id % 5 WHEN 0 THEN ' \n\t ' WHEN 1 THEN concat(substr(text, 1, 40), 'Binary files a and b differ') WHEN 2 THEN concat('x GIT binary patch', doc_id) WHEN 3 THEN ' no sign here' ELSE concat('+', text) END"
+_PATCH = "CASE doc_id % 5 WHEN 0 THEN ' \n\t ' WHEN 1 THEN concat(text, 'Binary files a and b differ') WHEN 2 THEN concat('x GIT binary patch', text) WHEN 3 THEN concat(' ', replace(text, '\n', ' ')) ELSE concat('+', text) END"
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(trim(p, E' \\t\\n')) = 0 THEN '{K.NO_DIFF}' WHEN contains(p, 'Binary files ') OR contains(p, 'GIT binary patch') THEN '{K.BINARY}' WHEN p NOT LIKE '+%' THEN '{K.NO_CHANGE}' END AS reason FROM (SELECT doc_id, {_PATCH} AS p FROM documents)""")
@@ -458,9 +458,9 @@ def format_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", format_bytes(F.col("n_chars") * (F.col("doc_id") % 11) * (F.col("doc_id") % 11) * 1000).alias("size"))
 
 
-@query("SELECT event_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1f', ms / 1000.0) || 's' ELSE (ms // 60000) || 'm' || CASE WHEN (ms % 60000 + 500) // 1000 > 0 THEN ' ' || ((ms % 60000 + 500) // 1000) || 's' ELSE '' END END AS duration FROM (SELECT event_id, event_id * 37 AS ms FROM events WHERE event_id * 37 % 100 <> 50)")
+@query("SELECT event_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN ((n >> 52) // 10) || '.' || ((n >> 52) % 10) || 's' ELSE (ms // 60000) || 'm' || CASE WHEN (ms % 60000 + 500) // 1000 > 0 THEN ' ' || ((ms % 60000 + 500) // 1000) || 's' ELSE '' END END AS duration FROM (SELECT event_id, event_id * 37 AS ms, CASE WHEN event_id * 37 < 60000 THEN CAST(CAST(event_id * 37 AS DOUBLE) / CAST(1000 AS DOUBLE) * CAST(4503599627370496 AS DOUBLE) AS BIGINT) * 10 + 2251799813685248 END AS n FROM events)")
 def format_durations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter("event_id * 37 % 100 <> 50").select("event_id", format_duration(F.col("event_id") * 37).alias("duration"))
+    return table(spark, d, "events").select("event_id", format_duration(F.col("event_id") * 37).alias("duration"))
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'File not found' WHEN strlen(text) * 100 > 512000 THEN 'File too large (' || {_bytes_sql('strlen(text) * 100')} || ')' END AS skip_reason, CASE WHEN doc_id % 13 <> 0 AND strlen(text) * 100 <= 512000 THEN md5(text) END AS content_md5 FROM documents")

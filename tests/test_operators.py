@@ -236,3 +236,33 @@ def test_stream(spark, tmp_path):
     stream = redacted_stream(spark, str(tmp_path / "in"), "path string, content string")
     each_batch(stream, str(tmp_path / "state"), lambda df, n: seen.extend(df.collect())).awaitTermination(120)
     assert [(r.path, r.redacted_count) for r in seen] == [("a.py", 1)]
+
+
+def test_durations_round_the_binary_value_ties_up(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from auditloom.functions.format import format_duration
+
+    rows = spark.range(1000, 60_000, 1).select("id", format_duration(F.col("id")).alias("d")).collect()
+    assert all(r.d == f"{Decimal(r.id / 1000).quantize(Decimal('0.1'), ROUND_HALF_UP)}s" for r in rows)
+
+
+def test_last_report_of_a_path_wins(spark):
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    found = spark.createDataFrame([("a", 3, ["x"], 1), ("a", 0, [], 2), ("b", 0, [], 1), ("b", 2, ["y"], 5), ("b", 1, ["z"], 7)], "path string, redacted_count long, matched_patterns array<string>, seq int")
+    got = {r.path: (r.status, r.message) for r in redact.security_results(files, found, "seq").collect()}
+    assert got == {"a": ("PASS", "AI disabled"), "b": ("FAIL", "Matched patterns: z"), "c": ("PASS", "AI disabled")}
+
+
+def test_patterns_are_judged_by_the_engine_that_runs_them(spark):
+    assert commits.valid("^(?<type>feat|fix)(?<scope>x)?") and not commits.valid("(?P<x>a)") and not commits.valid("[open")
+    df = spark.createDataFrame([("feat: a",), ("docs",)], "message string")
+    m = commits.match_patterns(F.col("message"), [("Feature", "^(?<type>feat)", False), ("Bad", "(?P<x>d)", False)])
+    assert [r.t for r in df.select(m["type"].alias("t")).collect()] == ["Feature", None]
+
+
+def test_no_redaction_pattern_overflows_the_stack(spark):
+    """Ten thousand characters of each kind of run that a pattern could repeat a group over; the fixed patterns take quadratic time on some."""
+    units = ["ab/", "a-b_", "0123456789abcdef", "key=", "token: ", "://", "a.b.", "password", "-----BEGIN", "eyJ", "AKIA", " ", "\n", "x:y@", "sk-", "ghp_", "Bearer "]
+    df = spark.createDataFrame([(i, u * (10_000 // len(u))) for i, u in enumerate(units)], "id int, content string").repartition(4)
+    assert len(redact.redact(df).select("id", "redacted_count").collect()) == len(units)
