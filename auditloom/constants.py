@@ -21,8 +21,26 @@ SECRET_PATTERNS = (
     ("Stripe Secret Key", r"sk_(?:live|test)_[A-Za-z0-9]{24,}", False),
 )
 MARKER = "<REDACTED_SECRET>"
-# One of these stands, in lower case, in every text that some pattern above matches.
-SECRET_LITERALS = ("akia", "aiza", "client_secret", "-----begin", "://", "database_ur", "db_connection", "mongo_uri", "redis_url", "bearer", "key", "secret", "token", "password", "credential", "auth", "eyj", "ghp_", "gho_", "glpat-", "xox", "sk_")
+# For each pattern above, in order: one of these stands in every match, in lower case where the pattern ignores case.
+SECRET_LITERALS = (
+    ("AKIA",),
+    ("aws_secret",),
+    ("AIza",),
+    ("client_secret",),
+    ("-----BEGIN",),
+    ("-----BEGIN",),
+    ("://",),
+    ("database_ur", "db_connection", "mongo_uri", "redis_url"),
+    ("Bearer",),
+    ("key", "secret", "token"),
+    ("secret", "token", "password", "credential", "auth"),
+    ("eyJ",),
+    ("ghp_",),
+    ("gho_",),
+    ("glpat-",),
+    ("xox",),
+    ("sk_live_", "sk_test_"),
+)
 
 # Suspicious keywords, in order.
 KEYWORDS = ("password", "passwd", "secret", "credential", "private_key", "privatekey", "access_token", "accesstoken", "api_key", "apikey", "auth_token", "authtoken", "encryption_key", "master_key", "signing_key")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from auditloom import constants as K
 from auditloom.functions.ecmascript import trim
@@ -50,16 +54,22 @@ def cap_files(df: DataFrame, most: int = K.MAX_FILES, path: str = "path", by: st
 def budget(df: DataFrame, by: str, position: str, changed: str, most: int = K.MAX_DIFF_LINES) -> DataFrame:
     """Greedy fold in order of ``position``: a file that would exceed the budget is skipped, later ones may fit.
 
-    Only (position, changed) go into a group's array. Returns (by, position, changed, kept, total after it).
+    Groups are sorted and streamed past a running total, so no group is ever held whole. Equal positions go by fewer changes
+    first; a null change counts as none. Returns (by, position, changed, kept, total after it).
     """
-    rows = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(position).cast("long").alias("position"), F.col(changed).cast("long").alias("changed")))).alias("rows"))
-    kept = "array<struct<position:bigint,changed:bigint,kept:boolean,total:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(kept).alias("all"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = s["total"] + x["changed"] <= most
-        total = F.when(fits, s["total"] + x["changed"]).otherwise(s["total"])
-        row = F.struct(x["position"].alias("position"), x["changed"].alias("changed"), fits.alias("kept"), total.alias("total"))
-        return F.struct(total.alias("total"), F.concat(s["all"], F.array(row)).alias("all"))
-
-    return rows.select(by, F.inline(F.aggregate("rows", start, step, lambda s: s["all"])))
+    rows = df.select(F.col(by).alias("by"), F.col(position).cast("long").alias("position"), F.coalesce(F.col(changed).cast("long"), F.lit(0)).alias("changed"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total = object(), 0
+        for batch in batches:
+            kept, totals = [], []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != group:
+                    group, total = key, 0
+                kept.append(total + n <= most)
+                total += n if kept[-1] else 0
+                totals.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_()), pa.array(totals, pa.int64())], names=["by", "position", "changed", "kept", "total"])
+
+    schema = StructType([rows.schema["by"], *(StructField(n, LongType()) for n in ("position", "changed")), StructField("kept", BooleanType()), StructField("total", LongType())])
+    return rows.repartition("by").sortWithinPartitions("by", "position", "changed").mapInArrow(fold, schema).withColumnRenamed("by", by)

@@ -18,37 +18,53 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _step(state: Column, name: str, pattern: Column, marker: str) -> Column:
+def _step(state: Column, name: str, pattern: Column, marker: str, needed: Callable[[Column], Column]) -> Column:
     def counted(s: Column) -> Column:
-        return _let(
+        found = _let(
             F.regexp_count(s["content"], pattern),
-            lambda n: F.struct(
-                F.when(n > 0, F.regexp_replace(s["content"], pattern, F.lit(marker))).otherwise(s["content"]).alias("content"),
-                (s["n"] + n).cast("long").alias("n"),
-                F.when(n > 0, F.concat(s["names"], F.array(F.lit(name)))).otherwise(s["names"]).alias("names"),
-            ),
+            lambda n: F.when(
+                n > 0,
+                F.struct(
+                    F.regexp_replace(s["content"], pattern, F.lit(marker)).alias("content"),
+                    (s["n"] + n).cast("long").alias("n"),
+                    F.concat(s["names"], F.array(F.lit(name))).alias("names"),
+                ),
+            ).otherwise(s),
         )
+        return F.when(needed(s), found).otherwise(s)
 
     return _let(state, counted)
 
 
+def _holds(text: Column, literals: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for literal in literals:
+        out = out | F.contains(text, F.lit(literal))
+    return out
+
+
 def redact(df: DataFrame, content: str = "content", extra: Sequence[Pattern] = (), marker: str = K.MARKER) -> DataFrame:
     """Adds redacted_count and matched_patterns, and redacts ``content``: pattern after pattern, each on what the last one left.
 
-    Texts without any literal that the built-in patterns need are passed through by one cheap test; with ``extra`` patterns no text is.
+    A built-in pattern runs only on texts that hold one of the literals its matches need; the built-in marker can't complete a
+    literal, another marker might, so with one every later pattern runs once something was redacted. ``extra`` patterns run on all texts.
     A null content is left null with no matches. The steps nest in one expression, each holding the one before it once: as a
     chain of columns, a filter on the count would be pushed through all of them and double at each step.
     """
-    gate = F.lit(False)
-    for literal in K.SECRET_LITERALS:
-        gate = gate | F.contains(F.col("_lower"), F.lit(literal))
-    gate = F.col(content).isNotNull() & (F.lit(True) if extra else gate)
+    plain = marker == K.MARKER
     quoted = marker.replace("\\", "\\\\").replace("$", "\\$")
     start = F.struct(F.col(content).alias("content"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("names"))
     state = start
-    for name, pattern, ignore_case in [*K.SECRET_PATTERNS, *extra]:
-        state = _step(state, name, F.lit(java_pattern(pattern, ignore_case)), quoted)
-    out = df.withColumn("_lower", F.lower(F.col(content))).withColumn("_r", F.when(gate, state).otherwise(start)).drop("_lower")
+
+    def needed(literals: Sequence[str], ignore_case: bool) -> Callable[[Column], Column]:
+        held = _holds(F.col("_lower") if ignore_case else F.col(content), literals)
+        return lambda s: held if plain else held | (s["n"] > 0)
+
+    for (name, pattern, ignore_case), literals in zip(K.SECRET_PATTERNS, K.SECRET_LITERALS, strict=True):
+        state = _step(state, name, F.lit(java_pattern(pattern, ignore_case)), quoted, needed(literals, ignore_case))
+    for name, pattern, ignore_case in extra:
+        state = _step(state, name, F.lit(java_pattern(pattern, ignore_case)), quoted, lambda s: F.lit(True))
+    out = df.withColumn("_lower", F.lower(F.col(content))).withColumn("_r", F.when(F.col(content).isNotNull(), state).otherwise(start)).drop("_lower")
     return out.withColumn(content, F.col("_r.content")).withColumn("redacted_count", F.col("_r.n")).withColumn("matched_patterns", F.col("_r.names")).drop("_r")
 
 
