@@ -120,3 +120,12 @@ def system_prompt(config: Config, skills: str = "") -> str:
         parts.append("Rules:\n" + "\n".join(f"{i}. {r}" for i, r in enumerate(config.rules[: K.RULES_MOST], 1)))
     parts.append('Answer in JSON: {"status": "PASS|FAIL", "message": "...", "issues": [{"line": 1, "severity": "CRITICAL|WARNING|INFO", "message": "...", "suggestion": "..."}]}')
     return "\n\n".join(parts)
+
+
+def commit_prompt(commit_format: str = "") -> str:
+    """Instructions for a model that judges commit messages: a format of one's own or conventional commits, the form of the answer."""
+    if commit_format:
+        rules = f'You check commit messages. Reject every message that does not follow this format:\n"{commit_format}"'
+    else:
+        rules = "You check commit messages against conventional commits: `<type>(<scope>): <subject>`, of type feat, fix, docs, style, refactor, perf, test, build, ci, chore or revert. The subject is lower-case, imperative and says what changed."
+    return rules + '\n\nAnswer in JSON: {"status": "PASS|FAIL", "message": "reason of a failure", "suggestion": "corrected message"}'

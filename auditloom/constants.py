@@ -70,6 +70,8 @@ MAX_FILE_BYTES = 512_000
 MAX_FILES, MAX_DIFF_LINES, MAX_CHARS_PER_FILE = 15, 1200, 12_000
 FLOOR_FILES, FLOOR_DIFF_LINES, FLOOR_CHARS = 1, 100, 1000
 TOKEN_LIMITS = {"gemini": 1_000_000, "openai": 128_000, "anthropic": 200_000}
+# Models that providers are asked for by default.
+DEFAULT_MODELS = {"gemini": "gemini-2.5-flash", "openai": "gpt-4o", "anthropic": "claude-sonnet-4.5"}
 DEFAULT_TOKEN_LIMIT, WARN_SHARE = 100_000, 0.8
 RETRY_ATTEMPTS, RETRY_BASE_MS, RETRY_CAP_MS, RETRY_JITTER_MS = 3, 500, 10_000, 100
 SKILLS_TTL_MS, SKILLS_TOP, SKILL_CHARS = 3_600_000, 8, 280

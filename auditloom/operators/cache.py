@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.operators.verdict import parse_verdicts
@@ -25,3 +25,20 @@ def look_up(requests: DataFrame, cache: DataFrame, key: str = "key") -> tuple[Da
 def new_entries(results: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
     """Entries to append: results that are no errors and not stored yet."""
     return results.filter(F.col("status") != "ERROR").join(cache.select(key), key, "left_anti")
+
+
+SCHEMA = "key string, json string"
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(key, json) stored below ``path``; empty where nothing was stored yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(SCHEMA).parquet(path) if there else spark.createDataFrame([], SCHEMA)
+
+
+def write(results: DataFrame, path: str, key: str = "key", verdict: str = "verdict") -> None:
+    """Appends each new verdict that is no error as JSON, once a key; files are added whole or not at all."""
+    json = F.to_json(F.col(verdict))
+    rows = results.select(F.col(key).alias("key"), F.col(f"{verdict}.status").alias("status"), json.alias("json")).dropDuplicates(["key"])
+    new_entries(rows, read(results.sparkSession, path)).select("key", "json").write.mode("append").parquet(path)

@@ -106,3 +106,31 @@ def git_source(path: Column, extensions: Sequence[str] = K.GIT_EXTENSIONS) -> Co
 def code_file(path: Column, extensions: Sequence[str] = K.CODE_EXTENSIONS) -> Column:
     """Whether what follows the last dot of the whole path is a code extension; case counts."""
     return F.regexp_extract(path, r"\.([^.]+)\z", 1).isin(*extensions)
+
+
+def relative(path: Column, folder: str) -> Column:
+    """A path, absolute or from ``folder``, resolved and told from ``folder``: no empty, ``.`` or inner ``..`` parts."""
+    base = [x for x in folder.split("/") if x]
+    full = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/" + "/".join(base) + "/"), path)), "/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    def told(parts: Column) -> Column:
+        shared = F.lit(0)
+        for n in range(1, len(base) + 1):
+            shared = F.when(F.slice(parts, 1, n) == F.array(*(F.lit(x) for x in base[:n])), n).otherwise(shared)
+        return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.lit(len(base)) - shared), F.slice(parts, shared + 1, F.size(parts) + 1)), "/")
+
+    return F.transform(F.array(F.aggregate(full, F.array().cast("array<string>"), step)), told)[0]
+
+
+def accepted(classified: DataFrame, path: str = "path") -> DataFrame:
+    """(path) of accepted files, by code point."""
+    return classified.filter(F.col("reason").isNull()).select(path).orderBy(path)
+
+
+def rejected(classified: DataFrame, path: str = "path") -> DataFrame:
+    """(path, reason) of rejected files, in Unicode order."""
+    return classified.filter(F.col("reason").isNotNull()).select(path, "reason").orderBy(F.collate(F.col(path), "UNICODE"), path)

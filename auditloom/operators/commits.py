@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.ecmascript import java_pattern, trim
+from auditloom.operators.classify import git_source
 
 #: type, pattern, required or not.
 CommitPattern = tuple[str, str, bool]
@@ -77,3 +78,30 @@ def distinct_files(df: DataFrame, files: str = "files", order: str = "position")
 
 def recent(df: DataFrame, n: int = 1, date: str = "date", tie: str = "hash") -> DataFrame:
     return df.orderBy(F.desc(date), tie).limit(n)
+
+
+def review_commits(log: DataFrame, n: int = 1, merges: bool = False, compare: str | None = None, head: str = "HEAD", date: str = "date", tie: str = "hash") -> DataFrame:
+    """Commits to review, newest first: the last ``n``, or with ``compare`` those that ``head`` has and ``compare`` hasn't.
+
+    ``log`` holds ``parents`` (array) and ``branches`` (array of the refs that reach a commit). A branch that no commit names falls
+    back to the last ``n``, as does a log without one; commits of several parents go unless ``merges``. Null arrays count as empty.
+    """
+    holds = lambda ref: F.coalesce(F.array_contains("branches", ref), F.lit(False))
+    rows = log if merges else log.filter(F.coalesce(F.size("parents"), F.lit(0)) < 2)
+    rows = rows.filter(holds(head))
+    if compare and not log.filter(holds(compare)).isEmpty():
+        return rows.filter(~holds(compare)).orderBy(F.desc(date), tie)
+    return recent(rows, n, date, tie)
+
+
+def changed_paths(df: DataFrame, line: str = "line", only: str = "ACMR", sources: bool = False) -> DataFrame:
+    """(status, path) of name-status lines: added, copied, modified and renamed paths, by their new names; with ``sources`` only source files."""
+    parts = F.split(F.col(line), "\t")
+    rows = df.select(F.substring(F.get(parts, F.lit(0)), 1, 1).alias("status"), trim(F.element_at(parts, -1)).alias("path"), F.size(parts).alias("n"))
+    rows = rows.filter((F.col("n") > 1) & (F.col("path") != "") & F.col("status").isin(*only)).drop("n")
+    return rows.filter(git_source(F.col("path"))) if sources else rows
+
+
+def examples(messages: DataFrame, n: int = 3, width: int = 7, date: str = "date", tie: str = "hash") -> DataFrame:
+    """(hash, message) of the newest ``n`` commits, hashes cut to ``width`` characters."""
+    return recent(messages, n, date, tie).select(F.substring("hash", 1, width).alias("hash"), "message")

@@ -20,6 +20,11 @@ def synthetic_diff(path: Column, content: Column, most: int = K.SYNTHETIC_LINES)
     return F.concat(head, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n"))
 
 
+def patch_or_synthetic(patch: Column, path: Column, content: Column) -> Column:
+    """The patch, or where it is null or blank one that adds the file."""
+    return F.when(F.length(trim(patch)) > 0, patch).otherwise(synthetic_diff(path, content))
+
+
 def line_counts(patch: Column) -> tuple[Column, Column]:
     """(additions, deletions); file headers, lines of three signs and a space, count as neither."""
     lines = F.split(patch, "\n")

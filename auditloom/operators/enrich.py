@@ -49,3 +49,15 @@ def skills_section(top: DataFrame) -> DataFrame:
 
 def fresh(stamp_ms: Column, now_ms: Column, ttl_ms: int = K.SKILLS_TTL_MS) -> Column:
     return now_ms - stamp_ms < ttl_ms
+
+
+def store_skills(skills: DataFrame, path: str, key: str, now_ms: int) -> None:
+    """Appends the skills found for a stack with the time they were read."""
+    skills.withColumn("key", F.lit(key)).withColumn("timestamp", F.lit(now_ms).cast("long")).write.mode("append").partitionBy("key").parquet(path)
+
+
+def stored_skills(stored: DataFrame, key: str, now_ms: int) -> DataFrame:
+    """The latest skills stored for a stack, if they are fresh; else no rows."""
+    rows = stored.filter(F.col("key") == key).filter(fresh(F.col("timestamp"), F.lit(now_ms)))
+    last = rows.agg(F.max("timestamp").alias("timestamp"))
+    return rows.join(last, "timestamp").drop("key", "timestamp")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import random
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,49 @@ Provider = Callable[[str, str], str]
 KNOWN = ("gemini", "openai", "anthropic")
 
 
+class ProviderError(RuntimeError):
+    """A provider that isn't known or has no key."""
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a provider is made from."""
+
+    provider: str
+    model: str
+    api_key: str
+    temperature: float = 0.2
+    max_tokens: int = 2048
+
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str] | None = None, provider: str | None = None) -> Settings:
+        """From AI_PROVIDER, AI_MODEL, AI_TEMPERATURE, AI_MAX_TOKENS and <PROVIDER>_API_KEY. ``provider`` asks for a fallback, with its default model."""
+        env = os.environ if env is None else env
+        name = provider or env.get("AI_PROVIDER", "").lower() or KNOWN[0]
+        if name not in K.DEFAULT_MODELS:
+            raise ProviderError(f"Unsupported AI provider: {name}")
+        variable = f"{name.upper()}_API_KEY"
+        if not env.get(variable):
+            raise ProviderError(f"No API key for {name}: set {variable}")
+        model = (None if provider else env.get("AI_MODEL")) or K.DEFAULT_MODELS[name]
+        return cls(name, model, env[variable], float(env.get("AI_TEMPERATURE") or 0.2), int(env.get("AI_MAX_TOKENS") or 2048))
+
+
+def make(settings: Settings, makers: Mapping[str, Callable[[Settings], Provider]]) -> Provider:
+    """The provider that the settings name, from makers by name; raises if there is none."""
+    if settings.provider not in makers:
+        raise ProviderError(f"Unsupported AI provider: {settings.provider}")
+    return makers[settings.provider](settings)
+
+
+def commit_message_prompt(message: Column) -> Column:
+    return F.concat(F.lit('Commit Message: "'), message, F.lit('"'))
+
+
+def file_prompt(content: Column) -> Column:
+    return F.concat(F.lit("Code to review:\n"), content)
+
+
 def retryable(name: str, message: str) -> bool:
     return name == "AbortError" or any(x in message for x in ("429", "503", "ECONNRESET"))
 
@@ -62,19 +107,28 @@ def ask(providers: Sequence[Provider], system: str, user: str, sleep: Callable[[
 
 def audit(files: DataFrame, providers: Sequence[Provider], system: str, concurrency: int | None = None) -> DataFrame:
     """(path, verdict, duration): each file's verdict. ``concurrency`` bounds how many tasks call at once."""
-    rows = files.select("path", "content")
+    return _judged(files.select("path", file_prompt(F.coalesce("content", F.lit(""))).alias("prompt")), "path", "path string", providers, system, concurrency)
+
+
+def audit_commits(commits: DataFrame, providers: Sequence[Provider], system: str, concurrency: int | None = None) -> DataFrame:
+    """(hash, verdict, duration): each commit message's verdict; ``system`` is ``config.commit_prompt``'s."""
+    rows = commits.select("hash", commit_message_prompt(F.coalesce("message", F.lit(""))).alias("prompt"))
+    return _judged(rows, "hash", "hash string", providers, system, concurrency)
+
+
+def _judged(rows: DataFrame, key: str, field: str, providers: Sequence[Provider], system: str, concurrency: int | None) -> DataFrame:
     rows = rows.repartition(concurrency) if concurrency else rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for name, prompt in zip(batch[key], batch["prompt"], strict=True):
                 began = time.monotonic()
-                verdict = ask(providers, system, f"Code to review:\n{content}")
-                out.append({"path": path, **verdict, "duration": (time.monotonic() - began) * 1000})
-            yield pd.DataFrame(out, columns=["path", "status", "message", "suggestion", "issues", "duration"])
+                verdict = ask(providers, system, prompt)
+                out.append({key: name, **verdict, "duration": (time.monotonic() - began) * 1000})
+            yield pd.DataFrame(out, columns=[key, "status", "message", "suggestion", "issues", "duration"])
 
-    return rows.mapInPandas(run, f"path string, {VERDICT}, duration double")
+    return rows.mapInPandas(run, f"{field}, {VERDICT}, duration double")
 
 
 def batches(df: DataFrame, size: int, position: str) -> DataFrame:

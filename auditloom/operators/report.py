@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom import constants as K
+from auditloom.functions.format import format_duration
 
 SCHEMA_VERSION = "1.0"
 
@@ -74,18 +75,90 @@ def json_report(row: DataFrame) -> DataFrame:
     return row.select(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schemaVersion"), *row.columns), {"pretty": "true"}).alias("json"))
 
 
-def markdown(report: Row, issues: list[Row]) -> str:
-    """The one-row report and its issues, ordered, as Markdown."""
-    lines = ["# Audit report", "", f"- Status: **{report['status']}**", f"- Files: {report['audited']} audited, {report['passed']} passed, {report['failed']} failed", f"- Issues: {report['critical']} critical, {report['warning']} warning, {report['info']} info"]
-    if issues:
-        lines += ["", "## Issues", ""]
-        for i in issues:
-            lines.append(f"- [{i['severity']}] {i['path']}:{i['line']:g} {i['message']}")
-            if i["suggestion"]:
-                lines.append(f"  - Suggestion: {i['suggestion']}")
-    return "\n".join(lines).rstrip() + "\n"
+def failed(results: DataFrame) -> DataFrame:
+    """Results that are listed in reports: failures and errors."""
+    return results.filter(F.col("status").isin("FAIL", "ERROR"))
 
 
-def console(report: Row, issues: list[Row]) -> str:
-    icon = {"PASS": "[ok]", "FAIL": "[x]", "ERROR": "[!]"}
-    return "\n".join([f"{icon[report['status']]} {report['status']}: {report['passed']} of {report['audited']} passed", *(f"  {i['severity']} {i['path']}:{i['line']:g} {i['message']}" for i in issues)])
+def commentable(results: DataFrame) -> DataFrame:
+    """Results whose issues are posted as comments: failures that have some."""
+    return results.filter((F.col("status") == "FAIL") & (F.size("issues") > 0))
+
+
+def run_code(exceeded: Column, files: Column, status: Column) -> Column:
+    """The exit code of a run: 0 if there was nothing to review, 2 if its tokens passed the limit, else its status'."""
+    return F.when(files == 0, 0).when(exceeded, 2).otherwise(exit_code(status))
+
+
+def _text(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def _whole(x: Column) -> Column:
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
+def _lines(report: DataFrame, skipped: DataFrame, results: DataFrame, errors: DataFrame | None, head: list[Column], left_out: tuple[list[Column], Column], titles: tuple[str | None, Column, Column, Column], broken: tuple[str, Column]) -> DataFrame:
+    """(part, key, position, line): the lines of a report by part, path and position. Only the header comes from one row; the rest stays distributed."""
+    bad = failed(results)
+    title, name, issue, without = titles
+    row = lambda df, part, key, position, line: df.select(F.lit(part).alias("part"), key.cast("string").alias("key"), position.cast("long").alias("position"), line.alias("line"))
+    out = row(report.select(F.posexplode(F.array(*head)).alias("i", "l")), 1, F.lit(""), F.col("i"), F.col("l"))
+    note, entry = left_out
+    has = lambda df: df.agg(F.count("*").alias("n")).filter("n > 0")
+    out = out.unionByName(row(has(skipped).select(F.posexplode(F.array(*note)).alias("i", "l")), 2, F.lit(""), F.col("i"), F.col("l")))
+    out = out.unionByName(row(skipped, 3, F.col("path"), F.lit(0), entry))
+    if title:
+        out = out.unionByName(row(has(bad), 4, F.lit(""), F.lit(0), F.lit(title)))
+    out = out.unionByName(row(bad, 5, F.col("path"), F.lit(-1), name))
+    out = out.unionByName(row(issue_rows(bad), 5, F.col("path"), F.col("position"), issue))
+    out = out.unionByName(row(bad.filter(F.coalesce(F.size("issues"), F.lit(0)) < 1), 5, F.col("path"), F.lit(0), without))
+    if errors is not None:
+        heading, line = broken
+        out = out.unionByName(row(has(errors), 6, F.lit(""), F.lit(0), F.lit(heading))).unionByName(row(errors, 7, F.col("error"), F.lit(0), line))
+    return out
+
+
+def _message(results: DataFrame) -> Column:
+    said = F.nullif(F.col("message"), F.lit("")) if "message" in results.columns else F.lit(None).cast("string")
+    return F.coalesce(said, F.lit("Unknown runtime error"))
+
+
+def _target(mode: str, value: str, before: str, after: str = "") -> str:
+    return f"{mode}{before}{value}{after}" if value else mode
+
+
+def markdown_lines(report: DataFrame, skipped: DataFrame, results: DataFrame, errors: DataFrame | None = None, mode: str = "files", value: str = "", ai: bool = False, at: str = "") -> DataFrame:
+    """(part, key, position, line) of the Markdown report; ``text`` joins them."""
+    c = F.col
+    metrics = (("Total files", c("total_files")), ("Audited files", c("audited")), ("Passed files", c("passed")), ("Failed files", c("failed")), ("Critical issues", c("critical")), ("Warning issues", c("warning")), ("Info issues", c("info")), ("Duration (ms)", F.floor(c("duration_ms") + 0.5)), ("Diff lines", c("changed_lines")))
+    head = [F.lit("# Review Report"), _text("- Status: **", c("status"), "**"), F.lit(f"- Target: `{_target(mode, value, ':')}`"), F.lit(f"- AI Enabled: `{str(ai).lower()}`"), F.lit(f"- Generated At: `{at}`"), F.lit("## Summary"), F.lit("| Metric | Value |"), F.lit("| --- | --- |"), *(_text(f"| {n} | ", v, " |") for n, v in metrics)]
+    hint = F.coalesce(F.concat(F.lit(" — _"), F.nullif(c("suggestion"), F.lit("")), F.lit("_")), F.lit(""))
+    issue = _text("- **", c("severity"), "** (line ", _whole(c("line")), "): ", c("message"), hint)
+    titles = ("## Findings", _text("### `", c("path"), "`"), issue, _text("- **ERROR**: ", _message(results)))
+    return _lines(report, skipped, results, errors, head, ([F.lit("## Skipped Files")], _text("- `", c("path"), "`: ", c("reason"))), titles, ("## Runtime Errors", _text("- ", c("error"))))
+
+
+def console_lines(report: DataFrame, skipped: DataFrame, results: DataFrame, errors: DataFrame | None = None, mode: str = "files", value: str = "", ai: bool = False) -> DataFrame:
+    """(part, key, position, line) of the console report; ``text`` joins them."""
+    c = F.col
+    icon = F.when(c("status") == "PASS", "✅").when(c("status") == "FAIL", "❌").otherwise("💥")
+    metrics = (("Total files:    ", c("total_files")), ("Audited files:  ", c("audited")), ("✅ Passed:       ", c("passed")), ("❌ Failed:       ", c("failed")), ("🚨 Critical:     ", c("critical")), ("⚠️  Warning:      ", c("warning")), ("ℹ️  Info:         ", c("info")), ("⏱️  Duration:     ", format_duration(c("duration_ms"))), ("🔢 Diff lines:   ", c("changed_lines")))
+    head = [F.lit("📊 Review Summary"), _text("   Status:         ", icon, " ", c("status")), F.lit(f"   Target:         {_target(mode, value, ' (', ')')}"), F.lit(f"   AI Enabled:     {'yes' if ai else 'no'}"), *(_text(f"   {n}", v) for n, v in metrics)]
+    hint = F.coalesce(F.concat(F.lit("\n💡 "), F.nullif(c("suggestion"), F.lit(""))), F.lit(""))
+    issue = _text("[", c("severity"), "] line ", _whole(c("line")), ": ", c("message"), hint)
+    marker = F.when(c("status") == "ERROR", "💥").otherwise("❌")
+    cached = F.when(c("cached"), " (cached)").otherwise("") if "cached" in results.columns else F.lit("")
+    titles = (None, _text(marker, " ", c("path"), cached), issue, _message(results))
+    return _lines(report, skipped, results, errors, head, ([_text("Skipped ", c("n"), " file(s):")], _text(c("path"), ": ", c("reason"))), titles, ("Runtime errors:", c("error")))
+
+
+def text(lines: DataFrame) -> str:
+    """The lines in order, as one string, for a report short enough to read; a blank line before each part and each file's findings."""
+    out: list[str] = []
+    last = None
+    for r in lines.orderBy("part", "key", "position").toLocalIterator():
+        new = r["line"].startswith("## ") or r["line"] == "| Metric | Value |" or (r["part"] in (2, 4, 6) and r["part"] != last) or (r["part"] == 5 and r["position"] < 0)
+        out += ["", r["line"]] if out and new else [r["line"]]
+        last = r["part"]
+    return "\n".join(out).rstrip() + "\n"

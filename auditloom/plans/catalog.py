@@ -359,7 +359,10 @@ def report_summary(spark: SparkSession, d: str) -> DataFrame:
     return report.report_row(_results(spark, d), inputs, classify_paths(spark, d).filter("reason IS NOT NULL"))
 
 
-@query()
+_JSON = [("schemaVersion", "'\"1.0\"'"), *((n, n) for n in ("audited", "passed", "failed", "critical", "warning", "info")), ("status", "'\"' || status || '\"'"), *((n, n) for n in ("exit_code", "changed_lines", "skipped", "total_files")), ("duration_ms", "'0.0'")]
+
+
+@query("SELECT concat('{', chr(10), {}, chr(10), '}') AS json FROM (%s)".replace("{}", ", ',', chr(10), ".join(f"""'  "{n}" : ', {v}""" for n, v in _JSON)) % _REPORT_SQL)
 def json_report(spark: SparkSession, d: str) -> DataFrame:
     return report.json_report(report_summary(spark, d))
 
@@ -487,3 +490,107 @@ def audit_by_source(spark: SparkSession, d: str) -> DataFrame:
     files = classify.classify(_planted(spark, d)).filter("reason IS NULL")
     done = redact.redact(files)
     return done.groupBy("source").agg(F.count("*").alias("files"), F.sum("redacted_count").alias("redactions"), F.sum(tokens.estimate(F.col("content"))).alias("tokens"))
+
+
+# Lines of reports, over the same results and skips as the summary.
+_BAD_SQL = f"SELECT 'f' || event_id AS path, {_STATUS} AS status, event_type, event_id FROM events WHERE {_STATUS} <> 'PASS'"
+_SKIPS_SQL = f"SELECT path, reason FROM (SELECT path, {_REASON} AS reason FROM ({_PATHS_SQL})) WHERE reason IS NOT NULL"
+
+
+def _report_sql(head: list[str], note: str, entry: str, title: str | None, name: str, issue: tuple[str, str], without: str) -> str:
+    """Part, key, position and line of a report: header values come from the summary's SQL, findings from the events'."""
+    line = lambda part, key, position, text, source: f"SELECT {part} AS part, {key} AS key, CAST({position} AS BIGINT) AS position, {text} AS line FROM ({source})"
+    parts = [line(1, "''", i, h, _REPORT_SQL) for i, h in enumerate(head)]
+    parts += [line(2, "''", 0, note, f"SELECT count(*) AS n FROM ({_SKIPS_SQL}) HAVING count(*) > 0"), line(3, "path", 0, entry, _SKIPS_SQL)]
+    if title:
+        parts.append(line(4, "''", 0, f"'{title}'", f"SELECT count(*) AS n FROM ({_BAD_SQL}) HAVING count(*) > 0"))
+    bugs = f"SELECT * FROM ({_BAD_SQL}) WHERE event_type = 'error'"
+    parts += [line(5, "path", -1, name, _BAD_SQL), line(5, "path", 0, issue[0], bugs), line(5, "path", 1, f"'{issue[1]}'", bugs), line(5, "path", 0, f"'{without}'", f"SELECT * FROM ({_BAD_SQL}) WHERE event_type <> 'error'")]
+    return " UNION ALL ".join(parts)
+
+
+def _skips(spark: SparkSession, d: str) -> DataFrame:
+    return classify_paths(spark, d).filter("reason IS NOT NULL").select("path", "reason")
+
+
+_METRICS = ("total_files", "audited", "passed", "failed", "critical", "warning", "info")
+
+
+@query(_report_sql(["'# Review Report'", "'- Status: **' || status || '**'", "'- Target: `range:a..b`'", "'- AI Enabled: `true`'", "'- Generated At: `2026`'", "'## Summary'", "'| Metric | Value |'", "'| --- | --- |'", *(f"'| {t} | ' || {v} || ' |'" for t, v in zip(("Total files", "Audited files", "Passed files", "Failed files", "Critical issues", "Warning issues", "Info issues"), _METRICS, strict=True)), "'| Duration (ms) | 0 |'", "'| Diff lines | ' || changed_lines || ' |'"],
+    "'## Skipped Files'", "'- `' || path || '`: ' || reason", "## Findings", "'### `' || path || '`'", (f"'- **' || {_SEVERITY} || '** (line ' || (event_id % 100 + 1) || '): issue ' || event_id", "- **INFO** (line 1): note — _do_"), "- **ERROR**: Unknown runtime error"))
+def markdown_report(spark: SparkSession, d: str) -> DataFrame:
+    return report.markdown_lines(report_summary(spark, d), _skips(spark, d), _results(spark, d), mode="range", value="a..b", ai=True, at="2026")
+
+
+@query(_report_sql(["'📊 Review Summary'", "'   Status:         💥 ' || status", "'   Target:         files'", "'   AI Enabled:     no'", *(f"'   {t}' || {v}" for t, v in zip(("Total files:    ", "Audited files:  ", "✅ Passed:       ", "❌ Failed:       ", "🚨 Critical:     ", "⚠️  Warning:      ", "ℹ️  Info:         "), _METRICS, strict=True)), "'   ⏱️  Duration:     0ms'", "'   🔢 Diff lines:   ' || changed_lines"],
+    "'Skipped ' || n || ' file(s):'", "path || ': ' || reason", None, "CASE status WHEN 'ERROR' THEN '💥 ' ELSE '❌ ' END || path", (f"'[' || {_SEVERITY} || '] line ' || (event_id % 100 + 1) || ': issue ' || event_id", "[INFO] line 1: note\n💡 do"), "Unknown runtime error"))
+def console_report(spark: SparkSession, d: str) -> DataFrame:
+    return report.console_lines(report_summary(spark, d), _skips(spark, d), _results(spark, d))
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 5 = 0 THEN 2 ELSE CASE {_STATUS} WHEN 'PASS' THEN 0 WHEN 'FAIL' THEN 1 ELSE 2 END END AS code FROM events")
+def run_codes(spark: SparkSession, d: str) -> DataFrame:
+    code = report.run_code(F.col("event_id") % 5 == 0, F.col("event_id") % 4, F.expr(_STATUS))
+    return table(spark, d, "events").select("event_id", code.alias("code"))
+
+
+@query(f"SELECT 'f' || event_id AS path, {_STATUS} AS status, event_type = 'error' AS comment FROM events WHERE {_STATUS} <> 'PASS'")
+def failed_results(spark: SparkSession, d: str) -> DataFrame:
+    rows = report.failed(_results(spark, d))
+    posted = report.commentable(rows).select("path", F.lit(True).alias("posted"))
+    return rows.join(posted, "path", "left").select("path", "status", F.coalesce("posted", F.lit(False)).alias("comment"))
+
+
+_RELATIVE = ("src/a.ts", "./src//b.ts", "/home/u/repo/c.py", "/home/u/d.py", "../e.py", "x/../../u2/f.py", "", "/home/u/repo")
+_RELATIVE_SQL = ("src/a.ts", "src/b.ts", "c.py", "../d.py", "../e.py", "../u2/f.py", "", "")
+
+
+@query("SELECT event_id, CASE event_id % {} {} END AS path FROM events".format(len(_RELATIVE), " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_RELATIVE_SQL))))
+def relative_paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.element_at(F.array(*(F.lit(p) for p in _RELATIVE)), (F.col("event_id") % len(_RELATIVE) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", classify.relative(path, "/home/u/repo").alias("path"))
+
+
+@query(f"SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 0 AND event_id % 10 <> 4 ORDER BY ts DESC, event_id")
+def branch_commits(spark: SparkSession, d: str) -> DataFrame:
+    refs = "array_compact(array(CASE WHEN event_id % 3 <> 0 THEN 'HEAD' END, CASE WHEN event_id % 2 = 1 THEN 'origin/main' END))"
+    log = _commits(spark, d).withColumn("branches", F.expr(refs)).withColumn("parents", F.expr("CASE WHEN event_id % 10 = 4 THEN array('a', 'b') ELSE array('a') END"))
+    return commits.review_commits(log, 5, compare="origin/main", date="ts", tie="event_id").select("event_id")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 3 THEN 'R' ELSE 'C' END AS status, 'src/f' || event_id || '.py' AS path FROM events WHERE event_id % 6 IN (0, 1, 3, 4) AND event_id % 5 <> 0")
+def changed_paths(spark: SparkSession, d: str) -> DataFrame:
+    name = "concat('src/f', event_id, CASE WHEN event_id % 5 = 0 THEN '.md' ELSE '.py' END)"
+    line = f"CASE event_id % 6 WHEN 0 THEN concat('A\t', {name}) WHEN 1 THEN concat('M\t', {name}, ' ') WHEN 2 THEN concat('D\t', {name}) WHEN 3 THEN concat('R100\told.py\t', {name}) WHEN 4 THEN concat('C75\told.py\t', {name}) ELSE '' END"
+    rows = commits.changed_paths(table(spark, d, "events").select(F.expr(line).alias("line")), sources=True)
+    return rows.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("event_id"), "status", "path")
+
+
+@query(f"SELECT event_id, len(t) > 0 AS matched, coalesce(t[1], '') AS type FROM (SELECT event_id, list_filter(['feat', 'fix'], lambda t: starts_with(lower(message), t)) AS t FROM ({_COMMITS_SQL}))")
+def match_named_groups(spark: SparkSession, d: str) -> DataFrame:
+    m = commits.match_patterns(F.col("message"), (("feat", "^(?<type>feat)", False), ("fix", "^(?<type>fix)\\(?", False), ("python", "(?P<x>view)", False)))
+    return _commits(spark, d).select("event_id", m.alias("m")).select("event_id", "m.matched", F.coalesce("m.type", F.lit("")).alias("type"))
+
+
+@query("SELECT 's' || (event_id % 40) AS path, CASE WHEN max(event_id) % 3 = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM events GROUP BY event_id % 40")
+def last_report_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated paths: the last report of each counts, though earlier ones found more."""
+    reports = table(spark, d, "events").select(F.expr("concat('s', event_id % 40)").alias("path"), (F.col("event_id") % 3).alias("redacted_count"), F.array(F.lit("p")).alias("matched_patterns"), "event_id")
+    return redact.security_results(reports.select("path").distinct(), reports, order="event_id").select("path", "status")
+
+
+@query("SELECT event_id, 'Commit Message: \"' || message || '\"' AS prompt FROM (" + _COMMITS_SQL + ")")
+def commit_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _commits(spark, d).select("event_id", provider.commit_message_prompt(F.col("message")).alias("prompt"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s]+')) AS BIGINT) AS tokens FROM documents")
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A counter of one's own in place of the estimate: here words between blanks."""
+    return table(spark, d, "documents").select("doc_id", tokens.estimate(F.col("text"), lambda texts: [len(t.split()) for t in texts]).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN md5('+x' || doc_id) ELSE md5(patch) END AS patch_md5 FROM (" + _DIFF_SQL + ")")
+def patch_or_synthetic(spark: SparkSession, d: str) -> DataFrame:
+    patch = F.expr("CASE WHEN doc_id % 2 = 0 THEN concat('+x', doc_id) WHEN doc_id % 3 = 0 THEN ' \n' END")
+    return corpus(table(spark, d, "documents")).select("doc_id", F.md5(diff.patch_or_synthetic(patch, F.col("path"), F.col("content"))).alias("patch_md5"))

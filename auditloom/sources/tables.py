@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import constants as K
 from auditloom.functions.format import format_bytes
+from auditloom.operators import classify
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,3 +40,82 @@ def size_capped(df: DataFrame, content: Column, most: int = K.MAX_FILE_BYTES, si
     """Adds skip_reason and content; null size means that a file isn't there."""
     reason = F.when(F.col(size).isNull(), "File not found").when(F.col(size) > most, F.concat(F.lit("File too large ("), format_bytes(F.col(size)), F.lit(")")))
     return df.withColumn("skip_reason", reason).withColumn("content", F.when(reason.isNull(), content))
+
+
+IGNORE_FILES = (".gitignore", ".archignore")
+
+
+def _uri(root: str) -> str:
+    return root if "://" in root else f"file://{os.path.abspath(root)}"
+
+
+def _listed(folder: str, local: bool, files: pyarrow.fs.FileSystem) -> Iterator[tuple[str, int, bool]]:
+    """(path, size, is a folder) of a folder's entries; links and what can't be read are left out."""
+    try:
+        entries = files.get_file_info(pyarrow.fs.FileSelector(folder))
+    except OSError:
+        return
+    for e in entries:
+        if not (local and os.path.islink(e.path)) and e.type in (pyarrow.fs.FileType.File, pyarrow.fs.FileType.Directory):
+            yield e.path, e.size or 0, e.type == pyarrow.fs.FileType.Directory
+
+
+def walk(spark: SparkSession, root: str, blocked: tuple[str, ...] = K.BLOCKED_DIRECTORIES) -> DataFrame:
+    """(path, size) of all files below a folder that driver and workers reach, relative to it, hidden ones included; blocked folders aren't entered.
+
+    The driver lists only until there is a folder for each core, the workers walk the rest and stream what they find.
+    """
+    uri = _uri(root)
+    files, base = pyarrow.fs.FileSystem.from_uri(uri)
+    local, cut = uri.startswith("file:"), len(base.rstrip("/")) + 1
+    wanted = spark.sparkContext.defaultParallelism
+    shallow, deep = [], [base]
+    while deep and len(deep) < wanted:
+        below = [p for d in deep for p, _, folder in _listed(d, local, files) if folder and os.path.basename(p) not in blocked]
+        shallow, deep = shallow + deep, below
+    todo = spark.createDataFrame([(d, False) for d in shallow] + [(d, True) for d in deep], "folder string, deep boolean").repartition(max(1, len(shallow) + len(deep)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = pyarrow.fs.FileSystem.from_uri(uri)
+        made: list[tuple[str, int]] = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], names=["path", "size"])
+        for batch in batches:
+            for first, enter in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                stack = [first]
+                while stack:
+                    for path, size, folder in _listed(stack.pop(), local, where):
+                        if not folder:
+                            made.append((path[cut:], size))
+                        elif enter and os.path.basename(path) not in blocked:
+                            stack.append(path)
+                    if len(made) >= 10_000:
+                        yield flush()
+                        made.clear()
+        yield flush()
+
+    return todo.mapInArrow(run, "path string, size bigint")
+
+
+def load_rules(root: str, names: tuple[str, ...] = IGNORE_FILES) -> list[tuple[str, bool]]:
+    """The rules of a folder's ignore files, one file after the other; a file that isn't there or can't be read has none."""
+    files, base = pyarrow.fs.FileSystem.from_uri(_uri(root))
+    rules: list[tuple[str, bool]] = []
+    for name in names:
+        try:
+            with files.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+                rules += classify.ignore_rules(f.read().decode("utf-8", "replace"))
+        except OSError:
+            continue
+    return rules
+
+
+def discover(spark: SparkSession, root: str, git_ignore: bool = True, arch_ignore: bool = True, **options) -> DataFrame:
+    """(path, size, reason): a folder's files, classified with its own ignore files."""
+    names = tuple(n for n, on in zip(IGNORE_FILES, (git_ignore, arch_ignore), strict=True) if on)
+    return classify.classify(walk(spark, root), rules=load_rules(root, names), **options)
+
+
+def filter_paths(paths: DataFrame, root: str, git_ignore: bool = True, arch_ignore: bool = True, path: str = "path", **options) -> DataFrame:
+    """Adds reason to given paths, absolute or relative, which are told from ``root`` first."""
+    names = tuple(n for n, on in zip(IGNORE_FILES, (git_ignore, arch_ignore), strict=True) if on)
+    return classify.classify(paths.withColumn(path, classify.relative(F.col(path), os.path.abspath(root) if "://" not in root else root)), path, rules=load_rules(root, names), **options)
