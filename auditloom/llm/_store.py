@@ -1,57 +1,5 @@
-"""Tables written to the folder that driver and executors share.
+"""The library's shared tables, as the operators for training data use them."""
 
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: a lost executor then costs a reread, not a
-recomputation. The setting is read from the session. Only a local session without it gets a folder of its own; elsewhere
-that is an error, as executors would write to disks that nobody else can read.
+from auditloom.sources.store import drop, save, shared_dir
 
-A table is removed by ``drop`` once nothing reads it any more; what a result still reads goes when the session's JVM ends.
-"""
-
-from __future__ import annotations
-
-import tempfile
-import uuid
-import weakref
-
-from pyspark.sql import DataFrame, SparkSession
-
-_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, else the context's checkpoint folder, else (local sessions only) a new one."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if context.master != "local" and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="auditloom-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    """(file system, path) in the JVM."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, where = _path(spark, path)
-    files.deleteOnExit(where)
-    out = spark.read.schema(schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Remove tables that ``save`` gave. Whatever was to be read from them must have been written."""
-    for table in tables:
-        path = _PATHS.pop(table, None)
-        if path:
-            files, where = _path(table.sparkSession, path)
-            files.delete(where, True)
+__all__ = ["drop", "save", "shared_dir"]

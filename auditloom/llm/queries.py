@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op5_langid, op6_sentencepiece, op7_packing, op8_ann, op9_embedding_dedup, op10_suffix, op12_bpe
+from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op5_langid, op6_sentencepiece, op7_packing, op8_ann, op9_embedding_dedup, op10_suffix, op11_resample, op12_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -68,6 +68,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_suffix.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_bpe.codec_digests(table(spark, sf_dir, "documents"), tokenizer_file(RANKS))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann_cross_polytope": op8_ann_cross_polytope,
         "op9_embedding_forest": op9_embedding_forest,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_importance_tries": op11_importance_tries,
         "op12_bpe_chunks": op12_bpe_chunks,
     }
 
