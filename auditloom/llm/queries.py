@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op5_langid, op6_sentencepiece, op7_packing, op8_ann, op9_embedding_dedup, op10_suffix, op11_resample, op12_bpe
+from auditloom.llm import op1_pii, op2_secrets, op3_simhash, op4_chat, op5_langid, op6_sentencepiece, op7_packing, op8_ann, op9_embedding_dedup, op10_suffix, op11_resample, op12_bpe, op13_repair
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -76,6 +76,10 @@ def op12_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_bpe.codec_digests(table(spark, sf_dir, "documents"), tokenizer_file(RANKS))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_repair.repair(op13_repair.damage(table(spark, sf_dir, "conversations")), present="present")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_disclosure": op1_pii_disclosure,
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_importance_tries": op11_importance_tries,
         "op12_bpe_chunks": op12_bpe_chunks,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
