@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from auditloom import constants as K
+from auditloom.operators.commits import valid
 
 FILES = (".auditloomrc.json", ".auditrc.json")
 FORMATS = ("console", "json", "markdown")
@@ -58,9 +58,7 @@ class Config:
             if not all(isinstance(x, str) for x in getattr(self.local_review, name)):
                 wrong.append(f"local_review.{name}: must be strings")
         for p in [*self.local_review.exclude_patterns, *(p for _, p, _ in self.local_review.commit_patterns)]:
-            try:
-                re.compile(p)
-            except (re.error, TypeError):
+            if not isinstance(p, str) or not valid(p):
                 wrong.append(f"local_review: {p!r} is no valid pattern")
         if not isinstance(self.tech_stack, str):
             wrong.append("tech_stack: must be a string")

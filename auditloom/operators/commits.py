@@ -26,10 +26,15 @@ def parse_log(df: DataFrame, line: str = "line") -> DataFrame:
 
 
 def valid(pattern: str) -> bool:
-    """Whether the engine that will run a pattern takes it; without a session, whether Python does, for which named groups are rewritten."""
+    """Whether the engine that will run a pattern takes it; without a session, whether Python does, for which named groups are rewritten.
+
+    Python's own form of named groups is refused either way.
+    """
     context = SparkContext._active_spark_context
     try:
         if context is None:
+            if re.search(r"(?<!\\)(?:\\\\)*\(\?P", pattern):
+                return False
             re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
         else:
             context._jvm.java.util.regex.Pattern.compile(java_pattern(pattern, True))

@@ -269,8 +269,19 @@ def test_patterns_are_judged_by_the_engine_that_runs_them(spark):
     assert [r.t for r in df.select(m["type"].alias("t")).collect()] == ["Feature", None]
 
 
+@pytest.mark.parametrize("session", [True, False])
+def test_configured_patterns_are_judged_as_they_run(spark, monkeypatch, session):
+    if not session:
+        monkeypatch.setattr(commits.SparkContext, "_active_spark_context", None)
+    for good in ("^(?<type>feat)", r"\(?P<", "(?<!x)a"):
+        assert config.LocalReview(exclude_patterns=(good,)) and config.from_dict({"local_review": {"exclude_patterns": [good]}})
+    for bad in ("(?P<x>a)", "[open", "a(", 5):
+        with pytest.raises(config.ConfigError, match="no valid pattern"):
+            config.from_dict({"local_review": {"commit_patterns": [["Kind", bad, False]]}})
+
+
 def test_no_redaction_pattern_overflows_the_stack(spark):
-    """Ten thousand characters of each kind of run that a pattern could repeat a group over; the fixed patterns take quadratic time on some."""
+    """Ten thousand characters of each kind of run that a pattern could repeat a group over."""
     units = ["ab/", "a-b_", "0123456789abcdef", "key=", "token: ", "://", "a.b.", "password", "-----BEGIN", "eyJ", "AKIA", " ", "\n", "x:y@", "sk-", "ghp_", "Bearer "]
     df = spark.createDataFrame([(i, u * (10_000 // len(u))) for i, u in enumerate(units)], "id int, content string").repartition(4)
     assert len(redact.redact(df).select("id", "redacted_count").collect()) == len(units)
