@@ -17,7 +17,9 @@ _NAMES = {
     "operators.classify": ("classify", "code_file", "git_source", "ignore_rules", "path_reason", "relative"),
     "operators.commits": ("changed_paths", "distinct_files", "filter_commits", "match_patterns", "parse_log", "review_commits"),
     "operators.diff": ("budget", "cap_files", "line_counts", "patch_or_synthetic", "skip_reason", "synthetic_diff", "truncate"),
+    "operators.graph": ("ancestors", "branch_commits", "commit_graph", "merge_bases", "reaches"),
     "operators.provider": ("Provider", "ProviderError", "Settings", "audit", "audit_commits", "make"),
+    "operators.rank": ("ranked",),
     "operators.redact": ("redact", "redaction_totals", "security_results"),
     "operators.report": ("commentable", "console_lines", "exit_code", "failed", "issue_rows", "json_report", "markdown_lines", "run_code", "summary"),
     "operators.scan": ("payload_summary", "suspicious_lines"),

@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from auditloom import constants as K
 from auditloom.functions.ecmascript import trim
+from auditloom.operators.rank import ranked
 
 
 def synthetic_diff(path: Column, content: Column, most: int = K.SYNTHETIC_LINES) -> Column:
@@ -45,15 +46,30 @@ def truncate(patch: Column, most: int = K.MAX_CHARS_PER_FILE, mark: str = K.TRUN
     return F.when(F.length(patch) > most, F.concat(F.substring(patch, 1, most), F.lit(mark))).otherwise(patch)
 
 
-def cap_files(df: DataFrame, most: int = K.MAX_FILES, path: str = "path", by: str | None = None) -> DataFrame:
+def cap_files(df: DataFrame, most: int = K.MAX_FILES, path: str = "path", by: str | None = None, positions: bool = True) -> DataFrame:
     """Distinct paths in Unicode order; those after the first ``most`` (of each ``by``) get a reason.
 
-    Rank and cut are per group; without ``by`` the order is total, so only a list meant for one report should come here.
+    With ``by``, ranks are per group. Without it the order is over all paths: positions come from ranges of paths, dealt over the tasks, and
+    the counts before them. Where ``positions`` isn't asked for, only the first ``most`` get one: a top-N finds them, and they are marked by
+    a join with these ``most`` rows, without a shuffle of the others.
     """
-    keys = [by] if by else []
-    order = Window.partitionBy(*keys).orderBy(F.collate(F.col(path), "UNICODE"), F.col(path))
-    reason = F.when(F.col("position") > most, F.lit(f"Skipped by maxFiles guardrail ({most})"))
-    return df.select(*keys, path).distinct().withColumn("position", F.row_number().over(order)).withColumn("reason", reason)
+    order = F.collate(F.col(path), "UNICODE"), F.col(path)
+    reason = F.lit(f"Skipped by maxFiles guardrail ({most})")
+    if by:
+        window = Window.partitionBy(by).orderBy(*order)
+        return df.select(by, path).distinct().withColumn("position", F.row_number().over(window)).withColumn("reason", F.when(F.col("position") > most, reason))
+    paths = df.select(path).distinct()
+    if positions:
+        return ranked(paths, *order).withColumn("reason", F.when(F.col("position") > most, reason))
+    first = paths.orderBy(*order).limit(most).agg(F.collect_list(F.struct(F.col(path).alias("p"))).alias("all"))
+    first = first.select(F.posexplode(F.array_sort("all", lambda a, b: _compared(a["p"], b["p"]))).alias("at", "s")).select(F.col("s.p").alias("_first"), (F.col("at") + 1).cast("long").alias("position"))
+    return paths.join(F.broadcast(first), F.col(path).eqNullSafe(F.col("_first")), "left").drop("_first").withColumn("reason", F.when(F.col("position").isNull(), reason))
+
+
+def _compared(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by Unicode order, then by bytes; nulls first."""
+    x, y = F.collate(a, "UNICODE"), F.collate(b, "UNICODE")
+    return F.when(a.isNull(), -1).when(b.isNull(), 1).when(x < y, -1).when(x > y, 1).when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
 def budget(df: DataFrame, by: str, position: str, changed: str, most: int = K.MAX_DIFF_LINES) -> DataFrame:

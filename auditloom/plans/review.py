@@ -31,7 +31,7 @@ def review(patches: DataFrame, config: Config | None = None, ignore: str = "", p
     config = (config or Config()).floors()
     listed = classify.classify(patches.select("path").distinct(), rules=classify.ignore_rules(ignore))
     rejected = listed.filter(F.col("reason").isNotNull())
-    capped = diff.cap_files(listed.filter(F.col("reason").isNull()), config.ai.max_files)
+    capped = diff.cap_files(listed.filter(F.col("reason").isNull()), config.ai.max_files, positions=False)
     kept = patches.join(capped.filter(F.col("reason").isNull()).select("path", "position"), "path")
     plus, minus = diff.line_counts(F.col("patch"))
     looked = kept.withColumn("reason", diff.skip_reason(F.col("patch"))).withColumn("changed_lines", plus + minus)
