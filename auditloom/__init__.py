@@ -26,7 +26,7 @@ _NAMES = {
     "operators.tokens": ("chunk_lines", "estimate", "gate", "limit"),
     "operators.verdict": ("parse_verdicts", "strip_fences"),
     "plans.review": ("Review", "review", "token_gate"),
-    "sources.tables": ("discover", "filter_paths", "load_rules", "read_files", "size_capped", "walk"),
+    "sources.tables": ("discover", "filter_paths", "load_rules", "read_files", "read_listed", "size_capped", "walk"),
 }
 _WHERE = {name: module for module, names in _NAMES.items() for name in names}
 __all__ = sorted(_WHERE)

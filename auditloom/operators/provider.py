@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import random
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -105,18 +107,67 @@ def ask(providers: Sequence[Provider], system: str, user: str, sleep: Callable[[
     return _error(f"Audit failed: {first}")
 
 
-def audit(files: DataFrame, providers: Sequence[Provider], system: str, concurrency: int | None = None) -> DataFrame:
-    """(path, verdict, duration): each file's verdict. ``concurrency`` bounds how many tasks call at once."""
-    return _judged(files.select("path", file_prompt(F.coalesce("content", F.lit(""))).alias("prompt")), "path", "path string", providers, system, concurrency)
+def audit(files: DataFrame, providers: Sequence[Provider], system: str, concurrency: int | None = None, position: str | None = None) -> DataFrame:
+    """(path, verdict, duration): each file's verdict. ``concurrency`` bounds how many tasks call at once.
 
+    With ``position``, a column that counts files from 0, files are judged in consecutive groups of ``concurrency``, and a group is begun
+    when the one before has ended.
+    """
+    rows = files.select("path", file_prompt(F.coalesce("content", F.lit(""))).alias("prompt"), *_at(position))
+    return _judged(rows, "path", "path string", providers, system, concurrency, position is not None)
 
-def audit_commits(commits: DataFrame, providers: Sequence[Provider], system: str, concurrency: int | None = None) -> DataFrame:
-    """(hash, verdict, duration): each commit message's verdict; ``system`` is ``config.commit_prompt``'s."""
-    rows = commits.select("hash", commit_message_prompt(F.coalesce("message", F.lit(""))).alias("prompt"))
-    return _judged(rows, "hash", "hash string", providers, system, concurrency)
 
+def audit_commits(commits: DataFrame, providers: Sequence[Provider], system: str, concurrency: int | None = None, position: str | None = None) -> DataFrame:
+    """(hash, verdict, duration): each commit message's verdict; ``system`` is ``config.commit_prompt``'s. ``position`` as for ``audit``."""
+    rows = commits.select("hash", commit_message_prompt(F.coalesce("message", F.lit(""))).alias("prompt"), *_at(position))
+    return _judged(rows, "hash", "hash string", providers, system, concurrency, position is not None)
 
-def _judged(rows: DataFrame, key: str, field: str, providers: Sequence[Provider], system: str, concurrency: int | None) -> DataFrame:
+
+def _at(position: str | None) -> list[Column]:
+    return [F.col(position).cast("long").alias("at")] if position else []
+
+
+def _in_groups(rows: DataFrame, key: str, field: str, providers: Sequence[Provider], system: str, concurrency: int) -> DataFrame:
+    """Verdicts group after group, in Spark's barrier mode: each task judges its share of a group and waits for the others.
+
+    There are as many tasks as a group has members, or as cores if those are fewer; then a task judges several members at once, in threads.
+    A lost task has the whole stage run again, as barrier mode knows no other way. Rows of no position are judged in the first group.
+    """
+    tasks = max(1, min(concurrency, rows.sparkSession.sparkContext.defaultParallelism))
+    rows = rows.withColumn("at", F.coalesce("at", F.lit(0).cast("long")))
+    last = rows.agg(F.max("at")).first()[0]
+    groups = 0 if last is None else last // concurrency + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        mine = itertools.groupby(zip_rows(batches), lambda row: row[2] // concurrency)
+        group, members = next(mine, (groups, iter(())))
+
+        def judge(row: tuple) -> dict:
+            began = time.monotonic()
+            verdict = ask(providers, system, row[1])
+            return {key: row[0], **verdict, "duration": (time.monotonic() - began) * 1000}
+
+        with ThreadPoolExecutor(-(-concurrency // tasks)) as pool:
+            for now in range(groups):
+                if group == now:
+                    yield pd.DataFrame(list(pool.map(judge, members)), columns=[key, "status", "message", "suggestion", "issues", "duration"])
+                    group, members = next(mine, (groups, iter(())))
+                context.barrier()
+
+    def zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(batch[key], batch["prompt"], batch["at"], strict=True)
+
+    dealt = rows.repartitionById(tasks, (F.col("at") % concurrency % tasks).cast("int")).sortWithinPartitions("at")
+    return dealt.mapInPandas(run, f"{field}, {VERDICT}, duration double", barrier=True)
+
+
+def _judged(rows: DataFrame, key: str, field: str, providers: Sequence[Provider], system: str, concurrency: int | None, in_groups: bool) -> DataFrame:
+    if in_groups:
+        return _in_groups(rows, key, field, providers, system, concurrency or 1)
     rows = rows.repartition(concurrency) if concurrency else rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

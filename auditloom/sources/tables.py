@@ -15,6 +15,9 @@ from auditloom.functions.format import format_bytes
 from auditloom.operators import classify
 
 
+NOT_FOUND = "File not found"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return balanced(spark.read.parquet(f"{folder}/{name}.parquet"))
 
@@ -38,10 +41,71 @@ def read_files(spark: SparkSession, root: str, most: int = K.MAX_FILE_BYTES) ->
 
 def size_capped(df: DataFrame, content: Column, most: int = K.MAX_FILE_BYTES, size: str = "size") -> DataFrame:
     """Adds skip_reason and content; null size means that a file isn't there."""
-    reason = F.when(F.col(size).isNull(), "File not found").when(F.col(size) > most, F.concat(F.lit("File too large ("), format_bytes(F.col(size)), F.lit(")")))
+    reason = F.when(F.col(size).isNull(), NOT_FOUND).when(F.col(size) > most, F.concat(F.lit("File too large ("), format_bytes(F.col(size)), F.lit(")")))
     return df.withColumn("skip_reason", reason).withColumn("content", F.when(reason.isNull(), content))
 
 
+#: Contents that a task gathers before it passes them on.
+READ_BYTES = 16 << 20
+
+
+def _read(uri: str, size: int | None, most: int) -> tuple[bytes | None, int | None, str | None]:
+    """(content, size, reason) of one file; nothing over ``most`` bytes is opened, and nothing raised."""
+    try:
+        files, path = pyarrow.fs.FileSystem.from_uri(uri)
+        if size is None:
+            info = files.get_file_info(path)
+            if info.type == pyarrow.fs.FileType.NotFound:
+                return None, None, NOT_FOUND
+            size = info.size or 0
+        if size > most:
+            return None, size, None
+        with files.open_input_stream(path) as f:
+            data = f.read(most + 1)
+        # A file may have grown since it was listed.
+        return (data, len(data), None) if len(data) <= most else (None, len(data), None)
+    except FileNotFoundError:
+        return None, None, NOT_FOUND
+    except (OSError, pa.ArrowException) as e:
+        return None, size, str(e) or "Read error"
+
+
+def read_listed(paths: DataFrame, most: int = K.MAX_FILE_BYTES, root: str = "", path: str = "path") -> DataFrame:
+    """Adds content, size and skip_reason to rows of paths, which may be relative to ``root``: a file that can't be read never fails the others.
+
+    With a column ``size``, as ``walk`` gives it, files aren't asked for their sizes again. A file over ``most`` bytes isn't opened. Reasons are, in this order,
+    that a file isn't there, that it is too large, or what the file system says. Contents are decoded as UTF-8, with marks for what isn't. All other columns stay,
+    so input order can be kept by a column of positions. Rows are dealt over the cores, one read after the other in each task.
+    """
+    names = [c for c in paths.columns if c not in ("size", "content", "skip_reason")]
+    listed = F.col("size").cast("long") if "size" in paths.columns else F.lit(None).cast("long")
+    rows = paths.select(*names, listed.alias("size"))
+    shape = rows.select("*", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("fault")).schema
+    at = names.index(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, made = 0, 0, []
+
+            def flush(stop: int, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                contents, sizes, faults = zip(*made, strict=True)
+                part = batch.slice(start, stop - start)
+                texts = [c if c is None else c.decode("utf-8", "replace") for c in contents]
+                return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int64()), pa.array(texts, pa.string()), pa.array(faults, pa.string())], names=shape.names)
+
+            for i, (name, size) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True), 1):
+                made.append((None, None, NOT_FOUND) if name is None else _read(_uri(name if not root or name.startswith("/") or "://" in name else f"{root.rstrip('/')}/{name}"), size, most))
+                held += len(made[-1][0] or b"")
+                if held >= READ_BYTES or i == batch.num_rows:
+                    yield flush(i)
+                    start, held, made = i, 0, []
+
+    read = balanced(rows).mapInArrow(run, shape)
+    too_large = F.concat(F.lit("File too large ("), format_bytes(F.col("size")), F.lit(")"))
+    reason = F.when(F.col("fault") == NOT_FOUND, F.col("fault")).when(F.col("size") > most, too_large).otherwise(F.col("fault"))
+    return read.withColumn("skip_reason", reason).drop("fault")
+
+
 IGNORE_FILES = (".gitignore", ".archignore")
 
 
