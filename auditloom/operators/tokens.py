@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import functools
+import heapq
+from collections import Counter as Counts
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -30,6 +34,66 @@ def estimate(content: Column, count: Counter | None = None) -> Column:
     return F.pandas_udf(counted, "long")(content)
 
 
+@functools.cache
+def _ranks(path: str) -> dict[bytes, int]:
+    """A rank file's tokens, read once a worker: a line is a token in base64 and its rank."""
+    with open(path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, file)))}
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """A word's tokens: of all neighbours, the pair of least rank is joined, the leftmost of equal ones, until none has a rank.
+
+    Pairs wait in a heap; an entry counts only while both its parts are as they were, so the work grows as n log n with the word.
+    """
+    ends = list(range(1, len(word) + 1))  # of the part that starts at each byte; 0 once it was joined to the one before
+    starts = list(range(-1, len(word) - 1))  # where the part before begins
+    heap = [(rank, i, i + 2) for i in range(len(word) - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        middle = ends[i]
+        if not middle or middle >= len(word) or ends[middle] != end:
+            continue
+        ends[i], ends[middle] = end, 0
+        if end < len(word):
+            starts[end] = i
+            if (rank := ranks.get(word[i : ends[end]])) is not None:
+                heapq.heappush(heap, (rank, i, ends[end]))
+        if i and (rank := ranks.get(word[starts[i] : end])) is not None:
+            heapq.heappush(heap, (rank, starts[i], end))
+    return [word[i:end] for i, end in enumerate(ends) if end]
+
+
+class RankCounter:
+    """A counter for ``estimate``: exact numbers of byte-pair tokens by a rank file, words split by ``pattern`` first.
+
+    It travels to the workers as a path and a pattern. A different word is merged once a worker; ``most_words`` bounds those kept.
+    """
+
+    def __init__(self, path: str, pattern: str, most_words: int = 500_000):
+        self.path, self.pattern, self.most_words = path, pattern, most_words
+        self._sizes: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_sizes": {}}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        import regex
+
+        ranks, find = _ranks(self.path), regex.compile(self.pattern).findall
+        out = []
+        for text in texts:
+            words = Counts(find(text))
+            for word in words.keys() - self._sizes.keys():
+                raw = word.encode()
+                self._sizes[word] = 1 if raw in ranks else len(merged(raw, ranks))
+            out.append(sum(n * self._sizes[word] for word, n in words.items()))
+            if len(self._sizes) > self.most_words:
+                self._sizes.clear()
+        return out
+
+
 def limit(provider: Column, override: Column | None = None) -> Column:
     """A positive override, else the provider's limit in any case, else the default."""
     known = F.lit(K.DEFAULT_TOKEN_LIMIT)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from auditloom import constants as K
 from auditloom.functions import ecmascript
 from auditloom.functions.format import format_bytes, format_duration
-from auditloom.operators import cache, classify, commits, diff, enrich, graph, provider, redact, report, scan, tokens, verdict
+from auditloom.operators import cache, classify, commits, diff, enrich, graph, patch, provider, redact, report, scan, tokens, verdict
 from auditloom.sources.tables import corpus, size_capped, table
+from auditloom.sources.vocabulary import tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -637,3 +638,24 @@ def merge_base_commits(spark: SparkSession, d: str) -> DataFrame:
     """The branch's commits from the graph alone, with two merge bases and chains of thousands of commits."""
     log, refs = _graph(spark, d)
     return graph.branch_commits(log, refs, compare="origin/main").select(F.col("hash").cast("long").alias("event_id"))
+
+
+_EDITED = "concat(CASE WHEN doc_id % 3 = 0 THEN concat('opening\n', text) ELSE text END, CASE WHEN doc_id % 5 = 0 THEN '\nclosing' WHEN doc_id % 5 = 1 THEN '\n' ELSE '' END)"
+_EDITED = f"CASE WHEN doc_id % 7 = 0 THEN text ELSE replace(replace({_EDITED}, 'tor', 'TOR'), '. ', CASE WHEN doc_id % 2 = 0 THEN '.\n' ELSE '. ' END) END"
+
+
+@query(f"SELECT doc_id, md5({_EDITED}) AS text_md5, text <> {_EDITED} AS changed FROM documents")
+def patch_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of edited documents, applied to what they were made from."""
+    versions = table(spark, d, "documents").withColumn("after", F.expr(_EDITED.replace("\n", "\\n")))
+    made = versions.select("doc_id", "text", patch.patch_column(F.concat(F.lit("src/"), F.col("doc_id").cast("string")), F.col("text"), F.col("after")).alias("patch"))
+    return made.select("doc_id", F.md5(patch.patched_column(F.col("text"), F.col("patch"))).alias("text_md5"), (F.col("patch") != "").alias("changed"))
+
+
+@query()
+def exact_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of byte-pair tokens of all documents, by a public rank file."""
+    import public_tokenizers
+
+    count = tokens.RankCounter(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return table(spark, d, "documents").select("doc_id", tokens.estimate(F.col("text"), count).alias("tokens"))
