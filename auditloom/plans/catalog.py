@@ -602,42 +602,42 @@ def patch_or_synthetic(spark: SparkSession, d: str) -> DataFrame:
     return corpus(table(spark, d, "documents")).select("doc_id", F.md5(diff.patch_or_synthetic(patch, F.col("path"), F.col("content"))).alias("patch_md5"))
 
 
-# A commit graph over events, by shares of the highest id: a trunk up to a half, two sides of alternating ids up to three quarters, two merges
+# A commit graph over documents, by shares of the highest id: a trunk up to a half, two sides of alternating ids up to three quarters, two merges
 # of both sides (so there are two merge bases), and two sides again, whose ends are origin/main and HEAD.
 _TRUNK, _SIDES = "(m // 2)", "(m * 3 // 4)"
-_GRAPH_SQL = f"""SELECT event_id, ts, CASE WHEN event_id = 0 THEN CAST([] AS BIGINT[]) WHEN event_id <= {_TRUNK} THEN [event_id - 1] WHEN event_id <= {_TRUNK} + 2 THEN [{_TRUNK}] WHEN event_id <= {_SIDES} THEN [event_id - 2]
-  WHEN event_id <= {_SIDES} + 2 THEN [{_SIDES} - 1, {_SIDES}] ELSE [event_id - 2] END AS parents FROM events, (SELECT max(event_id) AS m FROM events)"""
+_GRAPH_SQL = f"""SELECT doc_id, n_chars, CASE WHEN doc_id = 0 THEN CAST([] AS BIGINT[]) WHEN doc_id <= {_TRUNK} THEN [doc_id - 1] WHEN doc_id <= {_TRUNK} + 2 THEN [{_TRUNK}] WHEN doc_id <= {_SIDES} THEN [doc_id - 2]
+  WHEN doc_id <= {_SIDES} + 2 THEN [{_SIDES} - 1, {_SIDES}] ELSE [doc_id - 2] END AS parents FROM documents, (SELECT max(doc_id) AS m FROM documents)"""
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    events = table(spark, d, "events")
-    m = events.agg(F.max("event_id")).first()[0] or 0
-    trunk, sides, i = m // 2, m * 3 // 4, F.col("event_id")
+    docs = table(spark, d, "documents")
+    m = docs.agg(F.max("doc_id")).first()[0] or 0
+    trunk, sides, i = m // 2, m * 3 // 4, F.col("doc_id")
     parents = F.when(i == 0, F.array().cast("array<bigint>")).when(i <= trunk, F.array(i - 1)).when(i <= trunk + 2, F.array(F.lit(trunk).cast("long"))).when(i <= sides, F.array(i - 2))
     parents = parents.when(i <= sides + 2, F.array(F.lit(sides - 1).cast("long"), F.lit(sides).cast("long"))).otherwise(F.array(i - 2))
-    log = events.select(i.cast("string").alias("hash"), parents.cast("array<string>").alias("parents"), F.col("ts").alias("date"))
+    log = docs.select(i.cast("string").alias("hash"), parents.cast("array<string>").alias("parents"), F.col("n_chars").alias("date"))
     return log, spark.createDataFrame([("HEAD", str(m)), ("origin/main", str(m - 1)), ("old", str(m // 4))], "ref string, hash string")
 
 
-_REACH_SQL = f"""g AS MATERIALIZED ({_GRAPH_SQL}), e AS MATERIALIZED (SELECT event_id AS child, unnest(parents) AS parent FROM g),
-  r AS (SELECT DISTINCT name, h FROM (SELECT 'HEAD' AS name, max(event_id) AS h FROM g UNION ALL SELECT 'main', max(event_id) - 1 FROM g UNION ALL SELECT 'old', max(event_id) // 4 FROM g) UNION SELECT r.name, e.parent FROM r JOIN e ON e.child = r.h)"""
+_REACH_SQL = f"""g AS MATERIALIZED ({_GRAPH_SQL}), e AS MATERIALIZED (SELECT * FROM (SELECT doc_id AS child, unnest(parents) AS parent FROM g) WHERE parent IN (SELECT doc_id FROM g)),
+  r AS (SELECT DISTINCT name, h FROM (SELECT 'HEAD' AS name, max(doc_id) AS h FROM g UNION ALL SELECT 'main', max(doc_id) - 1 FROM g UNION ALL SELECT 'old', max(doc_id) // 4 FROM g) WHERE h IN (SELECT doc_id FROM g) UNION SELECT r.name, e.parent FROM r JOIN e ON e.child = r.h)"""
 
 
-@query(f"WITH RECURSIVE {_REACH_SQL} SELECT h AS event_id, array_to_string(list(name ORDER BY name), ',') AS branches FROM r GROUP BY h")
+@query(f"WITH RECURSIVE {_REACH_SQL} SELECT h AS doc_id, array_to_string(list(name ORDER BY name), ',') AS branches FROM r GROUP BY h")
 def commit_branches(spark: SparkSession, d: str) -> DataFrame:
     log, refs = _graph(spark, d)
     found = graph.reaches(log, refs.withColumn("ref", F.regexp_replace("ref", "origin/", "")))
-    return found.filter(F.size("branches") > 0).select(F.col("hash").cast("long").alias("event_id"), F.array_join("branches", ",").alias("branches"))
+    return found.filter(F.size("branches") > 0).select(F.col("hash").cast("long").alias("doc_id"), F.array_join("branches", ",").alias("branches"))
 
 
 @query(f"""WITH RECURSIVE {_REACH_SQL}, common AS (SELECT h FROM r WHERE name IN ('HEAD', 'main') GROUP BY h HAVING count(*) = 2),
-  base AS (SELECT event_id FROM g WHERE event_id IN (FROM common) AND event_id NOT IN (SELECT parent FROM e WHERE child IN (FROM common)) ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 1),
-  hidden AS (SELECT event_id AS h FROM base UNION SELECT e.parent FROM hidden JOIN e ON e.child = hidden.h)
-  SELECT event_id FROM g WHERE len(parents) < 2 AND event_id IN (SELECT h FROM r WHERE name = 'HEAD') AND event_id NOT IN (FROM hidden)""")
+  base AS (SELECT doc_id FROM g WHERE doc_id IN (FROM common) AND doc_id NOT IN (SELECT parent FROM e WHERE child IN (FROM common)) ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR) LIMIT 1),
+  hidden AS (SELECT doc_id AS h FROM base UNION SELECT e.parent FROM hidden JOIN e ON e.child = hidden.h)
+  SELECT doc_id FROM g WHERE len(parents) < 2 AND doc_id IN (SELECT h FROM r WHERE name = 'HEAD') AND doc_id NOT IN (FROM hidden)""")
 def merge_base_commits(spark: SparkSession, d: str) -> DataFrame:
     """The branch's commits from the graph alone, with two merge bases and chains of thousands of commits."""
     log, refs = _graph(spark, d)
-    return graph.branch_commits(log, refs, compare="origin/main").select(F.col("hash").cast("long").alias("event_id"))
+    return graph.branch_commits(log, refs, compare="origin/main").select(F.col("hash").cast("long").alias("doc_id"))
 
 
 _EDITED = "concat(CASE WHEN doc_id % 3 = 0 THEN concat('opening\n', text) ELSE text END, CASE WHEN doc_id % 5 = 0 THEN '\nclosing' WHEN doc_id % 5 = 1 THEN '\n' ELSE '' END)"
