@@ -6,7 +6,10 @@ For a page with text x, declared markup language d and host h, over the language
 
 * p(x | l): naive Bayes over hashed byte trigrams of the whole text, fitted to a bounded sample: of each label
   the different texts whose hash falls into a range that holds ``per_language`` of them on average, and at least that of least hash. Trigrams overlap, so the mean log likelihood counts
-  as ``weight`` independent ones at most.
+  as ``weight`` independent ones at most. Labels may be wrong: junk that bears one would teach the model that it is a language. So of the sample only
+  texts that are typical of their label count: a text's typicality is the mean, over its trigrams, of the share of the label's other texts that
+  hold the trigram, and it must reach ``typical`` of the label's median. What less than about that share of a label's texts have to themselves
+  is left out, however alike they are. Only the sample is trimmed; every document is then judged by its likelihood.
 * p(d | l): how often pages whose text speaks for l declare d, by grouped aggregation over all pages, with added counts.
 * p(l | h): prior of the host, smoothed towards its registered domain, that towards its address suffix, that towards the whole corpus;
   registered domains have two labels, three below a country's general suffix such as co.uk; each level adds ``kappa`` pseudo-counts of the next. A page's own count is taken out of every level.
@@ -40,6 +43,8 @@ from auditloom.llm._store import drop, save
 
 BUCKETS = 1 << 14
 PER_LANGUAGE, WEIGHT, KAPPA, MARGIN, LEAST = 500, 60.0, 20.0, 0.5, 0.5
+#: Share of a label's median typicality that a text must reach to teach the model.
+TYPICAL = 1 / 3
 #: Bytes of text, and likelihoods, that are worked out together.
 SLICE, CELLS = 1 << 19, 1 << 20
 #: Second-level labels that registries below two-letter suffixes give names under.
@@ -118,8 +123,52 @@ class TextModel:
             return np.where(n[:, None] > 0, sums / n[:, None] + np.log(BUCKETS), -np.inf)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> TextModel | None:
-    """A text model of a bounded sample, about ``per_language`` texts of each label; equal texts count once."""
+def _bucket_counts(sample: DataFrame, names: list[str], presence: bool) -> np.ndarray:
+    """Trigrams, or with ``presence`` texts that hold them, of each label (rows) by bucket; at most labels * BUCKETS rows come to the driver."""
+
+    @lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "t", SLICE):
+                labels = np.array(batch.column(0).to_pylist())
+                bucket, text = trigrams(*flat_bytes(batch.column(1)))
+                if presence:
+                    bucket, text = (x.astype(np.int64) for x in np.divmod(np.unique(bucket * batch.num_rows + text), batch.num_rows))
+                for label in np.unique(labels).tolist():
+                    n = np.bincount(bucket[(labels == label)[text]], minlength=BUCKETS)
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.string()), pa.array(some), pa.array(n[some])], names=["l", "b", "n"])
+
+    counts = np.zeros((len(names), BUCKETS))
+    found = sample.select("l", "t").mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    place = {l: i for i, l in enumerate(names)}
+    counts[[place[l] for l in found.column("l").to_pylist()], found.column("b").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _typicality(sample: DataFrame, names: list[str]) -> DataFrame:
+    """(l, h, share): how typical of its label each text is, null without trigrams; a label's only text is."""
+    sizes = dict(map(tuple, sample.groupBy("l").count().collect()))  # one row a label
+    held = _bucket_counts(sample, names, True)
+    place = {l: i for i, l in enumerate(names)}
+
+    @lean
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "t", SLICE):
+                labels = batch.column(0).to_pylist()
+                bucket, text = trigrams(*flat_bytes(batch.column(2)))
+                row, others = np.array([place[l] for l in labels]), np.array([max(1, sizes[l] - 1) for l in labels])
+                sums = np.bincount(text, (held[row[text], bucket] - 1) / others[text], len(labels))
+                n = np.bincount(text, minlength=len(labels))
+                share = np.where(np.array([sizes[l] for l in labels]) == 1, 1.0, sums / np.maximum(n, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, mask=n == 0)], names=["l", "h", "share"])
+
+    return sample.select("l", "h", "t").mapInArrow(score, "l string, h long, share double")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, typical: float = TYPICAL) -> TextModel | None:
+    """A text model of the typical ones among a bounded sample, about ``per_language`` texts of each label; equal texts count once."""
     rows = labelled.select(F.lower(F.col(label_col)).alias("l"), F.col(text_col).cast("string").alias("t")).filter("l IS NOT NULL AND t IS NOT NULL AND t != ''")
     rows = rows.withColumn("h", F.xxhash64("t"))
     low = F.col("h").bitwiseAND(0xFFFFFFFF)
@@ -130,23 +179,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", pe
     # Of different texts, not rows: a label of mostly copies would get few texts or none.
     limit = sizes.select("l", F.greatest(F.col("least"), (float(1 << 32) * per_language / F.col("texts")).cast("long")).alias("limit"))
     # One row a label, next to 64 KiB a label of the model, which every task gets.
-    sample = rows.join(F.broadcast(limit), "l").filter(low <= F.col("limit")).groupBy("l", "h").agg(F.any_value("t").alias("t"))
-
-    @lean
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels = np.array(batch.column(0).to_pylist())
-            bucket, text = trigrams(*flat_bytes(batch.column(1)))
-            for label in np.unique(labels).tolist():
-                n = np.bincount(bucket[(labels == label)[text]], minlength=BUCKETS)
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.string()), pa.array(some), pa.array(n[some])], names=["l", "b", "n"])
-
-    counts = np.zeros((len(names), BUCKETS))
-    found = sample.select("l", "t").mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()  # at most labels * BUCKETS rows
-    place = {l: i for i, l in enumerate(names)}
-    counts[[place[l] for l in found.column("l").to_pylist()], found.column("b").to_numpy()] = found.column("n").to_numpy()
-    return TextModel(names, counts)
+    sample = save(rows.join(F.broadcast(limit), "l").filter(low <= F.col("limit")).groupBy("l", "h").agg(F.any_value("t").alias("t")), "sample")
+    scored = save(_typicality(sample, names), "typical")
+    teach = scored.join(scored.groupBy("l").agg(F.median("share").alias("middle")), "l").filter(F.col("share") >= typical * F.col("middle")).select("l", "h")
+    model = TextModel(names, _bucket_counts(sample.join(teach, ["l", "h"]), names, False))
+    drop(sample, scored)
+    return model
 
 
 def host_levels(url: Column) -> tuple[Column, Column, Column]:

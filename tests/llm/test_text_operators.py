@@ -364,18 +364,37 @@ def test_languages_equal_a_count_by_hand(spark):
     assert {None, *labels} == {w[1] for w in wanted} and any(w[1] != w[3] for w in wanted if w[1])
 
 
-def test_junk_and_foreign_text_is_rejected(spark):
-    """Planted among 600 documents of three languages: 100 of junk or of languages that the corpus doesn't have."""
-    rng = random.Random(22)
-    clean = [(i, spoken(x, rng.randint(4, 60), rng), x, "s") for i, x in enumerate(["aa", "bb", "cc"] * 200)]
+def planted_languages(rng, junk_labels):
+    """600 documents of three languages, and 100 of junk or of languages that the corpus doesn't have, which may bear a label."""
+    clean = [(i, spoken(x, rng.randint(4, 60), rng), x, "s", 1) for i, x in enumerate(["aa", "bb", "cc"] * 200)]
     make = [lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)), lambda: "".join(rng.choice("ABCDefgh0123456789+/") for _ in range(200)), lambda: " ".join(rng.choice(["мягких", "булок", "ещё", "Москва"]) for _ in range(30)), lambda: " ".join(rng.choice(["kaikki", "ihmiset", "syntyvät", "vapaina"]) for _ in range(30)), lambda: "0 1 2 %%% $$"]
-    planted = [(1000 + i, make[i % 5](), rng.choice(["aa", "bb", None]), "s") for i in range(100)]
-    docs = spark.createDataFrame(clean + planted, "doc_id long, text string, lang string, source string")
-    model = op5_langid.fit(docs.filter("doc_id < 1000"))
-    kept = {r.doc_id for r in op5_langid.filter_documents(docs, model, declared_col=None).collect()}
+    return clean, [(1000 + i, make[i % 5](), rng.choice(junk_labels), "s", 1) for i in range(100)]
+
+
+@pytest.mark.parametrize("junk_labels", [["aa", "bb", None], ["aa"], ["aa", "bb", "cc"], [None]])
+def test_the_stage_rejects_junk_and_foreign_text_that_bears_labels(spark, junk_labels):
+    import corpus_pipeline
+
+    clean, planted = planted_languages(random.Random(22), junk_labels)
+    docs = spark.createDataFrame(clean + planted, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert sum(i < 1000 for i in kept) == 600 and sum(i >= 1000 for i in kept) <= 2
 
 
+def test_a_label_of_two_scripts_keeps_both(spark):
+    rng = random.Random(23)
+    turned = str.maketrans("abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x44A))))
+    rows = [(i, spoken("aa", 40, rng), "aa", "s", 1) for i in range(120)] + [(200 + i, spoken("aa", 40, rng).translate(turned), "aa", "s", 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert op5_langid.filter_documents(docs, op5_langid.fit(docs), declared_col=None).count() == 200
+
+
+def test_odd_labels_fit(spark):
+    rows = [("only text of its label", "xx"), ("%% 1", "yy"), ("%% 1", "YY"), ("", "zz"), (None, "zz"), *((spoken("bb", 9, random.Random(i)), "bb") for i in range(20))]
+    model = op5_langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["bb", "xx", "yy"]
+
+
 def test_page_text():
     for source in ("<script" * 150_000, "<!--" * 200_000, "<" * 1_000_000, "<a " * 300_000, "<html " * 150_000, "<style>" * 140_000, "< " * 500_000):
         op5_langid.page_text(source)
