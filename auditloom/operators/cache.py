@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.operators.verdict import parse_verdicts
+from auditloom.sources import versioned
 
 CACHE_VERSION = "1"
 FIELDS = ("version", "provider", "model", "prompt_version", "tool_version", "file_path", "system_prompt", "payload")
@@ -31,14 +34,18 @@ SCHEMA = "key string, json string"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(key, json) stored below ``path``; empty where nothing was stored yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(SCHEMA).parquet(path) if there else spark.createDataFrame([], SCHEMA)
+    """(key, json) stored below ``path``, a row a key; empty where nothing was stored yet."""
+    stored = versioned.current(spark, path)
+    return spark.createDataFrame([], SCHEMA) if stored is None else stored.select("key", "json")
+
+
+def write(results: DataFrame, path: str, key: str = "key", verdict: str = "verdict", now_ms: int | None = None) -> None:
+    """Stores each verdict that is no error as JSON, once a key: a later write replaces an earlier one, whoever wrote it."""
+    stamp = F.lit(int(time.time() * 1000) if now_ms is None else now_ms).cast("long")
+    rows = results.filter(F.col(f"{verdict}.status") != "ERROR").select(F.col(key).alias("key"), F.to_json(F.col(verdict)).alias("json"), stamp.alias("stamp"))
+    versioned.upsert(rows.dropDuplicates(["key"]), path)
 
 
-def write(results: DataFrame, path: str, key: str = "key", verdict: str = "verdict") -> None:
-    """Appends each new verdict that is no error as JSON, once a key; files are added whole or not at all."""
-    json = F.to_json(F.col(verdict))
-    rows = results.select(F.col(key).alias("key"), F.col(f"{verdict}.status").alias("status"), json.alias("json")).dropDuplicates(["key"])
-    new_entries(rows, read(results.sparkSession, path)).select("key", "json").write.mode("append").parquet(path)
+def compact(spark: SparkSession, path: str, now_ms: int, ttl_ms: int) -> None:
+    """Rewrites the store without entries of ``ttl_ms`` or older."""
+    versioned.compact(spark, path, now_ms - ttl_ms + 1)

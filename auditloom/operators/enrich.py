@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom import constants as K
 from auditloom.functions.ecmascript import trim
+from auditloom.sources import versioned
 
 
 def tech_tokens(stack: Column) -> Column:
@@ -52,12 +53,16 @@ def fresh(stamp_ms: Column, now_ms: Column, ttl_ms: int = K.SKILLS_TTL_MS) -> Co
 
 
 def store_skills(skills: DataFrame, path: str, key: str, now_ms: int) -> None:
-    """Appends the skills found for a stack with the time they were read."""
-    skills.withColumn("key", F.lit(key)).withColumn("timestamp", F.lit(now_ms).cast("long")).write.mode("append").partitionBy("key").parquet(path)
+    """Stores the skills found for a stack with the time they were read; they replace those stored for it before."""
+    versioned.upsert(skills.withColumn("key", F.lit(key)).withColumn("timestamp", F.lit(now_ms).cast("long")), path, stamp="timestamp")
 
 
-def stored_skills(stored: DataFrame, key: str, now_ms: int) -> DataFrame:
-    """The latest skills stored for a stack, if they are fresh; else no rows."""
-    rows = stored.filter(F.col("key") == key).filter(fresh(F.col("timestamp"), F.lit(now_ms)))
-    last = rows.agg(F.max("timestamp").alias("timestamp"))
-    return rows.join(last, "timestamp").drop("key", "timestamp")
+def stored_skills(spark: SparkSession, path: str, key: str, now_ms: int) -> DataFrame | None:
+    """The latest skills stored for a stack, no rows if they aren't fresh; None where nothing was stored at all."""
+    stored = versioned.current(spark, path)
+    return stored if stored is None else stored.filter(F.col("key") == key).filter(fresh(F.col("timestamp"), F.lit(now_ms))).drop("key", "timestamp")
+
+
+def compact_skills(spark: SparkSession, path: str, now_ms: int, ttl_ms: int = K.SKILLS_TTL_MS) -> None:
+    """Rewrites the store without what isn't fresh any more."""
+    versioned.compact(spark, path, now_ms - ttl_ms + 1)

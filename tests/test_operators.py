@@ -335,8 +335,8 @@ def test_verdicts_are_stored_once(spark, tmp_path):
     skills = spark.createDataFrame([("s",)], "skill string")
     where = "file://" + str(tmp_path / "skills")
     enrich.store_skills(skills, where, "go", 1000)
-    assert enrich.stored_skills(spark.read.parquet(where), "go", 2000).count() == 1
-    assert enrich.stored_skills(spark.read.parquet(where), "go", 2000 + K.SKILLS_TTL_MS).count() == 0
+    assert enrich.stored_skills(spark, where, "go", 2000).count() == 1
+    assert enrich.stored_skills(spark, where, "go", 2000 + K.SKILLS_TTL_MS).count() == 0
 
 
 def test_provider_settings():
