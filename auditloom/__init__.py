@@ -18,15 +18,19 @@ _NAMES = {
     "operators.commits": ("changed_paths", "distinct_files", "filter_commits", "match_patterns", "parse_log", "review_commits"),
     "operators.diff": ("budget", "cap_files", "line_counts", "patch_or_synthetic", "skip_reason", "synthetic_diff", "truncate"),
     "operators.graph": ("ancestors", "branch_commits", "commit_graph", "merge_bases", "reaches"),
+    "operators.patch": ("apply", "patch_column", "patched_column", "unified"),
+    "operators.progress": ("Progress",),
     "operators.provider": ("Provider", "ProviderError", "Settings", "audit", "audit_commits", "make"),
     "operators.rank": ("ranked",),
     "operators.redact": ("redact", "redaction_totals", "security_results"),
     "operators.report": ("commentable", "console_lines", "exit_code", "failed", "issue_rows", "json_report", "markdown_lines", "run_code", "summary"),
     "operators.scan": ("payload_summary", "suspicious_lines"),
-    "operators.tokens": ("chunk_lines", "estimate", "gate", "limit"),
+    "operators.tokens": ("RankCounter", "chunk_lines", "estimate", "gate", "limit"),
     "operators.verdict": ("parse_verdicts", "strip_fences"),
     "plans.review": ("Review", "review", "token_gate"),
+    "sources.posting": ("comments", "post"),
     "sources.tables": ("discover", "filter_paths", "load_rules", "read_files", "read_listed", "size_capped", "walk"),
+    "sources.versioned": ("compact", "current", "upsert", "vacuum"),
 }
 _WHERE = {name: module for module, names in _NAMES.items() for name in names}
 __all__ = sorted(_WHERE)
