@@ -35,13 +35,15 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._arrow import lean
+from auditloom.llm._arrow import flat_bytes, lean, slices
 from auditloom.llm._store import drop, save
 
 #: Kinds in order, and their patterns (fixed values).
@@ -57,6 +59,8 @@ REACH, Z, GENERALISE, REMOVE = 5, 1.0, 0.6, 0.9
 #: Characters that the general forms of a term keep, the most specific form first.
 PREFIXES = (4, 2)
 LEAST_BITS, MOST_BITS = 16, 25
+#: Bytes of text whose words are counted together, and what a task's tables hold before they are emptied.
+SLICE, MOST_FORMS, MOST_WORDS = 1 << 20, 100_000, 250_000
 # The same matches as the patterns' in linear time: a run of digits is tried once, from its start, and an address from its @.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _PHONE = re.compile(PATTERNS["phone"])
@@ -134,11 +138,6 @@ def _neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> Ite
             yield entity, text[s:e].lower(), s, e
 
 
-def forms(term: str) -> list[str]:
-    """The term and its general forms, the most specific first; a mark that no word holds ends a general form."""
-    return [term, *(term[:n] + "*" for n in PREFIXES if len(term) > n)]
-
-
 def general_form(term: str, level: int) -> str:
     """What a term becomes: at levels 1 and 2 a general form, beyond them its class."""
     if level <= len(PREFIXES):
@@ -146,10 +145,22 @@ def general_form(term: str, level: int) -> str:
     return "[NUMBER]" if term.isdigit() else "[WORD]"
 
 
-def _hash(terms: list[str], bits: int) -> np.ndarray:
-    from xxhash import xxh64_intdigest
+def _forms(terms: pa.Array) -> list[pa.Array]:
+    """Terms, then their general forms, the most specific first: null where a term is too short for one. A mark that no word holds ends a general form."""
+    size = pc.utf8_length(terms)
+    return [terms, *(pc.if_else(pc.greater(size, n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(terms, 0, n), "*", ""), None) for n in PREFIXES)]
+
 
-    return np.fromiter((xxh64_intdigest(t.encode()) >> (64 - bits) for t in terms), np.int64, len(terms))
+def _hash(terms: pa.Array, bits: int) -> np.ndarray:
+    """A number below 2**bits for each string: its bytes as the coefficients of a polynomial modulo 2**64, mixed."""
+    data, at = flat_bytes(terms)
+    size = np.diff(at)
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(len(data)) - np.repeat(at[:-1], size)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)])
+    h = upto[at[1:]] - upto[at[:-1]]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -182,6 +193,48 @@ def find_entities(docs: DataFrame, id_col: str, text_col: str, reach: int) -> Da
     return docs.select(with_key(docs, id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, FOUND)
 
 
+class FormCounter:
+    """How many texts hold a word of each wanted form. Words become numbers, and pairs of text and form are made distinct, in numpy."""
+
+    def __init__(self, bitmap: np.ndarray, bits: int):
+        self.bitmap, self.bits = bitmap, bits
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Rows of ``of`` by word, and numbers by wanted form; a row has a word's forms, -1 where one isn't wanted.
+        self.known: dict[str, int] = {}
+        self.forms: dict[str, int] = {}
+        self.of = np.zeros((0, 1 + len(PREFIXES)), np.int64)
+        self.counts = np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        rows = np.full((len(words), self.of.shape[1]), -1, np.int64)
+        for k, made in enumerate(_forms(pa.array([w.lower() for w in words], pa.string()))):
+            at = _hash(made, self.bits)
+            hit = ((self.bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool) & made.is_valid().to_numpy(zero_copy_only=False)
+            rows[hit, k] = [self.forms.setdefault(f, len(self.forms)) for f in made.filter(pa.array(hit)).to_pylist()]
+        self.known.update(zip(words, range(len(self.of), len(self.of) + len(words)), strict=True))
+        self.of = np.concatenate([self.of, rows])
+        self.counts = np.pad(self.counts, (0, len(self.forms) - len(self.counts)))
+
+    def add(self, texts: list[list[str]]) -> None:
+        words = pa.array(list(chain.from_iterable(texts)), pa.string()).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if new := [w for w in distinct if w not in self.known]:
+            self._learn(new)
+        row = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        form = self.of[row]
+        pairs = (text[:, None] * len(self.forms) + form)[form >= 0]
+        if len(pairs):
+            self.counts += np.bincount(np.unique(pairs) % len(self.forms), minlength=len(self.counts))
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(self.forms), pa.string()), pa.array(self.counts)], names=["form", "n"])
+        self._clear()
+        return out
+
+
 def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """(form, df): rows that hold a word of the form, for the forms of ``wanted`` only."""
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * wanted.count()).bit_length()))
@@ -189,7 +242,7 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     @lean
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_hash(batch.column(0).to_pylist(), bits))
+            at = np.unique(_hash(batch.column(0), bits))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(1 << (at & 31))], names=["word", "bit"])
 
     words = wanted.select("form").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
@@ -199,30 +252,13 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, counts, known = sent.value, Counter(), {}
-
-        def learn(new: list[str]) -> None:
-            """The wanted forms of words not met before."""
-            of = [forms(w.lower()) for w in new]
-            at = _hash([f for x in of for f in x], bits)
-            hit = iter(((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1).tolist())
-            known.update((w, tuple([f for f in x if next(hit)])) for w, x in zip(new, of, strict=True))
-
-        def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["form", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                here = set(_WORD.findall(text)) if text else ()
-                if new := [w for w in here if w not in known]:
-                    learn(new)
-                counts.update({f for w in here for f in known[w]})
-                if len(known) > 60_000:
-                    known.clear()
-            if len(counts) > 100_000:
-                yield counted()
-                counts.clear()
-        yield counted()
+        counter = FormCounter(sent.value, bits)
+        for whole in batches:
+            for batch in slices(whole, "t", SLICE):
+                counter.add([_WORD.findall(t) if t else [] for t in batch.column(0).to_pylist()])
+                if len(counter.forms) > MOST_FORMS or len(counter.known) > MOST_WORDS:
+                    yield counter.take()
+        yield counter.take()
 
     all_ = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("df"))
     return all_.join(wanted, "form", "left_semi")
