@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom import constants as K
+from auditloom.functions.ecmascript import trim
 from auditloom.operators.verdict import VERDICT, _error, parse
 
 #: (system prompt, user prompt) to text.
@@ -83,6 +84,11 @@ def fallbacks(text: str) -> list[str]:
     return [x for x in (p.strip().lower() for p in text.split(",")) if x in KNOWN]
 
 
+def fallbacks_column(text: Column) -> Column:
+    """``fallbacks`` of a column."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(trim(x))), lambda x: x.isin(*KNOWN))
+
+
 def call(provider: Provider, system: str, user: str, attempts: int = K.RETRY_ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> str:
     for attempt in range(1, attempts + 1):
         try:

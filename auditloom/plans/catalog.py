@@ -11,6 +11,7 @@ from auditloom import constants as K
 from auditloom.functions import ecmascript
 from auditloom.functions.format import format_bytes, format_duration
 from auditloom.operators import cache, classify, commits, diff, enrich, graph, patch, provider, redact, report, scan, tokens, verdict
+from auditloom.sources.store import scratch
 from auditloom.sources.tables import corpus, size_capped, table
 from auditloom.sources.vocabulary import tokenizer_file
 
@@ -659,3 +660,62 @@ def exact_tokens(spark: SparkSession, d: str) -> DataFrame:
 
     count = tokens.RankCounter(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return table(spark, d, "documents").select("doc_id", tokens.estimate(F.col("text"), count).alias("tokens"))
+
+
+@query("SELECT p_partkey, k AS key, regexp_replace(k, '[^a-z0-9]', '_', 'gi') AS file FROM (SELECT p_partkey, array_to_string(list_sort(string_split(p_type || ' ' || p_brand, ' ')), ',') AS k FROM part)")
+def skills_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = enrich.skills_key(F.split(F.concat_ws(" ", "p_type", "p_brand"), " "))
+    return table(spark, d, "part").select("p_partkey", key.alias("key"), enrich.skills_file(key).alias("file"))
+
+
+@query(f"SELECT left(hash, 7) AS hash, message FROM (SELECT md5(CAST(event_id AS VARCHAR)) AS hash, {_MESSAGE} AS message, ts FROM events) ORDER BY ts DESC, hash LIMIT 3")
+def commit_examples(spark: SparkSession, d: str) -> DataFrame:
+    return commits.examples(_commits(spark, d).withColumn("hash", F.md5(F.col("event_id").cast("string"))), date="ts")
+
+
+_TICKETS = f"SELECT doc_id, source, path, content || ' (Ticket-' || doc_id || ')' AS content FROM ({_CORPUS})"
+
+
+@query(f"SELECT doc_id, n + len(regexp_extract_all(content, 'ticket-[0-9]+', 0, 'i')) AS redacted_count, md5(regexp_replace(content, 'ticket-[0-9]+', '{K.MARKER}', 'gi')) AS text_md5, array_to_string(list_append(names, 'Ticket'), '|') AS matched FROM ({_redacted_sql(_TICKETS)})")
+def redact_extra(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns of one's own after the built-in ones."""
+    rows = corpus(table(spark, d, "documents")).withColumn("content", F.concat("content", F.lit(" (Ticket-"), F.col("doc_id").cast("string"), F.lit(")")))
+    return redact.redact(rows, extra=[("Ticket", r"ticket-\d+", True)]).select("doc_id", "redacted_count", F.md5("content").alias("text_md5"), F.array_join("matched_patterns", "|").alias("matched"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 5 = 0 THEN 'second' ELSE 'first' END AS message FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 <> 0")
+def cache_store(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts stored twice: errors aren't, and the later ones count."""
+    path, docs = scratch(spark, "cache"), table(spark, d, "documents")
+    verdicts = lambda said, status: F.struct(status.alias("status"), F.lit(said).alias("message")).alias("verdict")
+    rows = docs.select(F.col("doc_id").cast("string").alias("key"), verdicts("first", F.when(F.col("doc_id") % 3 == 0, "ERROR").otherwise("PASS")))
+    cache.write(docs.filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("key"), verdicts("second", F.lit("FAIL"))), path, now_ms=2000)
+    cache.write(rows, path, now_ms=1000)
+    return cache.read(spark, path).select("key", F.get_json_object("json", "$.message").alias("message"))
+
+
+@query("SELECT p_partkey, p_name AS skill FROM part WHERE p_size >= 40")
+def stored_skills(spark: SparkSession, d: str) -> DataFrame:
+    """Skills stored for a stack twice, and for another one: the last read of the first counts."""
+    path, parts = scratch(spark, "skills"), table(spark, d, "part").select("p_partkey", F.col("p_name").alias("skill"), "p_size")
+    for key, condition, now in (("go", "p_size >= 40", 2000), ("go", "p_size < 10", 1000), ("rust", "p_size = 20", 2500)):
+        enrich.store_skills(parts.filter(condition).drop("p_size"), path, key, now)
+    return enrich.stored_skills(spark, path, "go", 3000)
+
+
+@query(f"SELECT path FROM (SELECT DISTINCT path, {_REASON} AS reason FROM ({_PATHS_SQL})) WHERE reason IS NULL")
+def accepted_paths(spark: SparkSession, d: str) -> DataFrame:
+    return classify.accepted(classify.classify(_paths(spark, d).select("path").distinct()))
+
+
+@query(f"SELECT path, reason FROM (SELECT DISTINCT path, {_REASON} AS reason FROM ({_PATHS_SQL})) WHERE reason IS NOT NULL")
+def rejected_paths(spark: SparkSession, d: str) -> DataFrame:
+    return classify.rejected(classify.classify(_paths(spark, d).select("path").distinct()))
+
+
+_CHAIN = "concat(source, ', Gemini ,', CASE doc_id % 4 WHEN 0 THEN 'OPENAI' WHEN 1 THEN ' anthropic,gemini' WHEN 2 THEN 'open ai' ELSE '' END)"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({_CHAIN}, ','), lambda x: lower(trim(x))), lambda x: x IN ('gemini', 'openai', 'anthropic')), '|') AS chain FROM documents")
+def provider_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(provider.fallbacks_column(F.expr(_CHAIN)), "|").alias("chain"))

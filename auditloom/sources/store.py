@@ -39,15 +39,21 @@ def hadoop_path(spark: SparkSession, path: str):
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    files, where = hadoop_path(spark, path)
-    files.deleteOnExit(where)
     out = spark.read.schema(schema).parquet(path)
     _PATHS[out] = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what a session keeps there; it goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, where = hadoop_path(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables that ``save`` gave. Whatever was to be read from them must have been written."""
     for table in tables:

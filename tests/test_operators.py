@@ -378,3 +378,13 @@ def test_public_names():
     assert all(getattr(auditloom, n) is not None for n in auditloom.__all__)
     with pytest.raises(AttributeError):
         auditloom.nothing  # noqa: B018
+
+
+def test_system_prompt_names_stack_skills_and_the_first_rules():
+    made = config.system_prompt(config.from_dict({"tech_stack": "Go 1.22", "rules": [f"rule {i}" for i in range(1, 30)]}), "### go\n- gofmt")
+    assert "Go 1.22" in made and "### go" in made and "20. rule 20" in made and "rule 21" not in made and "JSON" in made
+    assert "Rules" not in config.system_prompt(config.Config())
+
+
+def test_flags_of_the_environment():
+    assert [config.flag(v) for v in ("1", " TRUE ", "yes", "On", "0", "off", "No", "false", "", None, "2")] == [True] * 4 + [False] * 4 + [None] * 3
