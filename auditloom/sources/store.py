@@ -12,6 +12,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     _PATHS[out] = path
+    for made in _SCOPES[-1:]:
+        made.append(out)
     return out
 
 
@@ -54,6 +58,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that ``save`` gives meanwhile are removed at the end, but for those that ``keep`` was told of."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        drop(*made)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Spares a table that a result still reads: it passes to the scope around this one, or goes when the session's JVM ends."""
+    if _SCOPES:
+        _SCOPES[-1][:] = [t for t in _SCOPES[-1] if t is not table]
+        for around in _SCOPES[-2:-1]:
+            around.append(table)
+    return table
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables that ``save`` gave. Whatever was to be read from them must have been written."""
     for table in tables:

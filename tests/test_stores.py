@@ -92,3 +92,20 @@ def test_skills_of_a_stack_are_replaced(spark, path):
     assert read("go", 2500) == ["c"] and read("rust", 2500) == ["d"] and read("rust", 1500 + K.SKILLS_TTL_MS) == []
     enrich.compact_skills(spark, path, 1500 + K.SKILLS_TTL_MS)
     assert read("go", 0) == ["c"] and read("rust", 0) == []
+
+
+def test_temporary_tables_go_and_kept_ones_pass_outwards(spark):
+    from auditloom.sources import store
+
+    there = lambda t: store._PATHS.get(t) is not None
+    with store.temporary():
+        outer = store.save(spark.range(3), "outer")
+        with store.temporary():
+            inner, kept = store.save(spark.range(4), "inner"), store.keep(store.save(spark.range(5), "kept"))
+        assert there(outer) and there(kept) and not there(inner) and kept.count() == 5
+        last = store.keep(store.save(spark.range(6), "last"))
+    assert not there(outer) and not there(kept) and last.count() == 6
+    with pytest.raises(RuntimeError), store.temporary():
+        lost = store.save(spark.range(2), "lost")
+        raise RuntimeError
+    assert not there(lost) and store._SCOPES == []
