@@ -1,5 +1,5 @@
 """The library's shared tables, as the operators for training data use them."""
 
-from auditloom.sources.store import drop, save, shared_dir
+from auditloom.sources.store import drop, keep, save, shared_dir, temporary
 
-__all__ = ["drop", "save", "shared_dir"]
+__all__ = ["drop", "keep", "save", "shared_dir", "temporary"]

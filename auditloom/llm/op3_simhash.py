@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm._arrow import lean, ranges, slices
 from auditloom.llm._graph import components, forest
-from auditloom.llm._store import save
+from auditloom.llm._store import keep, save, temporary
 
 MOST, FANOUT, CAP, SEED = 3, 8, 1024, 42
 #: Pairs looked at together in numpy.
@@ -219,9 +219,10 @@ def _classes(rows: DataFrame, most: int, cap: int) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = MOST, cap: int = CAP) -> DataFrame:
     """(doc_id, fingerprint, component_id): a row for each row of ``docs``."""
-    rows = save(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    named = rows.groupBy("fp").agg(F.min("id").alias("least")).join(_classes(rows, most, cap), "fp")
-    named = save(named, "classes")
+    with temporary():
+        rows = keep(save(fingerprints(docs, id_col, text_col, width), "fingerprints"))
+        named = rows.groupBy("fp").agg(F.min("id").alias("least")).join(_classes(rows, most, cap), "fp")
+        named = keep(save(named, "classes"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm._arrow import lean, ranges, slices
 from auditloom.llm._graph import components
-from auditloom.llm._store import drop, save
+from auditloom.llm._store import drop, keep, save, temporary
 from auditloom.llm.op3_simhash import PAIRS, SEED, close_pairs, gray_rank
 
 WORDS, KEPT, NEAR, FAR, CAP, LEAST = 12, 4, 16, 52, 4096, 0.8
@@ -189,8 +189,8 @@ def _common(texts: DataFrame, width: int, many: int) -> tuple[np.ndarray, np.nda
 
     step = -(-many // SAMPLE) or 1
     counts = texts.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).dropDuplicates(["node"]).mapInArrow(run, "s long").groupBy("s").count()
-    rows = counts.filter("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
-    shingles, times = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    rows = counts.filter("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
+    shingles, times = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(shingles)
     return shingles[order], times[order]
 
@@ -387,32 +387,33 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = LEAST, cap: int = CAP) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one of least id (nulls last), then least MD5 of its text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.md5(text)
-    # Texts of white space alone share a node.
-    node = F.when(text.rlike(r"[^\x09-\x0D\x20]"), F.xxhash64(key)).otherwise(F.lit(0).cast("long"))
-    nodes = docs.select(F.col(id_col).alias("id"), key.alias("dedup_key"), node.alias("node"))
-    some = docs.select(node.alias("node"), text.alias("t")).filter("node != 0")
-    prints = save(_fingerprinted(some, width).dropDuplicates(["node"]), "prints")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        texts = save(some.join(ends, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "texts")
-        linked = save(_checked(pairs, texts, width, least), "linked")
-        drop(texts)
-        return linked
-
-    common = _common(some, width, prints.count())
-    prefixes = save(_prefixed(some, common, width, least).dropDuplicates(["node"]), "prefixes")
-    pairs = save(candidates(prints, cap, least), "pairs")
-    near = save(plausible(pairs, prefixes, least), "near")
-    linked = checked(near)
-    rest = remaining(prefixes, components(linked), cap, least).join(pairs, ["u", "v"], "left_anti")
-    rest = save(plausible(rest, prefixes, least), "rest")
-    drop(prints, pairs, near, prefixes)
-    roots = components(linked.union(checked(rest)))
-    rooted = nodes.join(roots, "node", "left").select("id", "dedup_key", F.coalesce("root", "node").alias("root"))
-    return keep_one(docs, rooted, id_col, key)
+    with temporary():
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        key = F.md5(text)
+        # Texts of white space alone share a node.
+        node = F.when(text.rlike(r"[^\x09-\x0D\x20]"), F.xxhash64(key)).otherwise(F.lit(0).cast("long"))
+        nodes = docs.select(F.col(id_col).alias("id"), key.alias("dedup_key"), node.alias("node"))
+        some = docs.select(node.alias("node"), text.alias("t")).filter("node != 0")
+        prints = save(_fingerprinted(some, width).dropDuplicates(["node"]), "prints")
+
+        def checked(pairs: DataFrame) -> DataFrame:
+            ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            texts = save(some.join(ends, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "texts")
+            linked = save(_checked(pairs, texts, width, least), "linked")
+            drop(texts)
+            return linked
+
+        common = _common(some, width, prints.count())
+        prefixes = save(_prefixed(some, common, width, least).dropDuplicates(["node"]), "prefixes")
+        pairs = save(candidates(prints, cap, least), "pairs")
+        near = save(plausible(pairs, prefixes, least), "near")
+        linked = checked(near)
+        rest = remaining(prefixes, components(linked), cap, least).join(pairs, ["u", "v"], "left_anti")
+        rest = save(plausible(rest, prefixes, least), "rest")
+        drop(prints, pairs, near, prefixes)
+        roots = components(linked.union(checked(rest)))
+        rooted = nodes.join(roots, "node", "left").select("id", "dedup_key", F.coalesce("root", "node").alias("root"))
+        return keep_one(docs, rooted, id_col, key)
 
 
 def keep_one(docs: DataFrame, rooted: DataFrame, id_col: str, key: Column) -> DataFrame:
@@ -423,11 +424,12 @@ def keep_one(docs: DataFrame, rooted: DataFrame, id_col: str, key: Column) -> Da
     least = salted.groupBy("root").agg(F.count("*").alias("c"), F.min("row").alias("least"), F.expr("bit_or(shiftleft(1L, s))").alias("salts")).filter("c > 1")
     least = least.select("root", "least", F.explode(F.expr("filter(sequence(0, 63), x -> (shiftrightunsigned(salts, x) & 1L) = 1L)")).alias("s"))
     gone = salted.join(least, ["root", "s"]).filter(~F.col("row").eqNullSafe(F.col("least"))).select(F.xxhash64("row").alias("h"), F.col("row").alias("gone")).distinct()
+    gone = keep(save(gone, "gone"))
     same = named.groupBy("row").count().filter("count > 1").select(F.xxhash64("row").alias("h"), F.col("row").alias("same"))
     own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("md5"))
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), own.alias("own")).withColumn("h", F.xxhash64("own"))
     held = held.join(gone, (held.h == gone.h) & held.own.eqNullSafe(gone.gone), "left_anti")
-    twice = save(same, "same")
+    twice = keep(save(same, "same"))
     if twice.isEmpty():
         return held.select("held.*")
     single = held.join(twice, (held.h == twice.h) & held.own.eqNullSafe(twice.same), "left_anti").select("held.*")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm._arrow import lean
 from auditloom.llm._graph import components, forest
-from auditloom.llm._store import save
+from auditloom.llm._store import keep, save, temporary
 from auditloom.llm._vectors import dimension, matrix, usable
 
 THRESHOLD, TREES, LEAVES, SAMPLE, LEAF, BLOCK, SEED = 0.93, 8, 4, 20_000, 1000, 1024, 64_93
@@ -148,13 +148,23 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, id_co
     d = dimension(rows.filter("ok"), "v")
     rows = rows.withColumn("ok", F.col("ok") & (F.coalesce(F.size("v"), F.lit(-1)) == d))
     nodes = rows.filter("ok").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id())
-    nodes = save(nodes, "nodes")  # written once, so its numbers stay
+    with temporary():
+        named = keep(save(_named(save(nodes, "nodes"), d, threshold, trees, spill, sample, leaf, block), "named"))  # nodes are written once, so their numbers stay
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = named.join(least, "root").select("label", "v", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
+    inside = rows.filter("ok").join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    outside = rows.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return inside.union(outside).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _named(nodes: DataFrame, d: int, threshold: float, trees: int, spill: float, sample: int, leaf: int, block: int) -> DataFrame:
+    """(label, v, least, weight, links, root) of different vectors of a label, from a saved table of them."""
     n = nodes.count()
-    taken = nodes.select("v", F.xxhash64("least", "node").alias("h")).orderBy("h").limit(sample).select("v").collect()  # at most ``sample`` vectors
-    fit = np.array([r.v for r in taken], np.float64).reshape(len(taken), d)
+    taken = nodes.select("v", F.xxhash64("least", "node").alias("h")).orderBy("h").limit(sample).select("v").toArrow()  # at most ``sample`` vectors
+    fit = matrix(taken.column("v").combine_chunks()) if taken.num_rows else np.zeros((0, d))
     fit = fit / np.linalg.norm(fit, axis=1, keepdims=True) if len(fit) else fit
     depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
-    wood = vectors.sparkSession.sparkContext.broadcast([Tree(SEED + t, d, depth, fit, spill) for t in range(trees)])
+    wood = nodes.sparkSession.sparkContext.broadcast([Tree(SEED + t, d, depth, fit, spill) for t in range(trees)])
     kind = nodes.schema["v"].dataType.simpleString()
 
     @lean
@@ -175,10 +185,4 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, id_co
     met = save(_compare(dealt.select("*", F.inline(pairs)), threshold, trees), "met")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(met.filter("node != other").select(F.col("node").alias("u"), F.col("other").alias("v")))
-    named = nodes.join(links, "node", "left").join(roots, "node", "left").select("label", "v", "least", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    named = save(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.join(least, "root").select("label", "v", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
-    inside = rows.filter("ok").join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    outside = rows.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return inside.union(outside).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return nodes.join(links, "node", "left").join(roots, "node", "left").select("label", "v", "least", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
