@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import op1_pii, op3_similar, op5_langid, op7_packing, op10_suffix
-from auditloom.llm._store import drop, save
+from auditloom.llm._store import drop, keep, save, temporary
 from auditloom.llm.queries import BYTE_BPE, table, tokenizer_file
 
 
@@ -57,7 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, one after the other, each reread from the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        kept = save(stage(spark, docs, sf_dir), name)
+        with temporary():
+            kept = keep(save(stage(spark, docs, sf_dir), name))
         drop(docs)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
