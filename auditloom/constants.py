@@ -84,5 +84,13 @@ PARSE_FAILED, BAD_FORMAT = "Failed to parse AI response", "Invalid AI response f
 SEVERITIES = ("CRITICAL", "WARNING", "INFO")
 STATUSES = ("PASS", "FAIL", "ERROR")
 
+# Labels of reports: fixed values, as readers of existing reports know them, in order.
+MARKDOWN_HEAD = ("# Review Report", "- Status: **", "- Target: `", "- AI Enabled: `", "- Generated At: `", "## Summary", "| Metric | Value |", "| --- | --- |")
+MARKDOWN_METRICS = ("Total files", "Audited files", "Passed files", "Failed files", "Critical issues", "Warning issues", "Info issues", "Duration (ms)", "Diff lines")
+MARKDOWN_PARTS = ("## Skipped Files", "## Findings", "## Runtime Errors")
+CONSOLE_HEAD = ("📊 Review Summary", "   Status:         ", "   Target:         ", "   AI Enabled:     ")
+CONSOLE_METRICS = ("Total files:    ", "Audited files:  ", "✅ Passed:       ", "❌ Failed:       ", "🚨 Critical:     ", "⚠️  Warning:      ", "ℹ️  Info:         ", "⏱️  Duration:     ", "🔢 Diff lines:   ")
+UNKNOWN_ERROR = "Unknown runtime error"
+
 # Our own values.
 TRUNCATED = "\n\n# [truncated by maxCharsPerFile]"

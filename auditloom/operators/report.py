@@ -121,30 +121,38 @@ def _lines(report: DataFrame, skipped: DataFrame, results: DataFrame, errors: Da
 
 def _message(results: DataFrame) -> Column:
     said = F.nullif(F.col("message"), F.lit("")) if "message" in results.columns else F.lit(None).cast("string")
-    return F.coalesce(said, F.lit("Unknown runtime error"))
+    return F.coalesce(said, F.lit(K.UNKNOWN_ERROR))
 
 
 def _target(mode: str, value: str, before: str, after: str = "") -> str:
     return f"{mode}{before}{value}{after}" if value else mode
 
 
+def _metrics(duration: Column) -> list[Column]:
+    c = F.col
+    return [c("total_files"), c("audited"), c("passed"), c("failed"), c("critical"), c("warning"), c("info"), duration, c("changed_lines")]
+
+
 def markdown_lines(report: DataFrame, skipped: DataFrame, results: DataFrame, errors: DataFrame | None = None, mode: str = "files", value: str = "", ai: bool = False, at: str = "") -> DataFrame:
     """(part, key, position, line) of the Markdown report; ``text`` joins them."""
     c = F.col
-    metrics = (("Total files", c("total_files")), ("Audited files", c("audited")), ("Passed files", c("passed")), ("Failed files", c("failed")), ("Critical issues", c("critical")), ("Warning issues", c("warning")), ("Info issues", c("info")), ("Duration (ms)", F.floor(c("duration_ms") + 0.5)), ("Diff lines", c("changed_lines")))
-    head = [F.lit("# Review Report"), _text("- Status: **", c("status"), "**"), F.lit(f"- Target: `{_target(mode, value, ':')}`"), F.lit(f"- AI Enabled: `{str(ai).lower()}`"), F.lit(f"- Generated At: `{at}`"), F.lit("## Summary"), F.lit("| Metric | Value |"), F.lit("| --- | --- |"), *(_text(f"| {n} | ", v, " |") for n, v in metrics)]
+    title, status, target, enabled, made, *table = K.MARKDOWN_HEAD
+    rows = [_text(f"| {n} | ", v, " |") for n, v in zip(K.MARKDOWN_METRICS, _metrics(F.floor(c("duration_ms") + 0.5)), strict=True)]
+    head = [F.lit(title), _text(status, c("status"), "**"), F.lit(f"{target}{_target(mode, value, ':')}`"), F.lit(f"{enabled}{str(ai).lower()}`"), F.lit(f"{made}{at}`"), *map(F.lit, table), *rows]
     hint = F.coalesce(F.concat(F.lit(" — _"), F.nullif(c("suggestion"), F.lit("")), F.lit("_")), F.lit(""))
     issue = _text("- **", c("severity"), "** (line ", _whole(c("line")), "): ", c("message"), hint)
-    titles = ("## Findings", _text("### `", c("path"), "`"), issue, _text("- **ERROR**: ", _message(results)))
-    return _lines(report, skipped, results, errors, head, ([F.lit("## Skipped Files")], _text("- `", c("path"), "`: ", c("reason"))), titles, ("## Runtime Errors", _text("- ", c("error"))))
+    left_out, findings, broken = K.MARKDOWN_PARTS
+    titles = (findings, _text("### `", c("path"), "`"), issue, _text("- **ERROR**: ", _message(results)))
+    return _lines(report, skipped, results, errors, head, ([F.lit(left_out)], _text("- `", c("path"), "`: ", c("reason"))), titles, (broken, _text("- ", c("error"))))
 
 
 def console_lines(report: DataFrame, skipped: DataFrame, results: DataFrame, errors: DataFrame | None = None, mode: str = "files", value: str = "", ai: bool = False) -> DataFrame:
     """(part, key, position, line) of the console report; ``text`` joins them."""
     c = F.col
     icon = F.when(c("status") == "PASS", "✅").when(c("status") == "FAIL", "❌").otherwise("💥")
-    metrics = (("Total files:    ", c("total_files")), ("Audited files:  ", c("audited")), ("✅ Passed:       ", c("passed")), ("❌ Failed:       ", c("failed")), ("🚨 Critical:     ", c("critical")), ("⚠️  Warning:      ", c("warning")), ("ℹ️  Info:         ", c("info")), ("⏱️  Duration:     ", format_duration(c("duration_ms"))), ("🔢 Diff lines:   ", c("changed_lines")))
-    head = [F.lit("📊 Review Summary"), _text("   Status:         ", icon, " ", c("status")), F.lit(f"   Target:         {_target(mode, value, ' (', ')')}"), F.lit(f"   AI Enabled:     {'yes' if ai else 'no'}"), *(_text(f"   {n}", v) for n, v in metrics)]
+    title, status, target, enabled = K.CONSOLE_HEAD
+    rows = [_text(f"   {n}", v) for n, v in zip(K.CONSOLE_METRICS, _metrics(format_duration(c("duration_ms"))), strict=True)]
+    head = [F.lit(title), _text(status, icon, " ", c("status")), F.lit(f"{target}{_target(mode, value, ' (', ')')}"), F.lit(f"{enabled}{'yes' if ai else 'no'}"), *rows]
     hint = F.coalesce(F.concat(F.lit("\n💡 "), F.nullif(c("suggestion"), F.lit(""))), F.lit(""))
     issue = _text("[", c("severity"), "] line ", _whole(c("line")), ": ", c("message"), hint)
     marker = F.when(c("status") == "ERROR", "💥").otherwise("❌")

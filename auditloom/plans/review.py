@@ -54,8 +54,12 @@ def review(patches: DataFrame, config: Config | None = None, ignore: str = "", p
     return Review(inputs, skipped, found, results, report.report_row(results, inputs, skipped))
 
 
-def token_gate(inputs: DataFrame, prompt: str = "", name: str = "", override: int | None = None) -> DataFrame:
-    """One row: total of the inputs' estimates and the prompt's, the provider's limit, and what the gate says."""
-    total = inputs.agg(F.coalesce(F.sum(tokens.estimate(F.col("content"))), F.lit(0)).alias("total")).withColumn("total", F.col("total") + tokens.estimate(F.lit(prompt)))
+def token_gate(inputs: DataFrame, prompt: str = "", name: str = "", override: int | None = None, count: tokens.Counter | None = None) -> DataFrame:
+    """One row: total of the inputs' tokens and the prompt's, the provider's limit, and what the gate says.
+
+    Tokens are estimates, or with ``count`` (such as ``tokens.RankCounter``) exact.
+    """
+    said = inputs.withColumn("tokens", tokens.estimate(F.col("content"), count))
+    total = said.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).withColumn("total", F.col("total") + (tokens.estimate(F.lit(prompt)) if count is None else F.lit(count([prompt])[0])))
     most = tokens.limit(F.lit(name), F.lit(override) if override else None)
     return total.withColumn("limit", most).withColumn("gate", tokens.gate(F.col("total"), F.col("limit"))).withColumn("percent", tokens.percent(F.col("total"), F.col("limit")))

@@ -34,9 +34,11 @@ def corpus(documents: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str, most: int = K.MAX_FILE_BYTES) -> DataFrame:
-    """(path, content, size, skip_reason) of all files below a folder; contents over the cap aren't decoded."""
+    """(path, content, size, skip_reason) of all files below a folder. The source filters by length before it opens a file, so nothing over the cap is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return size_capped(files.select("path", F.col("content").alias("data"), F.col("length").alias("size")), F.decode("data", "UTF-8"), most).drop("data")
+    small = files.filter(F.col("length") <= most).select("path", F.col("content").alias("data"), F.col("length").alias("size"))
+    large = files.filter(F.col("length") > most).select("path", F.lit(None).cast("binary").alias("data"), F.col("length").alias("size"))
+    return size_capped(small.unionByName(large), F.decode("data", "UTF-8"), most).drop("data")
 
 
 def size_capped(df: DataFrame, content: Column, most: int = K.MAX_FILE_BYTES, size: str = "size") -> DataFrame:

@@ -91,3 +91,13 @@ def test_merges_of_odd_words():
     assert count(texts) == [len(library.encode_ordinary(t)) for t in texts]
     for text in texts[1:3]:
         assert b"".join(tokens.merged(text.encode(), tokens._ranks(path))) == text.encode()
+
+
+def test_a_gate_on_exact_tokens(spark):
+    import public_tokenizers
+
+    from auditloom.plans.review import token_gate
+
+    count = tokens.RankCounter(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    row = token_gate(spark.createDataFrame([("one two three",), ("four",), (None,)], "content string"), "a prompt", override=10, count=count).first()
+    assert (row.total, row.gate) == (6, "ok")

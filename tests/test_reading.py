@@ -62,3 +62,14 @@ def test_a_group_begins_when_the_last_one_has_ended(spark, tmp_path, monkeypatch
         assert min(b for b, _ in later) >= max(e for _, e in earlier)
     assert any(max(b for b, _ in g) < min(e for _, e in g) for g in groups[:3])
     assert provider.audit(files.limit(0), [answers], "s", concurrency, "position").collect() == []
+
+
+def test_files_over_the_cap_are_never_opened(spark, tmp_path):
+    """The source can't hold more than two gigabytes, so reading the sparse file would fail."""
+    from auditloom.sources.tables import read_files
+
+    (tmp_path / "a.py").write_text("x")
+    with open(tmp_path / "huge.bin", "wb") as f:
+        f.truncate(3 << 30)
+    got = {r.path.rsplit("/", 1)[1]: (r.content, r.skip_reason) for r in read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.py": ("x", None), "huge.bin": (None, "File too large (3 GB)")}
