@@ -22,7 +22,7 @@ Measured recall of the 20 nearest, against brute force: see the README.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id or
 vectors of another length than the commonest; ties go to the smaller id; a repeated id is a candidate as often as it comes with
-different vectors; an empty table gives no rows; extra columns are ignored.
+different vectors, and asks with each of them, what they find being ranked together; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
