@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 Say = Callable[[str], None]
+#: Seconds without news after which no more metrics are waited for.
+GRACE = 0.3
 
 
 class Progress:
@@ -30,8 +33,13 @@ class Progress:
         return df.observe(self.stages[stage], F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in more.items()))
 
     def counts(self) -> dict[str, dict]:
-        """What was counted, by stage; stages that no action has read are left out."""
-        return {stage: got for stage, o in self.stages.items() if o._jo is not None and o._jo.future().isCompleted() and (got := o.get)}
+        """What was counted, by stage; stages that no action has read are left out. Metrics come a moment after their action, so this waits until no more do."""
+        ready = lambda: {stage for stage, o in self.stages.items() if o._jo is not None and o._jo.future().isCompleted()}
+        last: set[str] | None = None
+        while (now := ready()) != last and len(now) < len(self.stages):
+            last = now
+            time.sleep(GRACE)
+        return {stage: got for stage, o in self.stages.items() if stage in ready() and (got := o.get)}
 
     def lines(self) -> list[str]:
         return [f"{stage}: " + ", ".join(f"{n} {v}" for n, v in got.items()) for stage, got in self.counts().items()]
