@@ -38,7 +38,7 @@ from auditloom.llm._store import drop, save
 
 DEPTH, ANCHORS, CAP = 200, (40, 120, 180, 200), 2000
 #: Bytes of text that are looked at together, bytes of a shard (which the processor's caches hold), and bytes of texts held for shards.
-SLICE, SHARD, HELD = 1 << 20, 1 << 18, 1 << 21
+SLICE, SHARD, HELD = 1 << 19, 1 << 18, 1 << 21
 SALTS = 64
 _UNITS = "a long, u long, s int, key binary, base int, n int"
 _RANGES = "array<struct<s:int,e:int>>"
