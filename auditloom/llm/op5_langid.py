@@ -18,7 +18,7 @@ A page is rejected (language null) if its text has no letters, or its mean log l
 ``margin`` nats over a uniform choice of trigrams (then no language explains it, whatever is declared), or if the best posterior is under
 ``least``.
 
-There is one language for each label, however many; a page's row of likelihoods and the model (64 KiB a language) grow with their number.
+There is one language for each label, at most ``MOST_LABELS`` (more are an error); a page's row of likelihoods and the model (64 KiB a language) grow with their number.
 Counts are combined before the shuffle; a host with a third of all pages is one row of counts, joined back adaptively.
 
 Defined cases: null or empty text is rejected; null URL or no declared language are values of their own; with no labelled rows nothing can be
@@ -43,6 +43,8 @@ from auditloom.llm._store import drop, save
 
 BUCKETS = 1 << 14
 PER_LANGUAGE, WEIGHT, KAPPA, MARGIN, LEAST = 500, 60.0, 20.0, 0.5, 0.5
+#: Labels that a model may have: it is then at most 64 MiB.
+MOST_LABELS = 1000
 #: Share of a label's median typicality that a text must reach to teach the model.
 TYPICAL = 1 / 3
 #: Bytes of text, and likelihoods, that are worked out together.
@@ -173,9 +175,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", pe
     rows = rows.withColumn("h", F.xxhash64("t"))
     low = F.col("h").bitwiseAND(0xFFFFFFFF)
     sizes = rows.groupBy("l").agg(F.count_distinct("h").alias("texts"), F.min(low).alias("least"))
-    names = sorted(r.l for r in sizes.select("l").collect())  # one row a label
+    names = sorted(r.l for r in sizes.select("l").limit(MOST_LABELS + 1).collect())  # one row a label
     if not names:
         return None
+    if len(names) > MOST_LABELS:
+        raise ValueError(f"{len(names)} labels, more than {MOST_LABELS}: the model takes 64 KiB a label in the driver and in every task")
     # Of different texts, not rows: a label of mostly copies would get few texts or none.
     limit = sizes.select("l", F.greatest(F.col("least"), (float(1 << 32) * per_language / F.col("texts")).cast("long")).alias("limit"))
     # One row a label, next to 64 KiB a label of the model, which every task gets.

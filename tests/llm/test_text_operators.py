@@ -395,6 +395,13 @@ def test_odd_labels_fit(spark):
     assert model.languages == ["bb", "xx", "yy"]
 
 
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(op5_langid, "MOST_LABELS", 2)
+    rows = spark.createDataFrame([("a text", x) for x in ("aa", "bb", "cc")], "text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        op5_langid.fit(rows)
+
+
 def test_page_text():
     for source in ("<script" * 150_000, "<!--" * 200_000, "<" * 1_000_000, "<a " * 300_000, "<html " * 150_000, "<style>" * 140_000, "< " * 500_000):
         op5_langid.page_text(source)
