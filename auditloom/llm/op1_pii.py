@@ -201,11 +201,15 @@ class FormCounter:
         self._clear()
 
     def _clear(self) -> None:
-        #: Rows of ``of`` by word, and numbers by wanted form; a row has a word's forms, -1 where one isn't wanted.
-        self.known: dict[str, int] = {}
+        #: Numbers and counts of wanted forms met.
         self.forms: dict[str, int] = {}
-        self.of = np.zeros((0, 1 + len(PREFIXES)), np.int64)
         self.counts = np.zeros(0, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Rows of ``of`` by word; a row has the numbers of a word's forms, -1 where one isn't wanted.
+        self.known: dict[str, int] = {}
+        self.of = np.zeros((0, 1 + len(PREFIXES)), np.int64)
 
     def _learn(self, words: list[str]) -> None:
         rows = np.full((len(words), self.of.shape[1]), -1, np.int64)
@@ -218,6 +222,8 @@ class FormCounter:
         self.counts = np.pad(self.counts, (0, len(self.forms) - len(self.counts)))
 
     def add(self, texts: list[list[str]]) -> None:
+        if len(self.known) > MOST_WORDS:
+            self._forget()
         words = pa.array(list(chain.from_iterable(texts)), pa.string()).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if new := [w for w in distinct if w not in self.known]:
@@ -256,7 +262,7 @@ def term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "t", SLICE):
                 counter.add([_WORD.findall(t) if t else [] for t in batch.column(0).to_pylist()])
-                if len(counter.forms) > MOST_FORMS or len(counter.known) > MOST_WORDS:
+                if len(counter.forms) > MOST_FORMS:
                     yield counter.take()
         yield counter.take()
 

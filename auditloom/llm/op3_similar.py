@@ -418,13 +418,12 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, rooted: DataFrame, id_col: str, key: Column) -> DataFrame:
     """``docs`` with one row of each root of ``rooted`` (id, dedup_key, root); ``key`` gives dedup_key of a row of docs."""
-    named = save(rooted.select("root", F.struct(F.col("id").isNull().alias("none"), "id", F.col("dedup_key").alias("md5")).alias("row")), "members")
+    named = keep(save(rooted.select("root", F.struct(F.col("id").isNull().alias("none"), "id", F.col("dedup_key").alias("md5")).alias("row")), "members"))
     # A root may have a third of all rows: rows are dealt by a salt too, and a root goes to the salts that it has.
     salted = named.withColumn("s", F.pmod(F.xxhash64("row"), F.lit(64)).cast("int"))
     least = salted.groupBy("root").agg(F.count("*").alias("c"), F.min("row").alias("least"), F.expr("bit_or(shiftleft(1L, s))").alias("salts")).filter("c > 1")
     least = least.select("root", "least", F.explode(F.expr("filter(sequence(0, 63), x -> (shiftrightunsigned(salts, x) & 1L) = 1L)")).alias("s"))
     gone = salted.join(least, ["root", "s"]).filter(~F.col("row").eqNullSafe(F.col("least"))).select(F.xxhash64("row").alias("h"), F.col("row").alias("gone")).distinct()
-    gone = keep(save(gone, "gone"))
     same = named.groupBy("row").count().filter("count > 1").select(F.xxhash64("row").alias("h"), F.col("row").alias("same"))
     own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("md5"))
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), own.alias("own")).withColumn("h", F.xxhash64("own"))
