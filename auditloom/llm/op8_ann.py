@@ -6,8 +6,9 @@ vector to the signed axis nearest to it, one of 2d cells. A second such hash, ta
 products in double precision.
 
 ``settings`` chooses ``fine`` and ``probes`` from the table's size, so that a cell holds about ``CELL`` entries at every size up to (2d)**2
-cells. Probes grow as ``fine``**0.8, so a query meets about 0.56 * ``fine``**-0.2 of the table's entries: a third at 4, a fifth at 128. The work
-is that share of brute force: it grows faster than the table, and a query vector is copied once a probe.
+cells. Probes grow as ``fine``**0.8, so the share of the table that a query reads falls only as about ``fine``**-0.2: 0.45 at 4, 0.35 at 15, 0.28 at 128
+(measured; an entry counts in each table it is met in). The work is that share of brute force: it grows faster than the table, and a query vector is
+copied once a probe and table.
 
 The nearness asked for is the inner product. Where norms differ, vectors get one more coordinate that makes them equally long,
 which turns the largest inner product into the smallest angle; with equal norms nothing is added.
