@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 from collections import Counter as Counts
 from collections.abc import Callable, Sequence
 
@@ -85,7 +86,8 @@ class RankCounter:
         out = []
         for text in texts:
             words = Counts(find(text))
-            for word in words.keys() - self._sizes.keys():
+            # Not the difference of both keys(): it walks all words known so far, for each text anew.
+            for word in itertools.filterfalse(self._sizes.__contains__, words):
                 raw = word.encode()
                 self._sizes[word] = 1 if raw in ranks else len(merged(raw, ranks))
             out.append(sum(n * self._sizes[word] for word, n in words.items()))

@@ -69,6 +69,21 @@ def test_stretches_that_are_too_costly_are_replaced(monkeypatch):
     assert patch.apply(a, patch.unified("p", a, b)) == b
 
 
+def test_a_count_does_not_walk_the_words_known():
+    """Work follows a text's own words, however many others were met before."""
+    import public_tokenizers
+
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all known words were walked")
+
+        __iter__ = items = values = keys
+
+    count = tokens.RankCounter(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    count._sizes = Known()
+    assert count(["one two three two", "two four"]) == [4, 2]
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_exact_tokens_of_all_documents(spark):
     from tokenizers import Tokenizer
