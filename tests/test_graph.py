@@ -68,6 +68,25 @@ def test_two_merge_bases_and_long_chains(spark):
     assert [r.hash for r in graph.branch_commits(unrelated, refs, compare="main").collect()] == ["p", "q"]
 
 
+def test_no_round_sends_a_table_through_the_driver(spark, monkeypatch):
+    parents = {"r0": []} | {f"r{i}": [f"r{i - 1}"] for i in range(1, 40)} | {"a": ["r39"], "b": ["r39"], "m": ["a", "b"]}
+    log = spark.createDataFrame([(c, p, "1") for c, p in parents.items()], SCHEMA)
+    plans, real = [], graph.save
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "save", lambda df, name: plans.append((name, plan(df))) or real(df, name))
+    refs = spark.createDataFrame([("HEAD", "m"), ("main", "r5")], "ref string, hash string")
+    found = graph.reaches(log, refs)
+    plans.append(("ancestors", plan(found)))
+    assert {r.hash: r.branches for r in found.collect()} == {c: [n for n, s in (("HEAD", "m"), ("main", "r5")) if c in walk(parents, s)] for c in parents}
+    got = graph.branch_commits(log, refs, compare="main")
+    plans.append(("ancestors", plan(got)))
+    assert {r.hash for r in got.collect()} == walk(parents, "m") - walk(parents, "r5") - {"m"}
+    assert {name for name, _ in plans} >= {"edges", "chains", "steps", "starts", "reached", "ancestors", "bases"}
+    assert [name for name, p in plans if "Broadcast" in p and name != "ancestors"] == []
+    # Only the few chains that a closure reached, at its end.
+    assert all(p.count("BroadcastExchange") <= 1 for _, p in plans)
+
+
 def test_no_commits(spark):
     log, refs = spark.createDataFrame([], SCHEMA), spark.createDataFrame([("HEAD", "x")], "ref string, hash string")
     assert graph.branch_commits(log, refs, compare="main").collect() == [] and graph.branch_commits(log, refs).collect() == []
