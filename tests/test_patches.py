@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,18 @@ def test_stretches_that_are_too_costly_are_replaced(monkeypatch):
     assert patch.apply(a, patch.unified("p", a, b)) == b
 
 
+def test_patches_of_a_batch_leave_in_slices(spark, monkeypatch):
+    made = []
+    rows = pa.array([str(i) for i in range(50)] + [None])
+    parts = patch.sliced(lambda t: made.append(t) or (t and t * (patch.SLICE // 4)), iter([(rows,), (rows.slice(0, 0),), (rows.slice(50),)]))
+    assert 1 <= len(next(parts)) == len(made) < 6
+    assert sum(map(len, parts)) + 4 == len(made) == 52
+    df = spark.range(300).selectExpr("id", "repeat(concat(id, '\n'), 3000) AS before", "repeat(concat(id, '!\n'), 3000) AS after").coalesce(1)
+    p = patch.patch_column(F.lit("p"), F.col("before"), F.col("after"))
+    got = df.withColumn("patch", p).select("id", F.col("after") == patch.patched_column(F.col("before"), F.col("patch")), F.col("patch").startswith("diff"))
+    assert [tuple(r) for r in got.collect()] == [(i, True, True) for i in range(300)]
+
+
 def test_a_count_does_not_walk_the_words_known():
     """Work follows a text's own words, however many others were met before."""
     import public_tokenizers
